@@ -16,7 +16,7 @@ def deepest_first() -> list[Column]:
 
 def docs_search(docs: DataFrame, topics: Terms, limit: int = 15) -> DataFrame:
     """Documents whose content, title or file name holds each topic, the deepest first."""
-    rows = match_terms(docs, ["content", "title", "filename"], topics)
+    rows = match_terms(docs, ["content", "title", "filename"], topics, key="filename")
     return top_per(rows, ["topic"], deepest_first(), limit, "position").select(
         "topic", "position", "filename", "project", "voice", "energy", "depth_score", "harvest_score",
         "decision_count", "word_count", F.left("first_line", F.lit(100)).alias("first_line"),

@@ -29,8 +29,9 @@ def query_frame(df: DataFrame, queries: Queries) -> DataFrame:
 def bm25(docs: DataFrame, queries: Queries, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Best k documents per query by BM25: (query_id, rank, id, score).
 
-    Texts are cut into tokens where they are read; only tokens that some query asks for leave the
-    scan. Document frequencies come from those rows, totals from two scalar subqueries.
+    Texts are cut into tokens where they are read, and only tokens that some query asks for leave
+    the scan, with the document's id and length. Document frequencies come from those rows, totals
+    from two scalar subqueries.
     """
     asked = query_frame(docs, queries).select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     terms = asked.select("term").distinct()
@@ -38,9 +39,10 @@ def bm25(docs: DataFrame, queries: Queries, k: int = 10, id_col: str = "id", tex
     totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avg"))
     n_docs, mean = totals.select("n").scalar(), totals.select("avg").scalar()
     postings = (
-        words.select("id", F.size("_w").alias("dl"), "_w", F.explode(F.array_distinct("_w")).alias("term"))
+        words.select("id", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
         .join(terms, "term", "left_semi")
-        .select("id", "dl", "term", F.size(F.filter("_w", lambda w: w == F.col("term"))).alias("tf"))
+        .groupBy("id", "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -134,7 +136,7 @@ def unified(
     )
     # The query texts form a list small enough to evaluate inside the scan.
     terms = [t for _, t in queries] if not isinstance(queries, DataFrame) else texts
-    found_commits = match_terms(commits, ["message", "repo_name"], terms, "query")
+    found_commits = match_terms(commits, ["message", "repo_name"], terms, "query", key="commit_id")
     found_commits = top_per(found_commits, ["query"], [F.col("timestamp").desc(), F.col("commit_id").desc()], n_commits)
     as_commits = found_commits.join(asked, "query").select(
         "query_id", F.lit("github").alias("kind"),
@@ -142,7 +144,7 @@ def unified(
         F.col("message").alias("content"), F.date_format("timestamp", "yyyy-MM-dd").alias("date"),
         F.lit(0.4).alias("score"), F.col("commit_id").cast("string").alias("key"),
     )
-    found_docs = match_terms(docs, ["content", "title", "filename"], terms, "query")
+    found_docs = match_terms(docs, ["content", "title", "filename"], terms, "query", key="filename")
     found_docs = top_per(found_docs, ["query"], [F.col("depth_score").desc(), F.col("filename")], n_docs)
     as_docs = found_docs.join(asked, "query").select(
         "query_id", F.lit("markdown").alias("kind"), F.coalesce("title", "filename").alias("title"),

@@ -15,9 +15,9 @@ from colloquy.operators.search import Terms
 
 def project_mentions(messages: DataFrame, repos: DataFrame, projects: Terms, limit: int = 10) -> DataFrame:
     """Newest user messages about each project, marked when older than its repository."""
-    matched = match_terms(repos, ["repo_name"], projects, "project")
+    matched = match_terms(repos, ["repo_name"], projects, "project", key="repo_name")
     created = matched.groupBy("project").agg(F.min_by("created_at", "repo_name").alias("project_created"))
-    rows = match_terms(messages.where("role = 'user'"), ["content", "conversation_title"], projects, "project")
+    rows = match_terms(messages.where("role = 'user'"), ["content", "conversation_title"], projects, "project", key="message_id")
     rows = newest(rows, ["project"], "created", "message_id", limit)
     return rows.join(created, "project", "left").select(
         "project", "conversation_title", F.substring("content", 1, 250).alias("preview"), "created",
@@ -34,8 +34,8 @@ def date_validity(messages: DataFrame, repos: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("msg_count"),
         F.max("timestamp_is_fallback").alias("has_fallback"),
     )
-    user = messages.where("role = 'user'").select("conversation_id", "content")
-    named = match_names(user, "content", repos.select("repo_name", "created_at"), "repo_name")
+    user = messages.where("role = 'user'").select("message_id", "conversation_id", "content")
+    named = match_names(user, "content", repos.select("repo_name", "created_at"), "repo_name", "message_id")
     pairs = named.select("conversation_id", "repo_name", "created_at").distinct()
     judged = pairs.join(facts.select("conversation_id", "first_msg"), "conversation_id").withColumn(
         "_conflict", F.col("first_msg") < F.col("created_at")
@@ -63,7 +63,7 @@ def date_validity(messages: DataFrame, repos: DataFrame) -> DataFrame:
 def _matched_repos(repos: DataFrame, projects: Terms | None, per_project: int) -> DataFrame:
     if projects is None:
         return repos.withColumn("project", F.col("repo_name"))
-    rows = match_terms(repos, ["repo_name"], projects, "project")
+    rows = match_terms(repos, ["repo_name"], projects, "project", key="repo_name")
     return top_per(rows, ["project"], [F.col("created_at").desc(), F.col("repo_name")], per_project)
 
 
@@ -158,17 +158,18 @@ def alignment(decisions: DataFrame, principles: DataFrame, n: int = 3) -> DataFr
 
     decisions(decision_id, decision), principles(position, name, definition, description, formula).
     A word counts when it occurs anywhere in a principle, so words are matched as substrings, each
-    distinct word once however many decisions use it.
+    distinct word once however many decisions use it. A word keeps its first n principles: no
+    decision can need more of them.
     """
     words = decisions.select(
         "decision_id", F.explode(F.array_distinct(F.split(F.lower("decision"), r"\s+"))).alias("word")
     ).where(F.length("word") > 4)
     text = F.concat_ws(" ", "name", "definition", "description")
-    targets = principles.select("position", "name", "definition", "formula", text.alias("_text"))
-    found = match_terms(targets, ["_text"], words.select("word").distinct(), "word").drop("_text")
-    pairs = words.join(found, "word").groupBy("decision_id", "position", "name", "formula", "definition").agg(
-        F.count(F.lit(1)).alias("shared_words")
-    )
-    return top_per(pairs, ["decision_id"], [F.col("position")], n, "rank").select(
-        "decision_id", "rank", "name", F.left("definition", F.lit(200)).alias("definition"), "formula", "shared_words"
+    targets = principles.select("position", text.alias("_text"))
+    found = match_terms(targets, ["_text"], words.select("word").distinct(), "word", key="position").drop("_text")
+    first = top_per(found, ["word"], [F.col("position")], n)
+    pairs = words.join(first, "word").select("decision_id", "position").distinct()
+    ranked = top_per(pairs, ["decision_id"], [F.col("position")], n, "rank")
+    return ranked.join(principles, "position").select(
+        "decision_id", "rank", "name", F.left("definition", F.lit(200)).alias("definition"), "formula"
     )

@@ -34,11 +34,13 @@ def match_terms(
     terms: Sequence[str] | DataFrame,
     term_col: str = "topic",
     wildcards: bool = False,
+    key: str | None = None,
 ) -> DataFrame:
     """One row per (row, term) whose term occurs, ignoring case, in any of the columns.
 
-    `terms` is a list, or a DataFrame whose first column holds the terms. With `wildcards` the
-    characters % and _ of a listed term keep their pattern meaning.
+    `terms` is a list, or a DataFrame whose first column holds the terms. Long lists and DataFrames
+    need `key`, a column that identifies a row. With `wildcards` the characters % and _ of a listed
+    term keep their pattern meaning.
     """
     if not isinstance(terms, DataFrame):
         terms = list(dict.fromkeys(terms))
@@ -47,7 +49,9 @@ def match_terms(
         terms = df.sparkSession.createDataFrame([(t,) for t in terms], f"{term_col} string")
     if wildcards:
         raise ValueError("wildcard terms must be given as a list")
-    return _match_by_grams(df, columns, terms, term_col)
+    if key is None:
+        raise ValueError("matching a table of terms needs the row key")
+    return _match_by_grams(df, columns, terms, term_col, key)
 
 
 def _match_inline(
@@ -70,7 +74,9 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(size) for size in sizes])))
 
 
-def _match_by_grams(df: DataFrame, columns: Sequence[str], terms: DataFrame, term_col: str) -> DataFrame:
+def _match_by_grams(
+    df: DataFrame, columns: Sequence[str], terms: DataFrame, term_col: str, key: str
+) -> DataFrame:
     needles = (
         terms.select(F.col(terms.columns[0]).alias(term_col))
         .where(F.length(term_col) > 0)
@@ -78,32 +84,23 @@ def _match_by_grams(df: DataFrame, columns: Sequence[str], terms: DataFrame, ter
         .withColumn("_needle", F.lower(term_col))
     )
     size = F.least(F.length("_needle"), F.lit(GRAM))
-    grams = needles.withColumn(
-        "_gram",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("_needle") - size + 1),
-                    lambda i: F.substring(F.col("_needle"), i, size),
-                )
-            )
-        ),
-    )
-    shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    rarest = Window.partitionBy(term_col).orderBy("_uses", "_gram")
-    anchors = (
-        grams.join(shared, "_gram")
-        .withColumn("_r", F.row_number().over(rarest))
-        .where("_r = 1")
-        .select(term_col, "_needle", "_gram")
-    )
+    starts = F.sequence(F.lit(1), F.length("_needle") - size + 1)
+    own = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_needle"), i, size)))
+    anchors = _rarest(needles.withColumn("_gram", F.explode(own)), term_col, "_gram").select(term_col, "_gram")
     text = F.lower(F.concat_ws("\u0000", *[F.col(c) for c in columns]))
-    exploded = df.withColumn("_text", text).withColumn("_gram", F.explode(_grams(F.col("_text"), range(1, GRAM + 1))))
-    return (
-        exploded.join(anchors, "_gram")
-        .where(F.contains(F.col("_text"), F.col("_needle")))
-        .drop("_gram", "_text", "_needle")
-    )
+    # Only the key travels with the grams; the texts follow once candidates are known.
+    filed = df.select(F.col(key).alias("_key"), F.explode(_grams(text, range(1, GRAM + 1))).alias("_gram"))
+    candidates = filed.join(anchors, "_gram").select("_key", term_col)
+    joined = df.join(candidates, df[key] == candidates["_key"]).drop("_key")
+    return joined.where(F.contains(text, F.lower(term_col)))
+
+
+def _rarest(listed: DataFrame, name: str, part: str) -> DataFrame:
+    """For every name the one of its parts that fewest names share."""
+    uses = listed.groupBy(part).agg(F.count(F.lit(1)).alias("_uses"))
+    order = Window.partitionBy(name).orderBy("_uses", F.length(part).desc(), part)
+    ranked = listed.join(uses, part).withColumn("_r", F.row_number().over(order))
+    return ranked.where("_r = 1").drop("_r", "_uses")
 
 
 def tokens(text: Column) -> Column:
@@ -111,19 +108,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda t: t != "")
 
 
-def match_names(df: DataFrame, text: str, names: DataFrame, name_col: str) -> DataFrame:
+def match_names(df: DataFrame, text: str, names: DataFrame, name_col: str, key: str) -> DataFrame:
     """(row, name) pairs where the name stands in the text as a whole word, ignoring case.
 
     Each name is filed under the token fewest names share, texts under their distinct tokens; the
     equi-join's candidates are checked with the word-boundary pattern.
     """
-    listed = names.withColumn("_token", F.explode(F.array_distinct(tokens(F.col(name_col)))))
-    uses = listed.groupBy("_token").agg(F.countDistinct(name_col).alias("_uses"))
-    order = Window.partitionBy(name_col).orderBy("_uses", F.length("_token").desc(), "_token")
-    anchors = (
-        listed.join(uses, "_token").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_uses")
-    )
+    listed = names.dropDuplicates([name_col]).withColumn("_token", F.explode(F.array_distinct(tokens(F.col(name_col)))))
+    anchors = _rarest(listed, name_col, "_token")
     quoted = F.regexp_replace(F.col(name_col), r"([^\p{L}\p{N}_\s])", r"\\$1")
     pattern = F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b"))
-    words = df.withColumn("_token", F.explode(F.array_distinct(tokens(F.col(text)))))
-    return words.join(anchors, "_token").where(F.regexp_like(F.col(text), pattern)).drop("_token")
+    filed = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("_token"))
+    candidates = filed.join(anchors, "_token").drop("_token")
+    joined = df.join(candidates, df[key] == candidates["_key"]).drop("_key")
+    return joined.where(F.regexp_like(F.col(text), pattern))

@@ -87,7 +87,7 @@ def switch_cost_raw(messages: DataFrame, pairs: Sequence[tuple[str, str]]) -> Da
     """Cost estimate for (current, target) pairs of search terms from message counts."""
     spark = messages.sparkSession
     names = list(dict.fromkeys(name for pair in pairs for name in pair))
-    hits = match_terms(messages, ["content", "conversation_title"], names, "name")
+    hits = match_terms(messages, ["content", "conversation_title"], names, "name", key="message_id")
     facts = hits.groupBy("name").agg(
         F.count(F.lit(1)).alias("msgs"), F.count_if(asked_by_user()).alias("questions"), F.max("created").alias("last_active")
     )
@@ -179,7 +179,7 @@ def position_raw(
 
     `semantic` has (topic, rank, conversation_title, content, similarity).
     """
-    hits = match_terms(messages.where("role = 'user'"), ["content"], topics)
+    hits = match_terms(messages.where("role = 'user'"), ["content"], topics, key="message_id")
     order = [F.col("created").desc(), F.col("message_id").desc()]
     newest_hits = top_per(hits, ["topic"], order, limit)
     single = top_per(newest_hits, ["topic", "conversation_id"], order, 1)

@@ -39,7 +39,7 @@ def kw_search(
     limit: int = 12, wildcards: bool = False,
 ) -> DataFrame:
     """Newest turns that contain each topic, text cut at 600 characters."""
-    rows = match_terms(_only(turns, src=src, role=role), ["text"], topics, wildcards=wildcards)
+    rows = match_terms(_only(turns, src=src, role=role), ["text"], topics, wildcards=wildcards, key="message_id")
     return newest(rows, ["topic"], "ts", "message_id", limit).select(
         "topic", "ts", "src", "conv_id", "role", tx.preview(F.col("text"), 600).alias("text")
     )
@@ -56,7 +56,7 @@ def recent(
 
 
 def kw_search_role(messages: DataFrame, terms: Terms, role: str | None = None, limit: int = 15) -> DataFrame:
-    rows = match_terms(_only(messages, role=role), ["content"], terms)
+    rows = match_terms(_only(messages, role=role), ["content"], terms, key="message_id")
     return newest(rows, ["topic"], "created", "message_id", limit).select(
         "topic", "source", "model", "conversation_title", "created", "role",
         F.substring("content", 1, 200).alias("preview"), "conversation_id",
@@ -83,7 +83,7 @@ def kw_facets(
         rows = rows.where(F.col("created") >= F.to_timestamp(F.lit(date_from)))
     if date_to:
         rows = rows.where(F.col("created") < F.to_timestamp(F.date_add(F.lit(date_to).cast("date"), 1)))
-    rows = match_terms(rows, ["content"], topics)
+    rows = match_terms(rows, ["content"], topics, key="message_id")
     order = [F.col("created").desc(), F.col("message_id").desc()]
     page = top_per(rows, ["topic"], order, limit + offset, "position").where(F.col("position") > offset)
     return page.select(
@@ -133,7 +133,7 @@ def sample_messages(messages: DataFrame, n: int = 3) -> DataFrame:
 
 def positions(turns: DataFrame, topics: Terms, limit: int = 10) -> DataFrame:
     """The user's own statements per topic, one per 200-character opening, newest first."""
-    rows = match_terms(turns.where("role = 'user'"), ["text"], topics)
+    rows = match_terms(turns.where("role = 'user'"), ["text"], topics, key="message_id")
     rows = rows.withColumn("_opening", F.substring("text", 1, 200))
     order = [F.col("ts").desc(), F.col("message_id").desc()]
     single = top_per(rows, ["topic", "_opening"], order, 1)
@@ -142,7 +142,7 @@ def positions(turns: DataFrame, topics: Terms, limit: int = 10) -> DataFrame:
 
 def trajectory(turns: DataFrame, topics: Terms, limit: int = 12) -> DataFrame:
     """Oldest user turns per topic."""
-    rows = match_terms(turns.where("role = 'user'"), ["text"], topics)
+    rows = match_terms(turns.where("role = 'user'"), ["text"], topics, key="message_id")
     return top_per(rows, ["topic"], [F.col("ts"), F.col("message_id")], limit).select(
         "topic", "ts", "src", "conv_id", "role", "text"
     )
@@ -150,7 +150,7 @@ def trajectory(turns: DataFrame, topics: Terms, limit: int = 12) -> DataFrame:
 
 def tunnel_recent(turns: DataFrame, topics: Terms, convs: int = 5, limit: int = 15) -> DataFrame:
     """Newest hits of each topic inside its most recently active conversations."""
-    hits = match_terms(turns, ["text"], topics)
+    hits = match_terms(turns, ["text"], topics, key="message_id")
     active = hits.groupBy("topic", "conv_id", "src").agg(F.max("ts").alias("last_ts"))
     top = top_per(active, ["topic"], [F.col("last_ts").desc(), F.col("conv_id"), F.col("src")], convs)
     rows = hits.join(top.select("topic", "conv_id", "src"), ["topic", "conv_id", "src"], "left_semi")
@@ -164,7 +164,8 @@ def keyword_hits(messages: DataFrame, domain_names: Sequence[str]) -> DataFrame:
     spark = messages.sparkSession
     listed = dom.keyword_rows(list(domain_names))
     table = spark.createDataFrame(listed, "domain string, keyword string, rank int")
-    rows = match_terms(messages, ["content", "conversation_title"], [k for _, k, _ in listed], "keyword")
+    keywords = [k for _, k, _ in listed]
+    rows = match_terms(messages, ["content", "conversation_title"], keywords, "keyword", key="message_id")
     # The keyword table is made of the caller's own list, so its size is known here.
     return rows.join(F.broadcast(table), "keyword")
 

@@ -111,7 +111,7 @@ def convs_by_date(turns: DataFrame, date: str | None = None, src: str | None = N
 
 
 def _mentions(messages: DataFrame, topics: Terms) -> DataFrame:
-    return match_terms(messages.where("role = 'user'"), ["content"], topics)
+    return match_terms(messages.where("role = 'user'"), ["content"], topics, key="message_id")
 
 
 def velocity(messages: DataFrame, topics: Terms, granularity: str = "month") -> DataFrame:

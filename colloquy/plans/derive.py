@@ -370,10 +370,17 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PART = 510
+
+
 def _conversation_docs(spark: SparkSession, sf_dir: str, entry: Column) -> DataFrame:
-    """Conversations with their entries as one array each, for formats of one JSON value per conversation."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", entry.alias("e")).alias("x"))
-    return rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.getField("e")).alias("entries"))
+    """Entries of every conversation as arrays of at most PART turns, for formats of one JSON value each."""
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.floor(F.col("turn") / PART).alias("part"), F.struct("turn", entry.alias("e")).alias("x")
+    )
+    listed = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("x")).alias("_x"))
+    name = F.concat_ws("-", "conv_id", "part")
+    return listed.select("conv_id", name.alias("name"), F.transform("_x", lambda x: x.getField("e")).alias("entries"))
 
 
 def export_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,11 +401,11 @@ def export_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = _conversation_docs(spark, sf_dir, node)
     doc = F.array(
         F.struct(
-            F.concat(F.lit("Topic "), (c % 25).cast("string")).alias("title"), F.concat(F.lit("e"), c.cast("string")).alias("id"),
+            F.concat(F.lit("Topic "), (c % 25).cast("string")).alias("title"), F.concat(F.lit("e"), "name").alias("id"),
             F.unix_seconds(_minutes(c * 2880)).cast("double").alias("create_time"), F.map_from_entries("entries").alias("mapping"),
         )
     )
-    return convs.select(F.concat(F.lit("file:///e/export-"), c.cast("string"), F.lit(".json")).alias("path"), F.to_json(doc).alias("value"))
+    return convs.select(F.concat(F.lit("file:///e/export-"), "name", F.lit(".json")).alias("path"), F.to_json(doc).alias("value"))
 
 
 def gemini_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,9 +416,9 @@ def gemini_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "assistant", "gemini").otherwise(F.col("role")).alias("type"), F.col("text").alias("content"),
     )
     convs = _conversation_docs(spark, sf_dir, entry)
-    doc = F.struct(F.concat(F.lit("s"), c.cast("string")).alias("sessionId"), F.col("entries").alias("messages"))
+    doc = F.struct(F.concat(F.lit("s"), "name").alias("sessionId"), F.col("entries").alias("messages"))
     return convs.select(
-        F.concat(F.lit("file:///g/tmp/hash"), c.cast("string"), F.lit("/chats/s.json")).alias("path"), F.to_json(doc).alias("value")
+        F.concat(F.lit("file:///g/tmp/hash"), "name", F.lit("/chats/s.json")).alias("path"), F.to_json(doc).alias("value")
     )
 
 
@@ -422,9 +429,9 @@ def kv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"), (F.unix_seconds(_minutes(c * 2880 + t * 5)) * 1000).alias("timestamp"),
     )
     convs = _conversation_docs(spark, sf_dir, entry)
-    chat = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("tab"), c.cast("string")).alias("id"), F.col("entries").alias("bubbles"))).alias("tabs")))
-    composer = F.to_json(F.struct(F.concat(F.lit("Topic "), c.cast("string")).alias("title"), F.col("entries").alias("messages")))
-    key = F.when(c % 2 == 0, "workbench.panel.aichat.view.aichat.chatdata").otherwise(F.concat(F.lit("composerData:k"), c.cast("string")))
+    chat = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("tab"), "name").alias("id"), F.col("entries").alias("bubbles"))).alias("tabs")))
+    composer = F.to_json(F.struct(F.concat(F.lit("Topic "), "name").alias("title"), F.col("entries").alias("messages")))
+    key = F.when(c % 2 == 0, "workbench.panel.aichat.view.aichat.chatdata").otherwise(F.concat(F.lit("composerData:k"), "name"))
     return convs.select(key.alias("key"), F.when(c % 2 == 0, chat).otherwise(composer).alias("value"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy import schema
 from colloquy.functions import domains as dom
 from colloquy.functions import noise
 from colloquy.functions import text as tx
@@ -20,6 +21,7 @@ from colloquy.session import prepare, shared_folder
 from colloquy.sources import documents as doc_sources
 from colloquy.sources import jsonl
 from colloquy.sources import summaries as summary_source
+from colloquy.sources import registry
 from colloquy.sources.registry import union_messages
 from colloquy.streaming import streams
 
@@ -309,5 +311,30 @@ _add("stream_unique_messages", lambda spark, d: streams.run_to_files(
     streams.unique_messages(_message_stream(spark, d)), shared_folder(spark, "unique")))
 
 
+def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(spark, "ingest")
+    summary_source.append_records(derive.generic_lines(spark, d).select("value"), f"{folder}/in", full=True)
+    lines = streams.stream_lines(spark, f"{folder}/in", "part-*")
+    streams.ingest_stream(lines, "generic", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return registry.read_messages(spark, f"{folder}/out").select("conversation_id", "role", "msg_timestamp", "content")
+
+
+def _stream_vectors(spark: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(spark, "vectors")
+    registry.write_messages(M(spark, d), f"{folder}/in")
+    arriving = spark.readStream.schema(schema.MESSAGES).option("maxFilesPerTrigger", 200).parquet(f"{folder}/in")
+    streams.embed_stream(
+        arriving, lambda rows: vector.hash_embed(rows, "content", dim=64), f"{folder}/out", f"{folder}/state"
+    ).awaitTermination()
+    stored = spark.read.schema(schema.MESSAGE_VECTORS).parquet(f"{folder}/out")
+    return stored.select("message_id", F.size("embedding").alias("dim"))
+
+
+_add("stream_ingest", _stream_ingest)
+_add("stream_vectors", _stream_vectors)
+_add("source_inventory", lambda spark, d: registry.source_inventory(
+    spark, [(t, d, f"{t}.parquet") for t in ("conversations", "documents", "events", "embeddings")]).drop("path", "newest"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

@@ -133,14 +133,18 @@ def _json(c: Column, *names: str) -> Column:
 
 
 def parse_kv_chats(items: DataFrame, source: str = "cursor", as_of=None) -> DataFrame:
-    """Editor key-value rows (key, value) with chat tabs or composer messages as JSON."""
+    """Editor key-value rows (key, value) with chat tabs or composer messages as JSON.
+
+    Every editor store uses the same keys, so a row is told apart by its value as well.
+    """
     now = moment(as_of)
+    items = items.withColumn("item", F.md5("value"))
     tabs = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.tabs"))
     chat = (
         items.where(F.col("key") == CHAT_KEY)
-        .select("key", F.posexplode(F.from_json(tabs, "array<string>")).alias("tab", "t"))
+        .select("key", "item", F.posexplode(F.from_json(tabs, "array<string>")).alias("tab", "t"))
         .select(
-            "key", "tab",
+            "key", "item", "tab",
             F.concat(F.lit("cursor_"), F.coalesce(_json(F.col("t"), "id"), F.concat(F.lit("cursor_chat_"), "tab"))).alias("conversation_id"),
             F.coalesce(_json(F.col("t"), "title", "name"), F.lit("Cursor Chat")).alias("conversation_title"),
             F.posexplode(F.from_json(_json(F.col("t"), "bubbles"), "array<string>")).alias("i", "m"),
@@ -154,7 +158,7 @@ def parse_kv_chats(items: DataFrame, source: str = "cursor", as_of=None) -> Data
     composer = (
         items.where(F.col("key").startswith(COMPOSER_PREFIX))
         .select(
-            "key", F.lit(0).alias("tab"), F.concat(F.lit("cursor_composer_"), composer_id).alias("conversation_id"),
+            "key", "item", F.lit(0).alias("tab"), F.concat(F.lit("cursor_composer_"), composer_id).alias("conversation_id"),
             F.coalesce(_json(F.col("value"), "title", "name"), F.concat(F.lit("Composer "), F.left(composer_id, F.lit(12)))).alias("conversation_title"),
             F.posexplode(F.from_json(listed, "array<string>")).alias("i", "m"),
         )
@@ -166,7 +170,7 @@ def parse_kv_chats(items: DataFrame, source: str = "cursor", as_of=None) -> Data
         .withColumn("role", tx.normalize_role(F.col("raw_role")))
         .where(F.col("role").isNotNull() & (F.length(tx.strip(F.col("content"))) >= F.col("least")))
         .withColumn("ts", tx.parse_ts(_json(F.col("m"), "timestamp", "createdAt", "created_at"), now))
-        .select("key", "tab", "i", F.lit(source).alias("source"), "model", "conversation_id", "conversation_title",
+        .select("key", "item", "tab", "i", F.lit(source).alias("source"), "model", "conversation_id", "conversation_title",
                 F.coalesce("message_id", F.concat_ws("_", "conversation_id", "i")).alias("message_id"), "role", "content", "ts")
     )
-    return _numbered(rows, ["key", "tab"], ["i"], now)
+    return _numbered(rows, ["key", "item", "tab"], ["i"], now)
