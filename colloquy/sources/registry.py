@@ -49,7 +49,7 @@ def write_messages(messages: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.MESSAGES).parquet(path)
+    return schema.conform(spark.read.schema(schema.MESSAGES).parquet(path), schema.MESSAGES)
 
 
 def read_optional(spark: SparkSession, path: str, table_schema=None) -> DataFrame | None:

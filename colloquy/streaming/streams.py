@@ -27,13 +27,14 @@ def ingest_stream(lines: DataFrame, source: str, target: str, checkpoint: str) -
     """Append the messages of arriving files to `target`.
 
     A batch is whole files, so numbering inside a file is complete; a conversation spread over
-    files of several batches is renumbered by `finalize` on the stored table.
+    files of several batches is renumbered by `finalize` on the stored table. Each batch owns a
+    folder it overwrites, so a batch repeated after a failure is stored once.
     """
     parse = LINE_FORMATS[source]
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("pos", F.monotonically_increasing_id())
-        write_messages(parse(placed), target, mode="append")
+        write_messages(parse(placed), f"{target}/batch={batch_id}")
 
     return (
         lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
