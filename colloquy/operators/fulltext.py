@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import schema
 from colloquy.functions.jsonlist import real_item, real_items
 from colloquy.functions.text import cite, preview
 from colloquy.operators.domain_state import importance_rank
-from colloquy.operators.matching import match_terms, tokens
+from colloquy.operators.matching import INLINE_TERMS, match_terms, tokens
 from colloquy.operators.ranking import top_per
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -27,34 +27,72 @@ def query_frame(df: DataFrame, queries: Queries) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: Queries, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Best k documents per query by BM25: (query_id, rank, id, score).
-
-    Texts are cut into tokens where they are read, and only tokens that some query asks for leave
-    the scan, with the document's id and length. Document frequencies come from those rows, totals
-    from two scalar subqueries.
-    """
+    """Best k documents per query by BM25: (query_id, rank, id, score)."""
     asked = query_frame(docs, queries).select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_w"))
+    if isinstance(queries, DataFrame):
+        scored = _bm25_joined(words, asked)
+    else:
+        # The caller's own list: its terms are known here, so scoring needs no join.
+        pairs = [(r["query_id"], r["term"]) for r in asked.collect()]
+        few = len({t for _, t in pairs}) <= INLINE_TERMS
+        scored = _bm25_inline(words, pairs) if few and pairs else _bm25_joined(words, asked)
+    scored = scored.withColumn("score", F.round("score", 9))
+    return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k, "rank").select(
+        "query_id", "rank", "id", "score"
+    )
+
+
+def _weight(idf: Column, tf: Column, length: Column, mean: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _idf(n_docs: Column, df: Column) -> Column:
+    return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def _bm25_inline(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Scores of a few known terms inside the row: one pass for the frequencies, one for the scores."""
+    terms = sorted({t for _, t in pairs})
+    known = words.select("id", F.size("_w").alias("dl"), F.filter("_w", lambda w: w.isin(terms)).alias("_m"))
+    stats = known.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"),
+            F.array(*[F.count_if(F.array_contains("_m", t)) for t in terms]).alias("df"),
+        ).alias("s")
+    ).scalar()
+    found = known.withColumn("_s", stats)
+
+    def part(term: str) -> Column:
+        tf = F.size(F.filter("_m", lambda w: w == term)).cast("double")
+        idf = _idf(F.col("_s.n"), F.get(F.col("_s.df"), F.lit(terms.index(term))))
+        return _weight(idf, tf, F.col("dl"), F.col("_s.mean"))
+
+    parts = found.select("id", *[part(t).alias(f"_p{i}") for i, t in enumerate(terms)])
+    by_query: dict[str, Column] = {}
+    for query_id, term in pairs:
+        own = F.col(f"_p{terms.index(term)}")
+        by_query[query_id] = by_query[query_id] + own if query_id in by_query else own
+    rows = F.array(*[F.struct(F.lit(q).alias("query_id"), total.alias("score")) for q, total in by_query.items()])
+    return parts.select("id", F.explode(rows).alias("r")).select("r.query_id", "id", "r.score").where("score > 0")
+
+
+def _bm25_joined(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores by joining tokens with a table of query terms of any size."""
+    terms = asked.select("term").distinct()
     totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avg"))
     n_docs, mean = totals.select("n").scalar(), totals.select("avg").scalar()
+    # Equal tokens of a text merge before the join, so a frequent word moves once per text.
     postings = (
         words.select("id", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-        .join(terms, "term", "left_semi")
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
+        .join(terms, "term", "left_semi")
     )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", _idf(n_docs, F.col("df")).alias("idf"))
     weights = asked.join(idf, "term")
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
-    scored = postings.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k, "rank").select(
-        "query_id", "rank", "id", "score"
-    )
-
-
+    part = _weight(F.col("idf"), F.col("tf").cast("double"), F.col("dl"), mean)
+    return postings.join(weights, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10) -> DataFrame:

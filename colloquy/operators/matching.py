@@ -1,19 +1,24 @@
 """Finding many search terms in many texts.
 
-A short list of terms becomes one expression evaluated while the table is scanned: no join, no
-shuffle. A table of terms of any length is joined by character grams: a term is filed under its
-rarest gram, texts are exploded into the grams that file any term, and the candidates of the
-equi-join are checked with `contains`. Both give exactly the rows a substring test gives.
+Three ways give exactly the rows a substring test gives; the number of terms decides:
+
+- a short list becomes one expression evaluated while the table is scanned: no join, no shuffle;
+- up to AUTOMATON_TERMS terms are sent to the tasks, which run each text once through an
+  automaton of all terms (an Arrow batch function);
+- a larger table of terms is joined by character grams: a term is filed under its rarest gram,
+  texts under all of theirs, and the candidates of the equi-join are checked with `contains`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INLINE_TERMS = 256
+INLINE_TERMS = 32
+AUTOMATON_TERMS = 200_000
 GRAM = 3
 
 
@@ -38,9 +43,9 @@ def match_terms(
 ) -> DataFrame:
     """One row per (row, term) whose term occurs, ignoring case, in any of the columns.
 
-    `terms` is a list, or a DataFrame whose first column holds the terms. Long lists and DataFrames
-    need `key`, a column that identifies a row. With `wildcards` the characters % and _ of a listed
-    term keep their pattern meaning.
+    `terms` is a list, or a DataFrame whose first column holds the terms. Large tables need `key`, a
+    column that identifies a row. With `wildcards` the characters % and _ of a listed term keep
+    their pattern meaning.
     """
     if not isinstance(terms, DataFrame):
         terms = list(dict.fromkeys(terms))
@@ -49,9 +54,27 @@ def match_terms(
         terms = df.sparkSession.createDataFrame([(t,) for t in terms], f"{term_col} string")
     if wildcards:
         raise ValueError("wildcard terms must be given as a list")
+    needles = (
+        terms.select(F.col(terms.columns[0]).alias(term_col))
+        .where(F.length(term_col) > 0)
+        .distinct()
+        .withColumn("_needle", F.lower(term_col))
+    )
+    if _automaton_type() is not None:
+        few = needles.limit(AUTOMATON_TERMS + 1).collect()
+        if len(few) <= AUTOMATON_TERMS:
+            return _match_by_automaton(df, columns, [(r[0], r[1]) for r in few], term_col)
     if key is None:
-        raise ValueError("matching a table of terms needs the row key")
-    return _match_by_grams(df, columns, terms, term_col, key)
+        raise ValueError("matching a large table of terms needs the row key")
+    return _match_by_grams(df, columns, needles, term_col, key)
+
+
+def _automaton_type():
+    try:
+        from ahocorasick import Automaton
+    except ImportError:
+        return None
+    return Automaton
 
 
 def _match_inline(
@@ -64,6 +87,37 @@ def _match_inline(
     return df.withColumn(term_col, F.explode(hits))
 
 
+def _joined_text(columns: Sequence[str]) -> Column:
+    """The searched columns in lower case as one text; the separator occurs in no term."""
+    return F.lower(F.concat_ws("\u0000", *[F.col(c) for c in columns]))
+
+
+def _match_by_automaton(
+    df: DataFrame, columns: Sequence[str], terms: list[tuple[str, str]], term_col: str
+) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(terms)
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _automaton_type()()
+        by_needle: dict[str, list[str]] = {}
+        for term, needle in shared.value:
+            by_needle.setdefault(needle, []).append(term)
+        for needle, originals in by_needle.items():
+            automaton.add_word(needle, originals)
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for text in batch:
+                hits: dict[str, None] = {}
+                for _, originals in automaton.iter(text) if text and by_needle else ():
+                    hits.update(dict.fromkeys(originals))
+                out.append(list(hits))
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn("_hits", found(_joined_text(columns))).withColumn(term_col, F.explode("_hits")).drop("_hits")
+
+
 def _grams(text: Column, sizes: Sequence[int]) -> Column:
     """Distinct character grams of the given sizes."""
 
@@ -75,19 +129,13 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
 
 
 def _match_by_grams(
-    df: DataFrame, columns: Sequence[str], terms: DataFrame, term_col: str, key: str
+    df: DataFrame, columns: Sequence[str], needles: DataFrame, term_col: str, key: str
 ) -> DataFrame:
-    needles = (
-        terms.select(F.col(terms.columns[0]).alias(term_col))
-        .where(F.length(term_col) > 0)
-        .distinct()
-        .withColumn("_needle", F.lower(term_col))
-    )
     size = F.least(F.length("_needle"), F.lit(GRAM))
     starts = F.sequence(F.lit(1), F.length("_needle") - size + 1)
     own = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_needle"), i, size)))
     anchors = _rarest(needles.withColumn("_gram", F.explode(own)), term_col, "_gram").select(term_col, "_gram")
-    text = F.lower(F.concat_ws("\u0000", *[F.col(c) for c in columns]))
+    text = _joined_text(columns)
     # Only the key travels with the grams; the texts follow once candidates are known.
     filed = df.select(F.col(key).alias("_key"), F.explode(_grams(text, range(1, GRAM + 1))).alias("_gram"))
     candidates = filed.join(anchors, "_gram").select("_key", term_col)

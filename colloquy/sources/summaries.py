@@ -10,55 +10,59 @@ from colloquy.functions import text as tx
 from colloquy.functions.jsonlist import item_names, json_list
 
 
-def _get(c: Column, path: str) -> Column:
-    return F.get_json_object(c, f"$.{path}")
+_DATA = ["summary", "concepts", "decisions", "open_questions", "quotable", "importance", "domain_primary", "domain_secondary",
+         "thinking_stage", "emotional_tone", "cognitive_pattern"]
+_SUMMARY = ["text", "quotable", "importance", "domain_primary", "domain_secondary", "thinking_stage", "emotional_tone",
+            "cognitive_pattern", "resurface_when"]
 
 
-def _items(c: Column) -> Column:
-    return json_list(c)
+def _strings(names: list[str]) -> str:
+    return ", ".join(f"{n} string" for n in names)
 
 
 def summaries_from_records(lines: DataFrame, summarized_at=None) -> DataFrame:
-    """Summary table of record lines in the current shape (summary is an object) and the older one (text)."""
-    value = F.col("value")
-    rows = lines.where(F.try_parse_json(value).isNotNull()).select(
-        _get(value, "conversation_id").alias("conversation_id"),
-        _get(value, "source").alias("source"),
-        _get(value, "title").alias("title"),
-        _get(value, "msg_count").cast("bigint").alias("msg_count"),
-        F.coalesce(_get(value, "data"), F.lit("{}")).alias("d"),
+    """Summary table of record lines in the current shape (summary is an object) and the older one (text).
+
+    A line is parsed once, its summary object once more; nested values stay JSON text until decoded.
+    """
+    outer = f"conversation_id string, source string, title string, msg_count bigint, data struct<{_strings(_DATA).replace(' string', ':string')}>"
+    rows = (
+        lines.withColumn("r", F.from_json("value", outer))
+        .where("r.conversation_id IS NOT NULL OR r.data IS NOT NULL")
+        .select("r.*")
+        .withColumn("_current", F.coalesce(F.ltrim("data.summary").startswith("{"), F.lit(False)))
+        .withColumn("s", F.when(F.col("_current"), F.from_json("data.summary", _strings(_SUMMARY))))
     )
-    d = F.col("d")
-    rows = rows.withColumn("s", _get(d, "summary")).withColumn("_current", F.ltrim("s").startswith("{"))
 
     def field(name: str, default: str = "") -> Column:
-        inside = F.when(F.col("_current"), _get(F.col("s"), name)).otherwise(_get(d, name))
-        return F.coalesce(inside, F.lit(default))
-
-    summary = F.coalesce(F.when(F.col("_current"), _get(F.col("s"), "text")).otherwise(F.col("s")), F.lit(""))
-    quote = F.when(F.col("_current"), _get(F.col("s"), "quotable")).otherwise(_get(d, "quotable"))
-    concepts = item_names(_items(_get(d, "concepts")), "name")
-    decisions = item_names(_items(_get(d, "decisions")), "text")
-    questions = item_names(_items(_get(d, "open_questions")), "text")
-    resurface = F.when(F.col("_current"), F.coalesce(_get(F.col("s"), "resurface_when"), F.lit(""))).otherwise("")
+        return F.coalesce(F.when(F.col("_current"), F.col(f"s.{name}")).otherwise(F.col(f"data.{name}")), F.lit(default))
+
+    summary = F.coalesce(F.when(F.col("_current"), F.col("s.text")).otherwise(F.col("data.summary")), F.lit(""))
+    quote = F.when(F.col("_current"), F.col("s.quotable")).otherwise(F.col("data.quotable"))
+    # Decoded in a step of their own, so that the columns and the embedding text share the result.
+    rows = rows.withColumns({
+        "concepts": item_names(json_list(F.col("data.concepts")), "name"),
+        "decisions": item_names(json_list(F.col("data.decisions")), "text"),
+        "open_questions": item_names(json_list(F.col("data.open_questions")), "text"),
+    })
+    resurface = F.coalesce("s.resurface_when", F.lit(""))
 
     def labelled(label: str, body: Column) -> Column:
         return F.when(body != "", F.concat(F.lit(label), body))
 
     when = F.current_timestamp() if summarized_at is None else F.lit(summarized_at).cast("timestamp")
     out = rows.select(
-        "conversation_id", "source", "title", F.coalesce("msg_count", F.lit(0)).alias("msg_count"),
-        summary.alias("summary"), concepts.alias("concepts"), decisions.alias("decisions"),
-        questions.alias("open_questions"), json_list(quote).alias("quotable"),
+        F.coalesce("conversation_id", F.lit("")).alias("conversation_id"), F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce("title", F.lit("")).alias("title"), F.coalesce("msg_count", F.lit(0)).alias("msg_count"), summary.alias("summary"), "concepts", "decisions", "open_questions", json_list(quote).alias("quotable"),
         field("importance", "routine").alias("importance"),
         tx.normalize_domain(field("domain_primary")).alias("domain_primary"),
         tx.normalize_domain(field("domain_secondary")).alias("domain_secondary"),
         field("thinking_stage").alias("thinking_stage"), field("emotional_tone").alias("emotional_tone"),
         field("cognitive_pattern").alias("cognitive_pattern"), resurface.alias("resurface_when"),
         F.concat_ws(
-            ". ", summary, labelled("Concepts: ", F.array_join(concepts, ", ")),
-            labelled("Decisions: ", F.array_join(decisions, "; ")),
-            labelled("Open questions: ", F.array_join(questions, "; ")), labelled("Resurface: ", resurface),
+            ". ", summary, labelled("Concepts: ", F.array_join("concepts", ", ")),
+            labelled("Decisions: ", F.array_join("decisions", "; ")),
+            labelled("Open questions: ", F.array_join("open_questions", "; ")), labelled("Resurface: ", resurface),
         ).alias("embedding_text"),
         when.alias("summarized_at"), F.left(F.md5(summary), F.lit(16)).alias("summary_hash"),
     )

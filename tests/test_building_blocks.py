@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import matching, vector
+from colloquy.operators import fulltext, matching, vector
 from colloquy.operators.messages import reply_depths
 from colloquy.operators.ranking import exact_percentile, fill_forward, number_rows, top_per
 
@@ -57,7 +57,14 @@ def pairs(df):
     return sorted((r.id, r.topic) for r in df.collect())
 
 
-def test_terms_inline_grams_and_brute_force_agree(spark):
+@pytest.fixture(params=["automaton", "grams"])
+def large_path(request, monkeypatch):
+    """Both ways of matching a table of terms."""
+    if request.param == "grams":
+        monkeypatch.setattr(matching, "AUTOMATON_TERMS", 1)
+
+
+def test_terms_inline_table_and_brute_force_agree(spark, large_path):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, text string")
     want = sorted((i, t) for i, x in enumerate(TEXTS) if x for t in TERMS if t.lower() in x.lower())
     assert pairs(matching.match_terms(df, ["text"], TERMS)) == want
@@ -66,7 +73,7 @@ def test_terms_inline_grams_and_brute_force_agree(spark):
     assert pairs(matching.match_terms(df, ["text"], TERMS[:1])) == [w for w in want if w[1] == "python"]
 
 
-def test_many_terms_over_random_texts(spark):
+def test_many_terms_over_random_texts(spark, large_path):
     words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(400)]
     texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -142,3 +149,12 @@ def test_reply_depths(spark):
     got = {(r.conversation_id, r.message_id): r.depth for r in reply_depths(df).collect()}
     want = {("c", f"n{i}"): i for i in range(40)} | {("c", "b1"): 4, ("c", "b2"): 5, ("c", "orphan"): 0, ("d", "n0"): 0}
     assert got == want
+
+
+def test_bm25_list_and_table_of_queries_agree(spark):
+    docs = [(f"d{i}", " ".join(rng.choice(["red", "blue", "green", "The", "été", "x1"]) for _ in range(rng.randrange(1, 30)))) for i in range(80)]
+    df = spark.createDataFrame(docs, "id string, text string").repartition(5)
+    queries = [("a", "Red the"), ("b", "été x1 blue"), ("c", "absent")]
+    table = spark.createDataFrame(queries, "query_id string, query string")
+    inline, joined = fulltext.bm25(df, queries, 10).collect(), fulltext.bm25(df, table, 10).collect()
+    assert sorted(inline) == sorted(joined) and {r.query_id for r in inline} == {"a", "b"}
