@@ -11,6 +11,7 @@ Three ways give exactly the rows a substring test gives; the number of terms dec
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -60,7 +61,7 @@ def match_terms(
         .distinct()
         .withColumn("_needle", F.lower(term_col))
     )
-    if _automaton_type() is not None:
+    if _have_automaton():
         few = needles.limit(AUTOMATON_TERMS + 1).collect()
         if len(few) <= AUTOMATON_TERMS:
             return _match_by_automaton(df, columns, [(r[0], r[1]) for r in few], term_col)
@@ -69,12 +70,8 @@ def match_terms(
     return _match_by_grams(df, columns, needles, term_col, key)
 
 
-def _automaton_type():
-    try:
-        from ahocorasick import Automaton
-    except ImportError:
-        return None
-    return Automaton
+def _have_automaton() -> bool:
+    return importlib.util.find_spec("ahocorasick") is not None
 
 
 def _match_inline(
@@ -99,7 +96,10 @@ def _match_by_automaton(
 
     @F.pandas_udf("array<string>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = _automaton_type()()
+        # Imported here: the function travels to workers that need not have this package.
+        from ahocorasick import Automaton
+
+        automaton = Automaton()
         by_needle: dict[str, list[str]] = {}
         for term, needle in shared.value:
             by_needle.setdefault(needle, []).append(term)
