@@ -26,20 +26,25 @@ COMMANDS = [
 ]
 
 # Single letters, numbers and process kills.
-TOKEN_PATTERN = r"^([a-z]|[0-9]+x?|kill [0-9]+)$"
+TOKEN_PATTERN = r"(?i)^([a-z]|[0-9]+x?|kill [0-9]+)$"
+
+# No listed text or opening is longer, so longer messages need not be put in lower case.
+LONGEST = 64
 
 
 def drop_reason(content: Column) -> Column:
     """Reason a message counts as noise, null when it does not."""
-    text = F.lower(strip(content))
+    text = strip(content)
+    head = F.lower(F.left(text, F.lit(LONGEST)))
+    short = F.length(text) <= LONGEST
     opening = F.lit(False)
     for start in TOOL_OPENINGS:
-        opening = opening | text.startswith(start)
+        opening = opening | head.startswith(start)
     return (
-        F.when(text.isin(TOOL_TEXTS) | opening, "tool-output")
-        .when(text.isin(CONFIRMATIONS), "confirmation")
-        .when(text.isin(COMMANDS), "generic-command")
-        .when((F.length(text) < 64) & text.rlike(TOKEN_PATTERN), "single-token")
+        F.when((short & head.isin(TOOL_TEXTS)) | opening, "tool-output")
+        .when(short & head.isin(CONFIRMATIONS), "confirmation")
+        .when(short & head.isin(COMMANDS), "generic-command")
+        .when(text.rlike(TOKEN_PATTERN), "single-token")
     )
 
 

@@ -273,6 +273,10 @@ def principles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Turns per file split of the derived line files.
+SPLIT = 1000
+
+
 def generic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns as record lines of seven files: several time formats, unknown roles, some broken lines."""
     c, t = F.col("conv_id"), F.col("turn")
@@ -295,7 +299,7 @@ def generic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("file:///logs/part-"), (c % 7).cast("string"), F.lit(".jsonl")).alias("path"),
-        F.floor(c / 64).alias("block"), (c * 1000 + t).alias("pos"),
+        (c * 1_000_000 + F.floor(t / SPLIT)).alias("block"), (c * 1000 + t).alias("pos"),
         F.when((c + t) % 16 == 0, F.concat(F.lit("{broken "), record)).otherwise(record).alias("value"),
         moment.alias("modified_at"),
     )
@@ -322,7 +326,7 @@ def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("file:///p/-Users-me-Documents-proj-"), (c % 6).cast("string"), F.lit("/sess"), c.cast("string"), F.lit(".jsonl")).alias("path"),
-        F.lit(0).cast("bigint").alias("block"), t.alias("pos"), value.alias("value"), moment.alias("modified_at"),
+        F.floor(t / SPLIT).alias("block"), t.alias("pos"), value.alias("value"), moment.alias("modified_at"),
     )
 
 
@@ -333,11 +337,11 @@ def agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     place = [
         F.concat(F.lit("file:///a/x/sessions/run"), (c % 40).cast("string"), F.when(c % 40 == 39, F.lit(".deleted.1")).otherwise(F.lit("")), F.lit(".jsonl")).alias("path"),
-        F.floor(c / 40).alias("block"),
+        (c * 1_000_000 + F.floor(t / SPLIT)).alias("block"),
     ]
 
     def at(offset: int) -> Column:
-        return (c * 1000 + t * 10 + offset).alias("pos")
+        return (t * 10 + offset).alias("pos")
 
     heads = rows.where("turn = 0").select(
         *place, at(0), F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("agent"), c.cast("string")).alias("id"))).alias("value"),
@@ -366,7 +370,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.to_json(F.struct(stamp, role, F.col("text").alias("content"), F.concat(F.lit("x"), c.cast("string"), F.lit("-"), t.cast("string")).alias("id")))
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("file:///c/proj-"), (c % 6).cast("string"), F.lit("/agent-transcripts/tr"), c.cast("string"), F.lit(".jsonl")).alias("path"),
-        F.lit(0).cast("bigint").alias("block"), t.alias("pos"), F.when(c % 2 == 0, nested).otherwise(flat).alias("value"), moment.alias("modified_at"),
+        F.floor(t / SPLIT).alias("block"), t.alias("pos"), F.when(c % 2 == 0, nested).otherwise(flat).alias("value"), moment.alias("modified_at"),
     )
 
 

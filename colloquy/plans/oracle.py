@@ -802,7 +802,7 @@ _sql("ingest_forward_fill", "g", f"""
     "'Clawdbot ' || left('run' || (c % 40), 8)", "'a' || c || '-' || t", "c, t", "role", "stamp", "exact", "clean",
     f"{_chat} AND length(clean) > 0 AND c % 40 <> 39").replace(" FROM g WHERE", " FROM seen WHERE"))
 _transcript = _ingested("cursor", "CAST(NULL AS VARCHAR)", "'proj-' || (c % 6)", "'cursor_agent_tr' || c", "'Cursor Agent: proj-' || (c % 6)",
-    "CASE WHEN c % 2 = 0 THEN 'tr' || c || '_0_' || t ELSE 'x' || c || '-' || t END", "t", "role", "stamp", "exact", "clean", f"{_chat} AND length(clean) >= 5", "c")
+    "CASE WHEN c % 2 = 0 THEN 'tr' || c || '_' || (t // 1000) || '_' || t ELSE 'x' || c || '-' || t END", "t", "role", "stamp", "exact", "clean", f"{_chat} AND length(clean) >= 5", "c")
 _sql("ingest_transcript", "g", _transcript)
 _exp_at = "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c * 2880 + (t // 2) * 5 AS BIGINT)))"
 _exp_parent = "CASE WHEN t = 0 THEN 'root' ELSE 'n' || CASE WHEN t % 3 = 2 THEN t - 2 ELSE t - 1 END END"

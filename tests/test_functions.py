@@ -50,7 +50,7 @@ def test_finalize_flags(spark):
 
 def test_noise(spark):
     noisy = ["yes", "No", "OK", "continue", " Continue\n", "thanks", "go for it", "a", "7", "12x", "kill 99", "[Tool Result]",
-             "warmup", "[Request interrupted by user]", "<local-command-stdout>", "now?", "YEP", "do better"]
+             "warmup", "[Request interrupted by user]", "<local-command-stdout>", "now?", "YEP", "do better", "9" * 200]
     real = ["How do I deploy this?", "yes, but only on Linux", "ok computer is an album", "kill the old server", "helpful text"]
     assert all(values(spark, [(x,) for x in noisy], noise.is_noise(F.col("v"))))
     assert not any(values(spark, [(x,) for x in real], noise.is_noise(F.col("v"))))
