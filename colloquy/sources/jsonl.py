@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.operators.ranking import fill_forward
-from colloquy.sources.lines import block_text, directory, file_name, file_stem, moment, to_messages
+from colloquy.sources.lines import block_text, directory, file_name, file_stem, moment, once, to_messages
 
 # Whole messages the coding-session format writes by itself.
 SESSION_NOISE = ["warmup", "prompt is too long", "request interrupted"]
@@ -54,12 +54,14 @@ def parse_sessions(lines: DataFrame, source: str = "claude-code") -> DataFrame:
     rows = (
         rec.join(first, F.col("path") == F.col("_p"))
         .withColumn("session", F.coalesce("_session", file_stem(F.col("path"))))
-        .withColumn("content", content)
+        .withColumn("_text", once(content))
+        .withColumn("_length", F.length("_text"))
+        .withColumn("content", tx.strip(F.col("_text")))
         .withColumn("role", role)
-        .where(F.length(tx.strip(F.col("content"))) >= 5)
-        .where(~F.lower(tx.strip(F.col("content"))).isin(SESSION_NOISE))
-        .where(~((F.col("role") == "user") & (F.length("content") < 15)))
-        .where(~((F.col("role") == "assistant") & (F.length("content") < 10)))
+        .where(F.length("content") >= 5)
+        .where((F.length("content") > 32) | ~F.lower("content").isin(SESSION_NOISE))
+        .where(~((F.col("role") == "user") & (F.col("_length") < 15)))
+        .where(~((F.col("role") == "assistant") & (F.col("_length") < 10)))
     )
     project = tx.project_name(directory(F.col("path")))
     stated = F.when(F.col("r.timestamp") != "", F.col("r.timestamp").try_cast("timestamp"))
@@ -96,7 +98,7 @@ def parse_agent_sessions(lines: DataFrame, source: str = "clawdbot", as_of=None)
         F.coalesce("session", file_stem(F.col("path"))).alias("conversation_id"),
         F.concat(F.lit("Clawdbot "), F.left(file_stem(F.col("path")), F.lit(8))).alias("conversation_title"),
         F.col("r.id").alias("message_id"), F.col("r.parentId").alias("parent_id"), F.col("r.message.role").alias("role"),
-        block_text(F.col("r.message.content")).alias("content"),
+        once(block_text(F.col("r.message.content"))).alias("content"),
         F.coalesce(epoch_ms, raw_ts.try_cast("timestamp"), now).alias("ts"),
     )
     return to_messages(rows, now)
@@ -115,8 +117,8 @@ def parse_transcripts(lines: DataFrame, source: str = "cursor", as_of=None) -> D
     content = block_text(F.when(nested, F.col("r.message.content")).otherwise(F.col("r.content")))
     session, project = file_stem(F.col("path")), directory(F.col("path"), 2)
     rows = (
-        rec.withColumn("role", tx.normalize_role(role)).withColumn("content", content)
-        .where("role IS NOT NULL").where(F.length(tx.strip(F.col("content"))) >= 5)
+        rec.withColumn("role", tx.normalize_role(role)).where("role IS NOT NULL").withColumn("content", once(content))
+        .where(F.length(tx.strip(F.col("content"))) >= 5)
         .select(
             "path", "block", "pos", F.lit(source).alias("source"),
             F.coalesce("r.message.model", "r.model").alias("model"), project.alias("project"),

@@ -67,6 +67,15 @@ def block_text(content: Column) -> Column:
     return F.when(F.ltrim(content).startswith("["), F.array_join(texts, "\n")).otherwise(content)
 
 
+def once(value: Column) -> Column:
+    """The value as a one-element generator.
+
+    Filters on a generated column stay above the generator, so a costly expression is evaluated
+    once instead of again in every filter that uses it.
+    """
+    return F.explode(F.array(value))
+
+
 def to_messages(rows: DataFrame, as_of: Column) -> DataFrame:
     """Canonical, numbered messages of rows in file order.
 
