@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from colloquy.plans.oracle import oracle_sql
+from colloquy.plans.queries import queries
 from tools.compare import TABLES, rows_of
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = queries(), oracle_sql()
 ROWS_ONLY = {"hash_embed", "vector_ann", "source_inventory"}
 
 
