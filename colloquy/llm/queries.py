@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import exact_dedup, packing, token_counts, token_files
+from colloquy.llm import exact_dedup, language, mixing, packing, token_counts, token_files
 from colloquy.llm.common import documents
 from colloquy.session import prepare, shared_folder
 
@@ -28,10 +28,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), cache, public_tokenizers.path(BYTE_BPE))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).drop("nth")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
@@ -39,7 +47,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op6_token_counts": op6_token_counts,
+    "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 
