@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import exact_dedup, language, mixing, packing, token_counts, token_files
+from colloquy.llm import exact_dedup, language, mixing, packing, secrets, sharding, token_counts, token_files
 from colloquy.llm.common import documents
 from colloquy.session import prepare, shared_folder
 
@@ -17,12 +17,20 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).drop("secrets")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     manifest = token_files.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_BPE), end_id=2)
     return token_files.read_ids(manifest, folder)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = shared_folder(spark, "token-counts")
     return token_counts.count_tokens(documents(spark, sf_dir), cache, public_tokenizers.path(BYTE_BPE))
@@ -45,7 +53,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op2_token_files": op2_token_files,
+    "op3_sharding": op3_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
