@@ -10,6 +10,22 @@ ORACLE: dict[str, str] = {
               FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_near_dedup": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT text, min(doc_id) AS node, count(*) AS copies FROM t GROUP BY text),
+        w AS (SELECT node, string_split(trim(regexp_replace(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM n),
+        s AS (SELECT node, array_to_string(w[i:i + 4], ' ') AS shingle FROM
+                (SELECT node, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w) WHERE len(w) > 1 OR w[1] <> ''),
+        m AS (SELECT node, shingle, count(*) AS often FROM s GROUP BY ALL),
+        z AS (SELECT node, sum(often) AS size FROM m GROUP BY node),
+        o AS (SELECT a.node AS a, b.node AS b, sum(least(a.often, b.often)) AS shared FROM m AS a JOIN m AS b ON a.shingle = b.shingle AND a.node < b.node GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN z AS x ON x.node = a JOIN z AS y ON y.node = b WHERE shared >= 0.8 * (x.size + y.size - shared)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT node, node AS class FROM n UNION SELECT e.b, r.class FROM r JOIN e ON e.a = r.node),
+        c AS (SELECT node, min(class) AS class FROM r GROUP BY node),
+        d AS (SELECT t.doc_id, c.class FROM t JOIN n ON n.text = t.text JOIN c ON c.node = n.node)
+        SELECT doc_id, class AS class_id, count(*) OVER (PARTITION BY class) AS class_size, doc_id = class AS kept FROM d""",
     "op8_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256

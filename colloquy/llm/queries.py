@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import exact_dedup, language, mixing, packing, pivot_topk, secrets, sharding, token_counts, token_files
+from colloquy.llm import exact_dedup, language, mixing, near_dedup, packing, pivot_topk, secrets, sharding, token_counts, token_files
 from colloquy.llm.common import documents
 from colloquy.session import prepare, shared_folder
 
@@ -36,6 +36,10 @@ def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("key")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = shared_folder(spark, "token-counts")
     return token_counts.count_tokens(documents(spark, sf_dir), cache, public_tokenizers.path(BYTE_BPE))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op3_sharding": op3_sharding,
     "op4_pivot_topk": op4_pivot_topk,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
