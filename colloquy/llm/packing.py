@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import n_buckets, pick, running_sum, staged
-from colloquy.llm.tokens import blocks, encoder
+from colloquy.llm.tokens import encoder
 
 CAPACITY = 2048
 #: Pieces longer than this share of a sequence are large.
@@ -29,20 +29,23 @@ PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every whole text as ids with `end_id` behind, cut into pieces of `capacity`; only a document's first may be shorter."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes()
+        encode = encoder(tokenizer_path)
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, z in blocks(texts):
-                rows = []
-                for doc, raw in zip(ids[a:z], encode.encode(texts[a:z])):
-                    raw += end
-                    first = (len(raw) // 4 - 1) % capacity + 1
-                    cuts = [0, *range(first * 4, len(raw) + 1, capacity * 4)]
-                    rows += [(doc, i, p // 4, (q - p) // 4, zlib.crc32(raw[p:q])) for i, (p, q) in enumerate(zip(cuts, cuts[1:]))]
-                columns = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            for at, ids, ends in encode.encode(batch.column("text")):
+                starts = np.r_[0, ends[:-1]]
+                with_end = np.insert(ids, ends, end_id).astype("<u4")  # a text's end id stands behind its ids
+                starts, size = starts + np.arange(len(ends)), ends - starts + 1
+                pieces = -(-size // capacity)
+                which = np.repeat(np.arange(len(ends)), pieces)
+                number = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (size - 1) % capacity + 1
+                begin = np.where(number > 0, first[which] + (number - 1) * capacity, 0)
+                length = np.where(number > 0, capacity, first[which])
+                place = starts[which] + begin
+                sums = [zlib.crc32(with_end[p:p + n]) for p, n in zip(place.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    [batch.column("doc_id").slice(at, len(ends)).take(pa.array(which)), pa.array(number, pa.int32()), pa.array(begin, pa.int64()),
+                     pa.array(length, pa.int32()), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

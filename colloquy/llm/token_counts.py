@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import pick
-from colloquy.llm.tokens import blocks, encoder
+from colloquy.llm.tokens import encoder
 
 STORED = "digest binary, n_tokens bigint, tokenizer string"
 
@@ -50,9 +51,9 @@ def refresh(docs: DataFrame, cache_path: str, tokenizer_path: str, text: str = "
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = [len(ids) // 4 for a, z in blocks(texts) for ids in encode.encode(texts[a:z])]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+            for at, _, ends in encode.encode(batch.column("text")):
+                n = pa.array(np.diff(ends, prepend=0), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(at, len(ends)), n], ["digest", "n_tokens"])
 
     misses = wanted.dropDuplicates(["digest"]).mapInArrow(count, "digest binary, n_tokens bigint")
     misses.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_path)

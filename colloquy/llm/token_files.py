@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import pick
-from colloquy.llm.tokens import blocks, encoder
+from colloquy.llm.tokens import encoder
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 256
@@ -96,15 +96,12 @@ def write_ids(
                 writer = SequenceWriter(filesystem, f"{plain}/{name}.ids.arrow", length, width)
                 docs_sink = filesystem.open_output_stream(f"{plain}/{name}.docs.arrow")
                 docs_file = pa.ipc.new_file(docs_sink, index)
-            texts, starts, counts = batch.column("text").to_pylist(), [], []
-            for a, z in blocks(texts):
-                for raw in encode.encode(texts[a:z]):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    starts.append(writer.total)
-                    counts.append(len(ids))
-                    writer.add(ids)
-            docs_file.write_batch(pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index))
+            for at, ids, ends in encode.encode(batch.column("text")):
+                counts = np.diff(ends, prepend=0) + 1
+                starts = writer.total + np.cumsum(counts) - counts
+                writer.add(np.insert(ids, ends, end_id))  # a text's end id stands behind its ids
+                docs_file.write_batch(pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(ends)), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index))
         if writer is not None:
             writer.close()
             docs_file.close()
