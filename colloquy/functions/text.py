@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 # Every character that counts as whitespace, derived from the Unicode tables rather than typed in.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-CONTENT_CAP = 50_000
-
 # Markers of program code inside a message.
 CODE_MARKERS = ["```", "def ", "function ", "class ", "import ", "const ", "let ", "var "]
 

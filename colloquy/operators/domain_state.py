@@ -132,66 +132,80 @@ def _newest_rows(s: DataFrame, n: int, fields: list[str]) -> DataFrame:
     return kept.groupBy("domain_primary").agg(F.sort_array(F.collect_list(F.struct("_r", *fields))).alias("rows"))
 
 
+def _totals(s: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Exact counts per domain over all its summaries: conversations, important ones, and distinct entries of each list."""
+    rows = s.where(NAMED)
+    out = rows.groupBy("domain_primary").agg(
+        F.count(F.lit(1)).alias("conversations"),
+        F.count_if(is_breakthrough()).alias("breakthroughs"),
+        F.count_if(F.col("importance") == "significant").alias("significant"),
+    )
+    for field, mode in fields.items():
+        n = items(rows, field, mode).groupBy("domain_primary").agg(F.count(F.lit(1)).alias(f"n_{field}"))
+        out = out.join(n, "domain_primary", "left")
+    return out.na.fill(0, [f"n_{field}" for field in fields])
+
+
+def _stage_counts(s: DataFrame) -> DataFrame:
+    """`stage:count` per domain over all its summaries."""
+    stage = F.coalesce("thinking_stage", F.lit("")).alias("stage")
+    counted = s.where(NAMED).groupBy("domain_primary", stage).agg(F.count(F.lit(1)).alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("stage", "n")))
+    return counted.groupBy("domain_primary").agg(listed.alias("_s")).select(
+        "domain_primary", F.transform("_s", lambda x: F.concat_ws(":", x["stage"], x["n"].cast("string"))).alias("stage_counts")
+    )
+
+
 def domain_state(s: DataFrame, n: int = 10) -> DataFrame:
-    """Where each domain was left: merged lists of its n newest summaries and its latest attributes."""
+    """Where each domain was left: heads of the merged lists of its n newest summaries, its latest attributes, counts over all."""
     lists = ["open_questions", "decisions", "concepts", "key_insights", "connections_to"]
-    plain = ["importance", "thinking_stage", "emotional_tone", "cognitive_pattern", "problem_solving_approach",
+    plain = ["thinking_stage", "emotional_tone", "cognitive_pattern", "problem_solving_approach",
              "title", "conversation_id", "summarized_at"]
     rows = F.col("rows")
     first = F.element_at(rows, 1)
-    importance = F.transform(rows, lambda r: F.coalesce(r.getField("importance"), F.lit("routine")))
-    stages = F.transform(rows, lambda r: F.coalesce(r.getField("thinking_stage"), F.lit("")))
     base = _newest_rows(s, n, lists + plain)
     merged = base.select(
         "domain_primary", "rows",
         *[_merged(rows, f, "equals" if f == "open_questions" else "any").alias(f"_{f}") for f in lists],
-        importance.alias("_imp"), stages.alias("_stages"),
     )
 
     def unknown(field: str) -> Column:
         value = first.getField(field)
         return F.when(value != "", value).otherwise(F.lit("unknown"))
 
-    def times(value: str) -> Column:
-        return F.size(F.filter("_imp", lambda i: i == value)).cast("long")
-
-    stage_counts = F.transform(
-        F.array_sort(F.array_distinct("_stages")),
-        lambda x: F.concat(x, F.lit(":"), F.size(F.filter("_stages", lambda y: y == x)).cast("string")),
-    )
     sources = F.transform(
         "rows", lambda r: F.concat_ws(" ", F.left(F.coalesce(r.getField("title"), F.lit("Untitled")), F.lit(50)),
                                       cite(r.getField("conversation_id"), r.getField("summarized_at"))))
-    return merged.select(
+    totals = _totals(s, {"open_questions": "equals", "decisions": "any", "concepts": "any"})
+    return merged.join(totals, "domain_primary").join(_stage_counts(s), "domain_primary").select(
         "domain_primary",
-        F.size("rows").cast("long").alias("conversations"),
+        "conversations",
         unknown("thinking_stage").alias("stage"),
         unknown("emotional_tone").alias("tone"),
         unknown("cognitive_pattern").alias("pattern"),
         unknown("problem_solving_approach").alias("approach"),
-        times("breakthrough").alias("breakthroughs"),
-        times("significant").alias("significant"),
-        F.size("_open_questions").cast("long").alias("n_open_questions"),
+        "breakthroughs",
+        "significant",
+        "n_open_questions",
         F.slice("_open_questions", 1, 10).alias("open_questions"),
-        F.size("_decisions").cast("long").alias("n_decisions"),
+        "n_decisions",
         F.slice("_decisions", 1, 7).alias("decisions"),
-        F.size("_concepts").cast("long").alias("n_concepts"),
+        "n_concepts",
         F.slice(F.array_sort("_concepts"), 1, 15).alias("concepts"),
         F.slice("_key_insights", 1, 5).alias("insights"),
         F.slice(F.array_sort("_connections_to"), 1, 10).alias("connections"),
-        stage_counts.alias("stage_counts"),
+        "stage_counts",
         sources.alias("sources"),
     )
 
 
 def domain_brief(s: DataFrame, n: int = 5) -> DataFrame:
-    """Re-entry brief of each domain from its n+10 newest summaries."""
+    """Re-entry brief of each domain from its n+10 newest summaries; counts are over all."""
     fields = ["open_questions", "decisions", "key_insights", "quotable", "thinking_stage", "emotional_tone"]
     rows = F.col("rows")
     first = F.element_at(rows, 1)
     merged = _newest_rows(s, n + 10, fields).select(
         "domain_primary",
-        F.size(rows).cast("long").alias("conversations"),
         first.getField("thinking_stage").alias("stage"),
         first.getField("emotional_tone").alias("tone"),
         _merged(rows, "open_questions", "equals").alias("_q"),
@@ -199,9 +213,8 @@ def domain_brief(s: DataFrame, n: int = 5) -> DataFrame:
         _merged(rows, "key_insights", "any").alias("_i"),
         _merged(rows, "quotable", "any").alias("_u"),
     )
-    return merged.select(
-        "domain_primary", "conversations", "stage", "tone",
-        F.size("_q").cast("long").alias("n_open_questions"),
+    return merged.join(_totals(s, {"open_questions": "equals"}), "domain_primary").select(
+        "domain_primary", "conversations", "stage", "tone", "n_open_questions",
         F.slice("_q", 1, 10).alias("open_questions"),
         F.slice("_d", 1, 7).alias("decisions"),
         F.slice("_i", 1, 5).alias("insights"),

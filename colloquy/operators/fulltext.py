@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import schema
@@ -196,14 +196,14 @@ def unified(
     )
 
 
-def position_summary(hits: DataFrame, s: DataFrame, shown: int = 10) -> DataFrame:
+def position_summary(hits: DataFrame, s: DataFrame) -> DataFrame:
     """What the ranked summaries say: (query_id, kind, position, text, title, citation).
 
-    Hits are put in order of importance, then rank; the first `shown` give five summaries, and
-    decisions, open questions and quotes without repeats of the same 80-character opening.
+    Hits are put in order of importance, then rank. Shown are the first five summaries, and the first decisions, open
+    questions (both without repeats of the same 80-character opening) and quotes of all of them.
     """
     ordered = hits.join(s, hits["id"] == s["conversation_id"]).withColumn("_imp", F.greatest(importance_rank(F.col("importance")), F.lit(1)))
-    top = top_per(ordered, ["query_id"], [F.col("_imp").desc(), F.col("rank")], shown, "place")
+    top = ordered.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_imp").desc(), "rank")))
     mark = cite(F.col("conversation_id"), F.col("summarized_at"))
     title = F.coalesce("title", F.lit("Untitled"))
     texts = top_per(top.where("summary <> ''"), ["query_id"], [F.col("place")], 5, "position").select(
@@ -217,10 +217,10 @@ def position_summary(hits: DataFrame, s: DataFrame, shown: int = 10) -> DataFram
         listed = top.select(
             "query_id", "place", title.alias("title"), mark.alias("citation"), F.posexplode(field).alias("pos", "item")
         ).where(real_item(F.col("item"), "contains"))
-        rows = top_per(listed, ["query_id"], [F.col("place"), F.col("pos")], cap, "position")
+        order = [F.col("place"), F.col("pos")]
         if dedupe:
-            rows = rows.withColumn("_opening", F.lower(F.left("item", F.lit(80))))
-            rows = top_per(rows, ["query_id", "_opening"], [F.col("position")], 1)
+            listed = top_per(listed.withColumn("_opening", F.lower(F.left("item", F.lit(80)))), ["query_id", "_opening"], order, 1)
+        rows = top_per(listed, ["query_id"], order, cap, "position")
         out = out.unionByName(
             rows.select("query_id", F.lit(kind).alias("kind"), "position", F.left("item", F.lit(width)).alias("text"), "title", "citation")
         )

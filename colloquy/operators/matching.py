@@ -1,17 +1,14 @@
 """Finding many search terms in many texts.
 
-Three ways give exactly the rows a substring test gives; the number of terms decides:
+Two ways give exactly the rows a substring test gives, for the same terms (blank ones are left out):
 
 - a short list becomes one expression evaluated while the table is scanned: no join, no shuffle;
-- up to AUTOMATON_TERMS terms are sent to the tasks, which run each text once through an
-  automaton of all terms (an Arrow batch function);
-- a larger table of terms is joined by character grams: a term is filed under its rarest gram,
-  texts under all of theirs, and the candidates of the equi-join are checked with `contains`.
+- any other list or table of terms goes to the tasks in slices of bounded size, and each text once per slice through an
+  automaton of the slice's terms (an Arrow batch function).
 """
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -19,15 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INLINE_TERMS = 32
-AUTOMATON_TERMS = 200_000
-GRAM = 3
+#: Characters of terms sent to the tasks at once.
+SLICE_CHARS = 8_000_000
 
 
 def _hit(texts: list[Column], term: str, wildcards: bool) -> Column:
     if wildcards:
         tests = [t.ilike(f"%{term}%") for t in texts]
     else:
-        tests = [t.contains(term.lower()) for t in texts]
+        tests = [t.contains(F.lower(F.lit(term))) for t in texts]
     out = F.coalesce(tests[0], F.lit(False))
     for test in tests[1:]:
         out = out | F.coalesce(test, F.lit(False))
@@ -44,12 +41,13 @@ def match_terms(
 ) -> DataFrame:
     """One row per (row, term) whose term occurs, ignoring case, in any of the columns.
 
-    `terms` is a list, or a DataFrame whose first column holds the terms. Large tables need `key`, a
-    column that identifies a row. With `wildcards` the characters % and _ of a listed term keep
-    their pattern meaning.
+    `terms` is a list, or a DataFrame whose first column holds the terms; null and empty terms match nothing. With
+    `wildcards` the characters % and _ of a listed term keep their pattern meaning. Terms of a table pass through the
+    driver slice by slice, never all at once; each slice is one pass over the texts. `key` names the row's identity for
+    the reader and is not needed to match.
     """
     if not isinstance(terms, DataFrame):
-        terms = list(dict.fromkeys(terms))
+        terms = [t for t in dict.fromkeys(terms) if t]
         if len(terms) <= INLINE_TERMS or wildcards:
             return _match_inline(df, columns, terms, term_col, wildcards)
         terms = df.sparkSession.createDataFrame([(t,) for t in terms], f"{term_col} string")
@@ -61,23 +59,32 @@ def match_terms(
         .distinct()
         .withColumn("_needle", F.lower(term_col))
     )
-    if _have_automaton():
-        few = needles.limit(AUTOMATON_TERMS + 1).collect()
-        if len(few) <= AUTOMATON_TERMS:
-            return _match_by_automaton(df, columns, [(r[0], r[1]) for r in few], term_col)
-    if key is None:
-        raise ValueError("matching a large table of terms needs the row key")
-    return _match_by_grams(df, columns, needles, term_col, key)
-
-
-def _have_automaton() -> bool:
-    return importlib.util.find_spec("ahocorasick") is not None
+    out = None
+    for part in _slices(needles):
+        found = _match_by_automaton(df, columns, part, term_col)
+        out = found if out is None else out.unionByName(found)
+    return df.withColumn(term_col, F.lit("")).limit(0) if out is None else out
+
+
+def _slices(needles: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """(term, needle) pairs in lists of about SLICE_CHARS characters."""
+    part, size = [], 0
+    for term, needle in needles.toLocalIterator():
+        part.append((term, needle))
+        size += len(term) + len(needle)
+        if size >= SLICE_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _match_inline(
     df: DataFrame, columns: Sequence[str], terms: list[str], term_col: str, wildcards: bool
 ) -> DataFrame:
     texts = [F.col(c) if wildcards else F.lower(c) for c in columns]
+    if not terms:
+        return df.withColumn(term_col, F.lit("")).limit(0)
     if len(terms) == 1:
         return df.where(_hit(texts, terms[0], wildcards)).withColumn(term_col, F.lit(terms[0]))
     hits = F.array_compact(F.array(*[F.when(_hit(texts, t, wildcards), F.lit(t)) for t in terms]))
@@ -118,31 +125,6 @@ def _match_by_automaton(
     return df.withColumn("_hits", found(_joined_text(columns))).withColumn(term_col, F.explode("_hits")).drop("_hits")
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct character grams of the given sizes."""
-
-    def of(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-
-    return F.array_distinct(F.flatten(F.array(*[of(size) for size in sizes])))
-
-
-def _match_by_grams(
-    df: DataFrame, columns: Sequence[str], needles: DataFrame, term_col: str, key: str
-) -> DataFrame:
-    size = F.least(F.length("_needle"), F.lit(GRAM))
-    starts = F.sequence(F.lit(1), F.length("_needle") - size + 1)
-    own = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_needle"), i, size)))
-    anchors = _rarest(needles.withColumn("_gram", F.explode(own)), term_col, "_gram").select(term_col, "_gram")
-    text = _joined_text(columns)
-    # Only the key travels with the grams; the texts follow once candidates are known.
-    filed = df.select(F.col(key).alias("_key"), F.explode(_grams(text, range(1, GRAM + 1))).alias("_gram"))
-    candidates = filed.join(anchors, "_gram").select("_key", term_col)
-    joined = df.join(candidates, df[key] == candidates["_key"]).drop("_key")
-    return joined.where(F.contains(text, F.lower(term_col)))
-
-
 def _rarest(listed: DataFrame, name: str, part: str) -> DataFrame:
     """For every name the one of its parts that fewest names share."""
     uses = listed.groupBy(part).agg(F.count(F.lit(1)).alias("_uses"))

@@ -13,12 +13,12 @@ from colloquy.operators.ranking import number_rows
 from colloquy.session import ensure_checkpoint_dir
 
 
-def canonicalize(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
+def canonicalize(raw: DataFrame, as_of: Column | None = None, max_chars: int | None = None) -> DataFrame:
     """Derived columns of the canonical table; rows without text are dropped.
 
     Needs source, conversation_id, role, content, ts; model, project, conversation_title,
     message_id, parent_id, temporal_precision and msg_index are used when present. Other columns
-    pass through. Counts and flags describe the whole text; only the stored content is capped.
+    pass through. The whole text is stored; `max_chars` cuts the stored content on request, counts and flags never.
     """
     have = set(raw.columns)
 
@@ -58,7 +58,7 @@ def canonicalize(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
         "has_question": text.flag(content.contains("?")),
         "has_attachment": F.lit(0),
         "has_citation": F.lit(0),
-        "content": F.left(content, F.lit(text.CONTENT_CAP)),
+        "content": content if max_chars is None else F.left(content, F.lit(max_chars)),
         "temporal_precision": precision,
     }
     extra = [c for c in raw.columns if c not in derived and c != "ts"]

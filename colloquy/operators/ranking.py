@@ -58,6 +58,22 @@ def number_rows(
     return out.drop("_local", "_offset", *[f"_k_{k}" for k in keys])
 
 
+def running_total(df: DataFrame, group: list[str], block: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Sum of `value` over the rows before each one in its group, block by block as in number_rows."""
+    keys = [*group, *block]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys).agg(F.sum(value).alias("_sum")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
+    )
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if on is None else on & same
+    local = df.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(offsets, on).withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset", *[f"_k_{k}" for k in keys])
+
+
 def fill_forward(
     df: DataFrame, group: list[str], block: list[str], order: list[str], columns: list[str]
 ) -> DataFrame:
@@ -92,7 +108,9 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, q: float, name:
     two buckets that hold the wanted positions are counted value by value and ranked.
     """
     v = F.col(value)
-    bucket = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 256)
+    # Equal steps of the logarithm on either side of zero, so no magnitude shares one bucket.
+    size = F.lit(300_000) + F.floor(F.log2(F.abs(v)) * 256)
+    bucket = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
     counted = (
         df.where(v.isNotNull())
         .select(*keys, v.alias("_v"), bucket.alias("_b"))

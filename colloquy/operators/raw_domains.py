@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.domain_state import band
 from colloquy.operators.matching import match_terms
-from colloquy.operators.ranking import newest, top_per
+from colloquy.operators.ranking import top_per
 from colloquy.operators.search import Terms, domain_search, first_keyword_hits, keyword_hits, user_questions
 
 
@@ -33,9 +33,12 @@ def _titles(rows: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
 
 
 def domain_state_raw(messages: DataFrame, domains: Sequence[str], limit: int = 10) -> DataFrame:
-    """Matching messages, questions and recent titles of each domain."""
+    """All matching messages and questions of each domain, counted, and recent titles."""
     rows = domain_search(messages, domains, limit)
-    facts = rows.groupBy("domain").agg(
+    hits = keyword_hits(messages.where("role = 'user'"), domains)
+    named = hits.where("rank = 0").select("domain").distinct()
+    every = hits.where("rank = 0").unionByName(hits.where("rank > 0").join(named, "domain", "left_anti"))
+    facts = every.dropDuplicates(["domain", "message_id"]).groupBy("domain").agg(
         F.count(F.lit(1)).alias("matches"),
         F.count_if(F.col("content").contains("?")).alias("questions"),
         F.countDistinct(F.when(F.col("conversation_title") != "", F.col("conversation_title"))).alias("conversations"),
@@ -60,9 +63,9 @@ def _brief_rows(messages: DataFrame, domains: Sequence[str], n: int) -> DataFram
 
 
 def domain_brief_raw(messages: DataFrame, domains: Sequence[str], n: int = 5) -> DataFrame:
-    """Matches, titles and user questions among each domain's newest hits of its first useful keyword."""
+    """Matches and user questions of each domain's first useful keyword, all counted, and recent titles."""
     rows = _brief_rows(messages, domains, n)
-    facts = rows.groupBy("domain", "keyword").agg(
+    facts = first_keyword_hits(keyword_hits(messages, domains)).groupBy("domain", "keyword").agg(
         F.count(F.lit(1)).alias("matches"),
         F.countDistinct(F.when(F.col("conversation_title") != "", F.col("conversation_title"))).alias("conversations"),
         F.count_if((F.col("role") == "user") & F.col("content").contains("?")).alias("questions"),
@@ -144,10 +147,9 @@ def activity_raw(messages: DataFrame, domains: Sequence[str] | None = None, mont
     )
 
 
-def open_threads_raw(messages: DataFrame, recent: int = 50, per_topic: int = 5, topics: int = 20) -> DataFrame:
-    """The newest questions grouped by title, newest title first."""
-    rows = newest(user_questions(messages), [], "created", "message_id", recent)
-    rows = rows.withColumn("title", F.coalesce("conversation_title", F.lit("Untitled")))
+def open_threads_raw(messages: DataFrame, per_topic: int = 5, topics: int = 20) -> DataFrame:
+    """All user questions grouped by title, newest title first; the newest of each title are shown."""
+    rows = user_questions(messages).withColumn("title", F.coalesce("conversation_title", F.lit("Untitled")))
     per = rows.groupBy("title").agg(
         F.count(F.lit(1)).alias("questions"), F.max(F.struct("created", "message_id")).alias("_last")
     ).orderBy(F.col("_last").desc()).limit(topics)
@@ -181,8 +183,7 @@ def position_raw(
     """
     hits = match_terms(messages.where("role = 'user'"), ["content"], topics, key="message_id")
     order = [F.col("created").desc(), F.col("message_id").desc()]
-    newest_hits = top_per(hits, ["topic"], order, limit)
-    single = top_per(newest_hits, ["topic", "conversation_id"], order, 1)
+    single = top_per(top_per(hits, ["topic", "conversation_id"], order, 1), ["topic"], order, limit)
     direct = single.select(
         "topic", F.lit("mention").alias("kind"), "conversation_title",
         F.substring("content", 1, 300).alias("preview"), F.col("created").cast("string").alias("at"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.matching import match_terms
-from colloquy.operators.ranking import newest, top_per
+from colloquy.operators.ranking import newest, running_total, top_per
 from colloquy.operators.search import Terms, _moment, user_questions
 
 
@@ -290,36 +290,37 @@ def source_status(messages: DataFrame, configured: DataFrame | Sequence[tuple[st
 
 
 def transcripts(
-    messages: DataFrame, done: DataFrame | None = None, per_message: int = 3000, cap: int = 15_000, minimum: int = 100
+    messages: DataFrame, done: DataFrame | None = None, per_message: int | None = None, cap: int | None = None,
+    minimum: int = 100, part_chars: int = 1_000_000,
 ) -> DataFrame:
-    """Ordered transcript of every conversation not yet summarised.
+    """Ordered transcript of every conversation not yet summarised, whole unless the caller asks for cuts.
 
-    The text stops at `cap` characters and every message adds at least the four characters of its
-    separators and colon, so only the first cap/4 messages can reach it; the others are counted
-    but never gathered.
+    Lines are placed by the number of characters before them, counted in blocks of the conversation, and gathered in
+    parts of about `part_chars` characters: a conversation of any length is some rows of bounded size. `per_message` cuts
+    each message, `cap` the transcript; the lines behind the cap are counted but not gathered.
     """
     rows = messages
     if done is not None:
         rows = rows.join(done.select("conversation_id").distinct(), "conversation_id", "left_anti")
-    line = F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), F.left(F.coalesce("content", F.lit("")), F.lit(per_message)))
-    part = F.when(F.col("msg_index") <= cap // 4, F.struct("msg_index", "message_id", line.alias("line")))
-    text = F.array_join(F.transform(F.sort_array("_parts"), lambda p: p.getField("line")), "\n\n")
-    return (
-        rows.groupBy("conversation_id")
-        .agg(
-            F.min(F.struct("msg_index", "message_id", "source", "conversation_title")).alias("_first"),
-            F.count(F.lit(1)).alias("msg_count"),
-            F.collect_list(part).alias("_parts"),
-        )
-        .withColumn("_text", text)
-        .where(F.length("_text") >= minimum)
-        .select(
-            "conversation_id",
-            F.col("_first.source").alias("source"),
-            F.col("_first.conversation_title").alias("title"),
-            "msg_count",
-            F.left("_text", F.lit(cap)).alias("text"),
-        )
+    content = F.coalesce("content", F.lit(""))
+    line = F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), content if per_message is None else F.left(content, F.lit(per_message)))
+    rows = rows.withColumn("_line", F.concat(line, F.lit("\n\n"))).withColumn("_block", F.floor(F.col("msg_index") / 1024))
+    keys = ["conversation_id"]
+    rows = running_total(rows, keys, ["_block"], ["msg_index", "message_id"], F.length("_line"), "_start")
+    per = rows.groupBy("conversation_id").agg(
+        F.min(F.struct("msg_index", "message_id", "source", "conversation_title")).alias("_first"),
+        F.count(F.lit(1)).alias("msg_count"), (F.sum(F.length("_line")) - 2).alias("_chars"),
+    ).where(F.col("_chars") >= minimum)
+    end = F.col("_chars") if cap is None else F.least("_chars", F.lit(cap))
+    shown = rows.join(per, "conversation_id").where(F.col("_start") < end).select(
+        "conversation_id", "_first", "msg_count", F.floor(F.col("_start") / part_chars).alias("part"), "_start",
+        F.left("_line", (end - F.col("_start")).cast("int")).alias("_line"),
+    )
+    return shown.groupBy("conversation_id", "part").agg(
+        F.first("_first").alias("_first"), F.first("msg_count").alias("msg_count"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_start", "_line"))), lambda p: p.getField("_line")), "").alias("text"),
+    ).select(
+        "conversation_id", F.col("_first.source").alias("source"), F.col("_first.conversation_title").alias("title"), "msg_count", "part", "text",
     )
 
 

@@ -96,7 +96,8 @@ def vector_topk(
 
     `queries` holds (query_id, vector). Each partition is scanned once per pass with block
     arithmetic and passes on at most k rows per query; ties are broken by id. Filter `vectors`
-    before the call to search a part of it.
+    before the call to search a part of it. A query meets the vectors of its own length; a vector that no query's length
+    fits is an error, a null one takes no part.
     """
     passes = [p for p in _query_passes(queries) if p]
     id_type = vectors.schema[id_col].dataType
@@ -115,9 +116,14 @@ def vector_topk(
         return empty.select("query_id", F.lit(0).alias("rank"), "id", "distance", similarity(F.col("distance")).alias("similarity"))
     arrow_type = pa.int64() if isinstance(query_type, T.LongType) else pa.int32() if isinstance(query_type, T.IntegerType) else pa.string()
     found = None
-    for rows in passes:
-        dim = len(rows[0][1])
-        source = vectors.where(F.size(vector_col) == dim).select(
+    size = F.size(vector_col)
+    dims = sorted({len(v) for rows in passes for _, v in rows})
+    odd = F.raise_error(F.concat(F.lit(f"no query has as many components as a vector: not in {dims}: "), size.cast("string")))
+    usable = vectors.where(F.col(vector_col).isNotNull())
+    for rows, dim in [([r for r in rows if len(r[1]) == dim], dim) for rows in passes for dim in dims]:
+        if not rows:
+            continue
+        source = usable.where(F.when(size.isin(dims), size == dim).otherwise(odd.cast("boolean"))).select(
             F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")
         )
         part = source.mapInArrow(_nearest_in_partition(rows, k + offset, arrow_type), schema)
@@ -189,23 +195,29 @@ def encode(df: DataFrame, text_col: str, embed_batch: Callable[[list[str]], list
     return df.mapInPandas(run, schema)
 
 
-def embed_pending(messages: DataFrame, existing: DataFrame, max_chars: int = 8000, min_chars: int = 10) -> DataFrame:
-    """User messages still to be embedded: one per id, no noise, long enough, not in `existing`."""
+def in_pieces(df: DataFrame, text_col: str, chars: int) -> DataFrame:
+    """A row for each `chars` characters of the text, with its number `piece` from 0."""
+    last = F.greatest(F.ceil(F.length(text_col) / chars) - 1, F.lit(0)).cast("int")
+    rows = df.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn(text_col, F.substring(text_col, F.col("piece") * chars + 1, F.lit(chars)))
+
+
+def embed_pending(messages: DataFrame, existing: DataFrame, piece_chars: int = 8000, min_chars: int = 10) -> DataFrame:
+    """User messages still to be embedded: one per id, no noise, long enough, not in `existing`; long ones in pieces."""
     rows = messages.where("role = 'user'").where(~noise.is_noise(F.col("content")))
     rows = rows.join(existing.select("message_id").distinct(), "message_id", "left_anti")
     order = [F.col("created"), F.col("conversation_id"), F.col("content")]
     single = top_per(rows, ["message_id"], order, 1)
-    return single.select(
-        "message_id", "conversation_id", "conversation_title", F.left("content", F.lit(max_chars)).alias("content"),
-        "role", "year", "month",
-    ).where(F.length("content") >= min_chars)
+    whole = single.where(F.length("content") >= min_chars)
+    return in_pieces(whole, "content", piece_chars).select(
+        "message_id", "piece", "conversation_id", "conversation_title", "content", "role", "year", "month",
+    )
 
 
-def summary_texts(s: DataFrame, max_chars: int = 2000, min_chars: int = 10) -> DataFrame:
-    """Summaries with a usable text to embed."""
-    return s.where(F.length("embedding_text") > min_chars).select(
-        "conversation_id", F.left("embedding_text", F.lit(max_chars)).alias("text")
-    )
+def summary_texts(s: DataFrame, piece_chars: int = 2000, min_chars: int = 10) -> DataFrame:
+    """Usable texts of summaries to embed, long ones in pieces."""
+    texts = s.where(F.length("embedding_text") > min_chars).select("conversation_id", F.col("embedding_text").alias("text"))
+    return in_pieces(texts, "text", piece_chars)
 
 
 def dim_check(vectors: DataFrame, expected: int, vector_col: str = "embedding") -> DataFrame:

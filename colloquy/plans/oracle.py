@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
           END AS raw_text
         FROM conversations WHERE role IN ('user', 'assistant')""",
     "m": f"""
-        SELECT * EXCLUDE (full_text), left(full_text, 50000) AS content,
+        SELECT * EXCLUDE (full_text), full_text AS content,
           CAST(len(regexp_extract_all(full_text, '\\S+')) AS BIGINT) AS word_count, length(full_text) AS char_count,
           CASE WHEN {_code.replace('content', 'full_text')} THEN 1 ELSE 0 END AS has_code,
           CASE WHEN regexp_matches(full_text, 'https?://') THEN 1 ELSE 0 END AS has_url,
@@ -393,8 +393,8 @@ _sql("source_status", "m", f"""
     FROM (VALUES {rows(q.CONFIGURED)}) c(source, path) FULL JOIN (SELECT source, count(*) AS messages, count(DISTINCT conversation_id) AS conversations,
       max(created) AS last_message FROM m GROUP BY source) x ON c.source = x.source""")
 _trans = f"""SELECT conversation_id, arg_min(source, msg_index) AS source, arg_min(conversation_title, msg_index) AS title, count(*) AS msg_count,
-    string_agg(role || ': ' || left(content, 3000), {NL} || {NL} ORDER BY msg_index) AS full_text FROM m {{where}} GROUP BY conversation_id HAVING length(full_text) >= 100"""
-_sql("transcripts", "m", f"SELECT conversation_id, source, title, msg_count, left(full_text, 15000) AS text FROM ({_trans.format(where='')})")
+    string_agg(role || ': ' || content, {NL} || {NL} ORDER BY msg_index) AS full_text FROM m {{where}} GROUP BY conversation_id HAVING length(full_text) >= 100"""
+_sql("transcripts", "m", f"SELECT conversation_id, source, title, msg_count, CAST(0 AS BIGINT) AS part, full_text AS text FROM ({_trans.format(where='')})")
 _sql("summarize_pending", "m s", f"""
     SELECT conversation_id, msg_count FROM ({_trans.format(where="WHERE conversation_id NOT IN (SELECT conversation_id FROM s WHERE importance <> 'routine')")})""")
 _sql("command_language", "m", "SELECT conversation_id, " + ", ".join(
@@ -436,25 +436,31 @@ def _flat(field: str) -> str:
         SELECT unnest(x.{field}) AS item, x.r * 1000 + unnest(range(len(x.{field}))) AS o FROM newest x WHERE x.domain_primary = b.domain_primary) GROUP BY item))"""
 
 
+def _all(field: str) -> str:
+    """Number of different entries of one list column over all summaries of the domain of view b."""
+    return f"(SELECT count(DISTINCT item) FROM (SELECT domain_primary AS d, unnest({field}) AS item FROM s) WHERE d = b.domain_primary)"
+
+
 _newest = """, newest AS (SELECT *, [insight] AS insights_l, [connection] AS connections_l,
     row_number() OVER (PARTITION BY domain_primary ORDER BY summarized_at DESC, conversation_id) AS r FROM s QUALIFY r <= {n})"""
 _sql("domain_state", "s", _newest.format(n=10) + f"""
-    SELECT domain_primary, conversations, stage, tone, pattern, approach, breakthroughs, significant, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_open_questions,
-      coalesce({joined('qs[1:10]')}, '') AS open_questions, CAST(coalesce(len(ds), 0) AS BIGINT) AS n_decisions, coalesce({joined('ds[1:7]')}, '') AS decisions,
-      CAST(len(cs) AS BIGINT) AS n_concepts, {joined('list_sort(cs)[1:15]')} AS concepts, {joined('ins[1:5]')} AS insights, {joined('list_sort(con)[1:10]')} AS connections,
+    SELECT domain_primary, conversations, stage, tone, pattern, approach, breakthroughs, significant, {_all('questions')} AS n_open_questions,
+      coalesce({joined('qs[1:10]')}, '') AS open_questions, {_all('decisions')} AS n_decisions, coalesce({joined('ds[1:7]')}, '') AS decisions,
+      {_all('concepts')} AS n_concepts, {joined('list_sort(cs)[1:15]')} AS concepts, {joined('ins[1:5]')} AS insights, {joined('list_sort(con)[1:10]')} AS connections,
       {joined('stage_counts')} AS stage_counts, {joined('sources')} AS sources
     FROM (SELECT domain_primary, conversations, stage, tone, pattern, approach, breakthroughs, significant, {_flat('questions')} AS qs, {_flat('decisions')} AS ds,
         {_flat('concepts')} AS cs, {_flat('insights_l')} AS ins, {_flat('connections_l')} AS con, sources,
-        (SELECT list(z ORDER BY z) FROM (SELECT thinking_stage || ':' || count(*) AS z FROM newest x WHERE x.domain_primary = b.domain_primary GROUP BY thinking_stage)) AS stage_counts
-      FROM (SELECT domain_primary, count(*) AS conversations, arg_min(thinking_stage, r) AS stage, arg_min(emotional_tone, r) AS tone,
+        (SELECT list(z ORDER BY z) FROM (SELECT thinking_stage || ':' || count(*) AS z FROM s x WHERE x.domain_primary = b.domain_primary GROUP BY thinking_stage)) AS stage_counts
+      FROM (SELECT domain_primary, (SELECT count(*) FROM s x WHERE x.domain_primary = newest.domain_primary) AS conversations, arg_min(thinking_stage, r) AS stage, arg_min(emotional_tone, r) AS tone,
           arg_min(cognitive_pattern, r) AS pattern, coalesce(nullif(arg_min(problem_solving_approach, r), ''), 'unknown') AS approach,
-          count(*) FILTER (importance = 'breakthrough') AS breakthroughs, count(*) FILTER (importance = 'significant') AS significant,
-          list(title || ' [' || left(conversation_id, 12) || ' · ' || {day('summarized_at')} || ']' ORDER BY r) AS sources FROM newest GROUP BY domain_primary) b)""")
+          (SELECT count(*) FROM s x WHERE x.domain_primary = newest.domain_primary AND importance = 'breakthrough') AS breakthroughs,
+          (SELECT count(*) FROM s x WHERE x.domain_primary = newest.domain_primary AND importance = 'significant') AS significant,
+          list(title || ' [' || left(conversation_id, 12) || ' · ' || {day('summarized_at')} || ']' ORDER BY r) AS sources FROM newest GROUP BY domain_primary) b) b""")
 _sql("domain_brief", "s", _newest.format(n=15) + f"""
-    SELECT domain_primary, conversations, stage, tone, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_open_questions, coalesce({joined('qs[1:10]')}, '') AS open_questions,
+    SELECT domain_primary, conversations, stage, tone, {_all('questions')} AS n_open_questions, coalesce({joined('qs[1:10]')}, '') AS open_questions,
       coalesce({joined('ds[1:7]')}, '') AS decisions, {joined('ins[1:5]')} AS insights, left(us[1], 200) AS quote
     FROM (SELECT domain_primary, conversations, stage, tone, {_flat('questions')} AS qs, {_flat('decisions')} AS ds, {_flat('insights_l')} AS ins, {_flat('quotes')} AS us
-      FROM (SELECT domain_primary, count(*) AS conversations, arg_min(thinking_stage, r) AS stage, arg_min(emotional_tone, r) AS tone FROM newest GROUP BY domain_primary) b)""")
+      FROM (SELECT domain_primary, (SELECT count(*) FROM s x WHERE x.domain_primary = newest.domain_primary) AS conversations, arg_min(thinking_stage, r) AS stage, arg_min(emotional_tone, r) AS tone FROM newest GROUP BY domain_primary) b) b""")
 _sql("domain_brief_items", "s", _newest.format(n=5) + f"""
     SELECT domain_primary, r AS position, left(title, 60) AS title, source, msg_count, importance, {cut('summary', 300)} AS summary,
       '[' || left(conversation_id, 12) || ' · ' || {day('summarized_at')} || ']' AS citation FROM newest""")
@@ -526,14 +532,16 @@ _sql("unfinished", "s", f"""
 _titles = """(SELECT list(conversation_title ORDER BY p, conversation_title)[1:10] FROM (SELECT conversation_title, min(position) AS p FROM {v} x WHERE x.domain = b.domain GROUP BY 1))"""
 _sql("domain_state_raw", "dsearch", f"""
     SELECT domain, matches, questions, conversations, {joined(_titles.format(v='dsearch'))} AS titles FROM (SELECT domain, count(*) AS matches,
-      count(*) FILTER (contains(content, '?')) AS questions, count(DISTINCT conversation_title) AS conversations FROM dsearch GROUP BY domain) b""")
+      count(*) FILTER (contains(content, '?')) AS questions, count(DISTINCT conversation_title) AS conversations FROM (
+        SELECT DISTINCT domain, message_id, content, conversation_title FROM khits WHERE role = 'user'
+          AND (rank = 0 OR domain NOT IN (SELECT domain FROM khits WHERE role = 'user' AND rank = 0))) GROUP BY domain) b""")
 _sql("dormant_raw", "m", f"""
     SELECT conversation_title, {ts('last_active')} AS last_active, msgs, questions FROM (SELECT conversation_title, max(created) AS last_active, count(*) AS msgs,
       count(*) FILTER ({_ask}) AS questions FROM m GROUP BY 1 HAVING questions > 0 ORDER BY last_active, conversation_title LIMIT 20)""")
 _brief = f", brief AS ({_top('fhits', 'domain', 50)})"
 _sql("domain_brief_raw", "fhits", _brief + f"""
     SELECT domain, keyword, matches, conversations, questions, {joined(_titles.format(v='brief'))} AS titles FROM (SELECT domain, keyword, count(*) AS matches,
-      count(DISTINCT conversation_title) AS conversations, count(*) FILTER (role = 'user' AND contains(content, '?')) AS questions FROM brief GROUP BY ALL) b""")
+      count(DISTINCT conversation_title) AS conversations, count(*) FILTER (role = 'user' AND contains(content, '?')) AS questions FROM fhits GROUP BY ALL) b""")
 _sql("domain_brief_raw_items", "fhits", _brief + " SELECT domain, position, conversation_title, source, role, left(content, 300) AS preview FROM brief WHERE position <= 10")
 _sql("domain_history_raw", "fhits", f"SELECT domain, keyword, year, month, source, count(*) AS msgs, count(*) FILTER ({_ask}) AS questions FROM fhits GROUP BY ALL")
 _sql("switch_cost_raw", "m", f"""
@@ -563,7 +571,7 @@ def _activity(view: str, scope: str) -> str:
 _sql("activity_raw", "m", _activity("m", "'(all)'"))
 _sql("activity_raw_domains", "fhits", _activity("fhits", "domain"))
 _sql("open_threads_raw", "m", f"""
-    , r AS (SELECT * EXCLUDE (position) FROM ({_top('m', '', 50, _ask)})),
+    , r AS (SELECT * FROM m WHERE {_ask}),
     p AS (SELECT conversation_title, count(*) AS questions FROM r GROUP BY 1 ORDER BY max((created, message_id)) DESC LIMIT 20)
     SELECT conversation_title AS title, questions, position, left(content, 200) AS question, {ts('created')} AS created
     FROM ({_top('r', 'conversation_title', 5)}) JOIN p USING (conversation_title)""")
@@ -572,7 +580,7 @@ _sql("coverage_raw", "m mv", f"""
       count(*) FILTER ({_ask}) AS questions, (SELECT count(*) FROM mv) AS vectors, CASE WHEN (SELECT count(*) FROM mv) > 0 THEN 'good' ELSE 'missing' END AS vector_status FROM m""")
 _sql("position_raw", "uhits", f"""
     SELECT topic, 'mention' AS kind, conversation_title, left(content, 300) AS preview, {ts('created')} AS "at", CAST(NULL AS DOUBLE) AS similarity
-    FROM ({_top('uhits', 'topic', 10)}) QUALIFY row_number() OVER (PARTITION BY topic, conversation_id ORDER BY created DESC, message_id DESC) = 1""")
+    FROM ({_top('(SELECT * FROM uhits QUALIFY row_number() OVER (PARTITION BY topic, conversation_id ORDER BY created DESC, message_id DESC) = 1)', 'topic', 10)})""")
 
 _sql("project_mentions", "m repos", f"""
     , p AS (SELECT unnest(['repo-1', 'repo-7', 'python']) AS project),
@@ -711,9 +719,12 @@ _sql("dim_check", "mv", """
     SELECT CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim, count(*) AS vectors, count(*) FILTER (len(embedding) <> 64) AS mismatched,
       count(*) FILTER (len(embedding) <> 64) = 0 AS ok FROM mv""")
 _sql("embed_pending", "nm mv", """
-    SELECT message_id, conversation_id, conversation_title, left(content, 8000) AS content, role, year, month FROM nm
-    WHERE role = 'user' AND drop_reason IS NULL AND message_id NOT IN (SELECT message_id FROM mv) AND length(content) >= 10""")
-_sql("summary_texts", "s", "SELECT conversation_id, left(summary, 2000) AS text FROM s WHERE length(summary) > 10")
+    SELECT message_id, piece, conversation_id, conversation_title, substr(content, piece * 8000 + 1, 8000) AS content, role, year, month
+    FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(length(content) / 8000) AS BIGINT)))) AS piece FROM nm
+      WHERE role = 'user' AND drop_reason IS NULL AND message_id NOT IN (SELECT message_id FROM mv) AND length(content) >= 10)""")
+_sql("summary_texts", "s", """
+    SELECT conversation_id, piece, substr(summary, piece * 2000 + 1, 2000) AS text
+    FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(length(summary) / 2000) AS BIGINT)))) AS piece FROM s WHERE length(summary) > 10)""")
 _bm25 = """
     , qs AS (SELECT * FROM (VALUES {queries}) t(query_id, query)),
     asked AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM qs),
@@ -753,15 +764,15 @@ _sql("unified", "ranked commits dt", f"""
 
 
 def _kind(kind: str, field: str, cap: int, width: int, dedupe: bool) -> str:
-    rows_ = f"""SELECT query_id, '{kind}' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY place, pos) AS position, item, title, citation FROM (
-        SELECT *, unnest({field}) AS item, unnest(range(len({field}))) AS pos FROM top) QUALIFY position <= {cap}"""
-    once = "QUALIFY row_number() OVER (PARTITION BY query_id, lower(left(item, 80)) ORDER BY position) = 1" if dedupe else ""
-    return f"SELECT query_id, kind, position, left(item, {width}) AS text, title, citation FROM ({rows_}) {once}"
+    once = "QUALIFY row_number() OVER (PARTITION BY query_id, lower(left(item, 80)) ORDER BY place, pos) = 1" if dedupe else ""
+    listed_ = f"SELECT * FROM (SELECT *, unnest({field}) AS item, unnest(range(len({field}))) AS pos FROM top) {once}"
+    return f"""SELECT query_id, '{kind}' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY place, pos) AS position, left(item, {width}) AS text, title, citation
+        FROM ({listed_}) QUALIFY position <= {cap}"""
 
 
 _sql("position_summary", "shits", f"""
     , top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE importance WHEN 'breakthrough' THEN 0 WHEN 'significant' THEN 1 ELSE 2 END, rank) AS place,
-      '[' || left(conversation_id, 12) || ' · ' || {day('summarized_at')} || ']' AS citation FROM shits WHERE rank <= 20 QUALIFY place <= 10)
+      '[' || left(conversation_id, 12) || ' · ' || {day('summarized_at')} || ']' AS citation FROM shits WHERE rank <= 20)
     SELECT query_id, 'summary' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY place) AS position, {cut('summary', 300)} AS text, title, citation FROM top
       WHERE summary <> '' QUALIFY position <= 5
     UNION ALL {_kind('decision', 'decisions', 10, 200, True)} UNION ALL {_kind('question', 'questions', 8, 200, True)} UNION ALL {_kind('quote', 'quotes', 5, 250, False)}""")
@@ -781,7 +792,7 @@ def _ingested(source: str, model: str, project: str, conv: str, title: str, mid:
     part = part or conv
     return f"""SELECT {lit(source)} AS source, {model} AS model, {project} AS project, {conv} AS conversation_id, {title} AS conversation_title, {mid} AS message_id, i AS msg_index,
         cnt AS conversation_msg_count, CAST(i = 0 AS BIGINT) AS is_first, CAST(i = cnt - 1 AS BIGINT) AS is_last, {role} AS role, {ts(at)} AS msg_timestamp,
-        {lit(precision)} AS temporal_precision, left({content}, 50000) AS content
+        {lit(precision)} AS temporal_precision, {content} AS content
       FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {part}) AS cnt FROM g WHERE {where})"""
 
 

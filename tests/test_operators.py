@@ -54,13 +54,13 @@ def test_domain_state_orders_newest_first(spark):
     at = datetime(2025, 1, 1)
     rows = [(f"c{i:02d}", "d", "routine", "exploring", [f"q{i}", "None identified", "shared"], [], at + timedelta(hours=i)) for i in range(30)]
     row = domain_state.domain_state(summaries(spark, rows).repartition(5), n=3).first()
-    assert row.open_questions == ["q29", "shared", "q28", "q27"] and row.conversations == 3
+    assert row.open_questions == ["q29", "shared", "q28", "q27"] and row.conversations == 30 and row.n_open_questions == 31
 
 
 def test_transcript_cap_is_exact_for_long_conversations(spark):
     rows = [("c", i, "user", "ab", "s", "T", f"m{i}") for i in range(6000)] + [("d", 0, "user", "short", "s", "T", "x")]
     m = spark.createDataFrame(rows, "conversation_id string, msg_index int, role string, content string, source string, conversation_title string, message_id string")
-    out = timeline.transcripts(m.repartition(6)).collect()
+    out = timeline.transcripts(m.repartition(6), cap=15_000).collect()
     assert len(out) == 1 and out[0].msg_count == 6000
     assert out[0].text == "\n\n".join("user: ab" for _ in range(6000))[:15000]
 
