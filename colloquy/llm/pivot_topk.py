@@ -97,7 +97,7 @@ def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray
             np.maximum(apart, np.abs(x_far[p] - q_far[row, p]), out=apart)
         apart = np.maximum(apart - 1e-6 * (1 + apart), 0)  # distances are rounded; bounds stay on the safe side
         bound = np.floor((q_norm[row] + x_norm - apart ** 2) / 2 + 1e-6)
-        order, start, best = None, 0, (np.zeros(0, np.int64), np.zeros(0))
+        start, best = 0, (np.zeros(0, np.int64), np.zeros(0))
         top = np.argpartition(-bound, min(4 * STEP, len(bound) - 1))[:4 * STEP] if len(bound) > 4 * STEP else np.arange(len(bound))
         top = top[np.argsort(-bound[top], kind="stable")]
         complete = len(top) == len(bound)
@@ -105,7 +105,10 @@ def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray
             if start >= len(top):
                 if complete:
                     break
-                top, complete = np.argsort(-bound, kind="stable"), True
+                rest = np.ones(len(bound), bool)
+                rest[top] = False
+                rest = np.flatnonzero(rest)
+                top, start, complete = rest[np.argsort(-bound[rest], kind="stable")], 0, True
                 continue
             if len(best[0]) == k and bound[top[start]] < best[1][-1]:
                 break

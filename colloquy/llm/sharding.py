@@ -29,16 +29,16 @@ def _votes(labels: DataFrame, links: DataFrame) -> DataFrame:
 def propagate(labels: DataFrame, links: DataFrame, capacity: int, n_shards: int, rounds: int = ROUNDS) -> DataFrame:
     """New shards of `labels` (id, size, shard, degree; linked nodes only) and whether a neighbour shares them.
 
-    `links` has both directions (a, b). In odd rounds nodes that have a smaller neighbour may move, in even rounds the
-    others, so two neighbours never change places. A shard takes movers, small groups' first, while its bytes stay within
+    `links` has both directions (a, b). In the first round nodes that have a smaller neighbour may move, so groups gather at
+    their smallest; in each later round half of the nodes, drawn by hash, so that neighbours do not keep changing places. A shard takes movers, small groups' first, while its bytes stay within
     `capacity`; sums by shard, class and hash step (bounded) come to the driver and go back as cut-offs. Each round's
     labels are a written table. Ends early when two rounds in a row moved nothing.
     """
     spark, quiet = labels.sparkSession, 0
     for turn in range(rounds):
         votes = _votes(labels, links)
-        lower = F.col("low") < F.col("id")
-        wishes = votes.where((F.col("there") > F.col("here")) & (lower if turn % 2 == 0 else ~lower))
+        free = F.pmod(F.xxhash64("id", F.lit(-turn)), F.lit(2)) == 0 if turn else F.col("low") < F.col("id")
+        wishes = votes.where((F.col("there") > F.col("here")) & free)
         step = F.floor(F.log2("of")).cast("int") * STEPS + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(STEPS)).cast("int")
         wishes = staged(wishes.select("id", "to", "size", step.alias("step")), "moves")
         held = dict.fromkeys(range(n_shards), 0) | {r["shard"]: r["size"] for r in labels.groupBy("shard").agg(F.sum("size").alias("size")).collect()}

@@ -131,11 +131,11 @@ def bag_min_hash(number: np.ndarray, shingle: np.ndarray, often: np.ndarray, tex
         points = int(np.clip(60_000 // len(text), 1, 64))
         draws = mix(state[:, None] + np.arange(1, 2 * points + 1, dtype=np.uint64) * np.uint64(GOLDEN))
         state = state + np.uint64(2 * points * GOLDEN & MASK)
-        gaps = -np.log(((draws[:, :points] >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0 ** -53) / length[:, None]
+        gaps = -np.log(((draws[:, 0::2] >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0 ** -53) / length[:, None]
         gaps[:, 0] += time
         times = np.cumsum(gaps, axis=1)
         time = times[:, -1]
-        other = draws[:, points:]
+        other = draws[:, 1::2]
         place = ((other >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         level = low[:, None] + 1 + ((other & np.uint64(0xFFFFFFFF)) * length[:, None].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         good = level <= weight[:, None]
