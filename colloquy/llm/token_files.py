@@ -48,8 +48,9 @@ class SequenceWriter:
         self.parts.append(ids.astype(self.width))
         self.waiting += len(ids)
         self.total += len(ids)
-        if self.waiting >= self.length * ROWS_PER_BATCH:
-            self._flush(self.waiting // self.length * self.length)
+        whole = self.length * ROWS_PER_BATCH
+        if self.waiting >= whole:
+            self._flush(self.waiting // whole * whole)
 
     def _flush(self, take: int) -> None:
         flat = np.concatenate(self.parts) if self.parts else np.zeros(0, self.width)
