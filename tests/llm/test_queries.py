@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from colloquy.llm import exact_dedup, mixing, near_dedup, oracle, queries
@@ -48,7 +49,8 @@ def test_pipeline_stages(spark):
         elif name == "near deduplication":
             assert sum(after.values()) == near_dedup.near_duplicates(docs).where("kept").count() and after <= before
         else:
-            assert out.select(mixing.size_of(out[1]).alias("n")).agg({"n": "sum"}).first()[0] == mixing.mix(docs).agg({"taken": "sum"}).first()[0]
+            plain = out.toDF(*[f"c{i}" for i in range(len(out.columns))])
+            assert plain.select(mixing.size_of(F.col("c1")).alias("n")).agg({"n": "sum"}).first()[0] == mixing.mix(docs).agg({"taken": "sum"}).first()[0]
         docs = spark.createDataFrame(out.collect(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
