@@ -856,6 +856,7 @@ _sql("stream_event_counts", "tel", f"""
 _sql("stream_tool_popularity", "tel", f"""
     SELECT {ts('window_start')} AS window_start, tool, count(*) AS calls FROM (SELECT *, date_trunc('day', ts) AS window_start FROM tel WHERE event = 'tool_called' AND tool IS NOT NULL)
     WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM tel WHERE event = 'tool_called' AND tool IS NOT NULL) - INTERVAL 1 HOUR GROUP BY ALL""")
+_sql("ingest_incremental", "g", f"SELECT conversation_id, message_id, msg_index, conversation_msg_count, role, msg_timestamp, content FROM ({_generic})")
 _sql("stream_ingest", "g", f"SELECT conversation_id, role, msg_timestamp, content FROM ({_generic})")
 _sql("stream_vectors", "nm", "SELECT message_id, CAST(64 AS BIGINT) AS dim FROM nm WHERE role = 'user' AND drop_reason IS NULL AND length(content) >= 10")
 _sql("stream_unique_messages", "", f"SELECT event_id AS message_id, {ts('ts')} AS msg_timestamp, event_type AS source FROM events")

@@ -319,6 +319,17 @@ def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return registry.read_messages(spark, f"{folder}/out").select("conversation_id", "role", "msg_timestamp", "content")
 
 
+def _ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(spark, "incremental")
+    lines = derive.generic_lines(spark, d).select("value", F.get_json_object("value", "$.conversation_id").alias("c"), "path", "block", "pos")
+    half = F.pmod(F.xxhash64("c"), F.lit(2))
+    for turn in (0, 1):
+        part = lines.where(half == turn).repartition(4, "c").sortWithinPartitions("path", "block", "pos")
+        summary_source.append_records(part.select("value"), f"{folder}/in/turn={turn}", full=True)
+        out = registry.ingest_incremental(spark, "generic", f"{folder}/in", f"{folder}/store", "part-*", as_of=AS_OF)
+    return out.select("conversation_id", "message_id", "msg_index", "conversation_msg_count", "role", "msg_timestamp", "content")
+
+
 def _stream_vectors(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark, "vectors")
     registry.write_messages(M(spark, d), f"{folder}/in")
@@ -331,6 +342,7 @@ def _stream_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("stream_ingest", _stream_ingest)
+_add("ingest_incremental", _ingest_incremental)
 _add("stream_vectors", _stream_vectors)
 _add("source_inventory", lambda spark, d: registry.source_inventory(
     spark, [(t, d, f"{t}.parquet") for t in ("conversations", "documents", "events", "embeddings")]).drop("path", "newest"))

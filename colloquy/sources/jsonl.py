@@ -13,8 +13,12 @@ from colloquy.sources.lines import block_text, directory, file_name, file_stem,
 SESSION_NOISE = ["warmup", "prompt is too long", "request interrupted"]
 
 
-def parse_generic(lines: DataFrame, source: str = "custom", as_of=None) -> DataFrame:
-    """One JSON record per line: role, content, a time, and optional ids, model, project and title."""
+def parse_generic(lines: DataFrame, source: str = "custom", as_of=None, place_ids: bool = False) -> DataFrame:
+    """One JSON record per line: role, content, a time, and optional ids, model, project and title.
+
+    With `place_ids` a message without an id is named by its line's place (path, block, pos) instead of its number in
+    the conversation, so that parts of a conversation read at different times do not share names.
+    """
     fields = (
         "role string, content string, timestamp string, created_at string, date string, conversation_id string, "
         "model string, project string, title string, message_id string, parent_id string"
@@ -29,12 +33,14 @@ def parse_generic(lines: DataFrame, source: str = "custom", as_of=None) -> DataF
     def given(name: str):
         return F.when(F.col(f"r.{name}") != "", F.col(f"r.{name}"))
 
+    place = F.md5(F.concat_ws(":", "path", "block", "pos"))
     rows = rec.select(
         "path", "block", "pos",
         F.lit(source).alias("source"), given("model").alias("model"), given("project").alias("project"),
         F.coalesce(given("conversation_id"), own_id).alias("conversation_id"),
         F.coalesce(given("title"), file_stem(F.col("path"))).alias("conversation_title"),
-        given("message_id").alias("message_id"), given("parent_id").alias("parent_id"),
+        (F.coalesce(given("message_id"), place) if place_ids else given("message_id")).alias("message_id"),
+        given("parent_id").alias("parent_id"),
         F.when(role == "assistant", "assistant").otherwise("user").alias("role"),
         F.col("r.content").alias("content"), tx.parse_ts(raw_ts, now).alias("ts"),
     )
@@ -45,8 +51,9 @@ def parse_sessions(lines: DataFrame, source: str = "claude-code") -> DataFrame:
     """Coding-session lines: text blocks of user and assistant, short and automatic messages left out."""
     fields = "type string, timestamp string, sessionId string, uuid string, message struct<role:string,model:string,content:string>"
     rec = lines.withColumn("r", F.from_json("value", fields)).where("r.type IN ('user', 'assistant')")
-    # The session of a file is the one its first message names, else the file's stem.
-    first = rec.groupBy("path").agg(F.min(F.struct("block", "pos", "r.sessionId")).alias("f")).select(
+    # The session of a file is the first that one of its messages names, else the file's stem.
+    named = F.when(F.col("r.sessionId") != "", F.struct("block", "pos", "r.sessionId"))
+    first = rec.groupBy("path").agg(F.min(named).alias("f")).select(
         F.col("path").alias("_p"), F.col("f.sessionId").alias("_session")
     )
     content = block_text(F.col("r.message.content"))

@@ -7,7 +7,7 @@ without reading a file in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy import schema
@@ -29,6 +29,12 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.jso
     )
 
 
+def number_lines(lines: DataFrame) -> DataFrame:
+    """`pos` as the line's number in its file block: the same in every run. A block is never longer than a file split."""
+    inside = Window.partitionBy("path", "block").orderBy("pos")
+    return lines.withColumn("pos", F.row_number().over(inside).cast("bigint") - 1)
+
+
 def read_documents(spark: SparkSession, path: str | list[str], pattern: str = "*.json") -> DataFrame:
     """Whole files as one text each; for formats where one file is one JSON value."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from colloquy.sources.lines import number_lines
 from colloquy.sources.registry import LINE_FORMATS, write_messages
 
 
@@ -26,15 +27,16 @@ def stream_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", max_f
 def ingest_stream(lines: DataFrame, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append the messages of arriving files to `target`.
 
-    A batch is whole files, so numbering inside a file is complete; a conversation spread over
-    files of several batches is renumbered by `finalize` on the stored table. Each batch owns a
-    folder it overwrites, so a batch repeated after a failure is stored once.
+    A batch is whole files. Lines are numbered inside their file block, and messages without an id are named by that
+    place, so ids do not depend on the batches; a conversation spread over files of several batches is renumbered by
+    `finalize` on the stored table. Each batch owns a folder it overwrites, so a batch repeated after a failure is stored
+    once. A file that grows later is not read again: `registry.ingest_incremental` is for such folders.
     """
     parse = LINE_FORMATS[source]
+    named = {"place_ids": True} if source == "generic" else {}
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("pos", F.monotonically_increasing_id())
-        write_messages(parse(placed), f"{target}/batch={batch_id}")
+        write_messages(parse(number_lines(batch.withColumn("pos", F.monotonically_increasing_id())), **named), f"{target}/batch={batch_id}")
 
     return (
         lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy import schema
 from colloquy.operators import vector
 from colloquy.sources import registry
+from colloquy.sources.lines import number_lines, read_lines
 from colloquy.streaming import streams
 
 START = datetime(2025, 1, 1)
@@ -57,8 +58,8 @@ def test_ingest_and_vectors_follow_arriving_files(spark, tmp_path):
     assert run().count() == 3
     arrive("b", 4)
     stored = run()
-    batch = registry.ingest(spark, "generic", str(source))
-    key = ["conversation_id", "msg_index", "content"]
+    batch = registry.LINE_FORMATS["generic"](number_lines(read_lines(spark, str(source))), place_ids=True)
+    key = ["conversation_id", "message_id", "msg_index", "content"]
     assert sorted(stored.select(key).collect()) == sorted(batch.select(key).collect())
     registry.write_messages(stored, str(tmp_path / "table"))
 
@@ -71,3 +72,38 @@ def test_ingest_and_vectors_follow_arriving_files(spark, tmp_path):
     registry.write_messages(batch.withColumn("message_id", F.concat("message_id", F.lit("x"))), str(tmp_path / "table"), mode="append")
     registry.write_messages(batch, str(tmp_path / "table"), mode="append")
     assert embed().count() == 14
+
+
+def test_ids_do_not_depend_on_batches(spark, tmp_path):
+    source, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    for name in ("a", "b"):
+        lines = [{"role": "user", "content": f"{name} message number {i}", "timestamp": "2025-03-01T10:00:00Z", "conversation_id": "one"} for i in range(2)]
+        (source / f"{name}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+        streams.ingest_stream(streams.stream_lines(spark, str(source)), "generic", target, state).awaitTermination()
+    rows = registry.read_messages(spark, target)
+    assert rows.count() == rows.select("message_id").distinct().count() == 4
+
+
+def test_incremental_ingest_reads_grown_files_again(spark, tmp_path):
+    source, store = tmp_path / "in", str(tmp_path / "store")
+    source.mkdir()
+
+    def put(name, count):
+        lines = [{"role": "user", "content": f"{name} message number {i}", "timestamp": "2025-03-01T10:00:00Z", "conversation_id": "one" if name != "c" else "two"} for i in range(count)]
+        (source / f"{name}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+
+    def same():
+        got = registry.ingest_incremental(spark, "generic", str(source), store, as_of="2024-06-01")
+        full = registry.LINE_FORMATS["generic"](registry.read_lines(spark, str(source)), as_of="2024-06-01")
+        key = ["conversation_id", "message_id", "msg_index", "conversation_msg_count", "content"]
+        assert sorted(got.select(key).collect()) == sorted(full.select(key).collect())
+        return got.count()
+
+    put("a", 2)
+    put("b", 3)
+    assert same() == 5
+    assert same() == 5
+    put("a", 6)
+    put("c", 1)
+    assert same() == 10
