@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,9 @@ from colloquy import schema
 from colloquy.functions.jsonlist import real_item, real_items
 from colloquy.functions.text import cite, preview
 from colloquy.operators.domain_state import importance_rank
-from colloquy.operators.matching import INLINE_TERMS, match_terms, tokens
+from colloquy.operators.matching import match_terms, tokens
 from colloquy.operators.ranking import top_per
+from colloquy.session import shared_folder
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -27,16 +29,18 @@ def query_frame(df: DataFrame, queries: Queries) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: Queries, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Best k documents per query by BM25: (query_id, rank, id, score)."""
+    """Best k documents per query by BM25: (query_id, rank, id, score). Rows that share an id are one document.
+
+    A list of queries is matched while the texts are read, once: lengths and matched terms, a small table, go to the shared
+    folder (this runs a job), and statistics and scores come from there. A table of queries is joined.
+    """
     asked = query_frame(docs, queries).select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_w"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if isinstance(queries, DataFrame):
-        scored = _bm25_joined(words, asked)
+        scored = _bm25_joined(rows, asked)
     else:
-        # The caller's own list: its terms are known here, so scoring needs no join.
         pairs = [(r["query_id"], r["term"]) for r in asked.collect()]
-        few = len({t for _, t in pairs}) <= INLINE_TERMS
-        scored = _bm25_inline(words, pairs) if few and pairs else _bm25_joined(words, asked)
+        scored = _bm25_listed(rows, pairs) if pairs else _bm25_joined(rows, asked)
     scored = scored.withColumn("score", F.round("score", 9))
     return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k, "rank").select(
         "query_id", "rank", "id", "score"
@@ -51,43 +55,45 @@ def _idf(n_docs: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def _bm25_inline(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Scores of a few known terms inside the row: one pass for the frequencies, one for the scores."""
+def _bm25_listed(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Scores of listed terms from each document's length and the listed words it holds."""
     terms = sorted({t for _, t in pairs})
-    known = words.select("id", F.size("_w").alias("dl"), F.filter("_w", lambda w: w.isin(terms)).alias("_m"))
-    stats = known.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"),
-            F.array(*[F.count_if(F.array_contains("_m", t)) for t in terms]).alias("df"),
-        ).alias("s")
-    ).scalar()
-    found = known.withColumn("_s", stats)
+    low = F.lower("text")
+    words = F.regexp_count(low, F.lit(r"(?U)\w+"))
+    hits = F.regexp_extract_all(low, F.lit(r"(?U)\b(" + "|".join(sorted(terms, key=len, reverse=True)) + r")\b"), F.lit(1))
+    path = shared_folder(rows.sparkSession, "bm25")
+    rows.select("id", F.coalesce(words, F.lit(0)).alias("dl"), hits.alias("hits")).write.parquet(path)
+    known = rows.sparkSession.read.parquet(path).groupBy("id").agg(F.sum("dl").alias("dl"), F.flatten(F.collect_list("hits")).alias("hits"))
+    totals = known.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"),
+        F.array(*[F.count_if(F.array_contains("hits", t)) for t in terms]).alias("df"),
+    ).first()
+    idf = {t: math.log(1 + (totals["n"] - df + 0.5) / (df + 0.5)) for t, df in zip(terms, totals["df"])}
 
     def part(term: str) -> Column:
-        tf = F.size(F.filter("_m", lambda w: w == term)).cast("double")
-        idf = _idf(F.col("_s.n"), F.get(F.col("_s.df"), F.lit(terms.index(term))))
-        return _weight(idf, tf, F.col("dl"), F.col("_s.mean"))
+        tf = F.size(F.filter("hits", lambda w: w == term)).cast("double")
+        return _weight(F.lit(idf[term]), tf, F.col("dl"), F.lit(totals["mean"]))
 
-    parts = found.select("id", *[part(t).alias(f"_p{i}") for i, t in enumerate(terms)])
+    parts = known.where(F.size("hits") > 0).select("id", *[part(t).alias(f"_p{i}") for i, t in enumerate(terms)])
     by_query: dict[str, Column] = {}
     for query_id, term in pairs:
         own = F.col(f"_p{terms.index(term)}")
         by_query[query_id] = by_query[query_id] + own if query_id in by_query else own
-    rows = F.array(*[F.struct(F.lit(q).alias("query_id"), total.alias("score")) for q, total in by_query.items()])
-    return parts.select("id", F.explode(rows).alias("r")).select("r.query_id", "id", "r.score").where("score > 0")
+    found = F.array(*[F.struct(F.lit(q).alias("query_id"), total.alias("score")) for q, total in by_query.items()])
+    return parts.select("id", F.explode(found).alias("r")).select("r.query_id", "id", "r.score").where("score > 0")
 
 
-def _bm25_joined(words: DataFrame, asked: DataFrame) -> DataFrame:
+def _bm25_joined(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Scores by joining tokens with a table of query terms of any size."""
     terms = asked.select("term").distinct()
-    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avg"))
+    words = rows.select("id", tokens(F.col("text")).alias("_w"))
+    lengths = words.groupBy("id").agg(F.coalesce(F.sum(F.size("_w")), F.lit(0)).alias("dl"))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
     n_docs, mean = totals.select("n").scalar(), totals.select("avg").scalar()
     # Equal tokens of a text merge before the join, so a frequent word moves once per text.
     postings = (
-        words.select("id", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .join(terms, "term", "left_semi")
+        words.select("id", F.explode("_w").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        .join(terms, "term", "left_semi").join(lengths, "id")
     )
     idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", _idf(n_docs, F.col("df")).alias("idf"))
     weights = asked.join(idf, "term")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,16 +169,37 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 
 def hash_embed(df: DataFrame, text_col: str, out: str = "embedding", dim: int = 256) -> DataFrame:
-    """Deterministic vectors from word hashes, scaled to length one."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    """Deterministic vectors of word counts by bucket (the first 32 bits of the word's MD5, modulo `dim`), scaled to length one.
 
+    A text without words has the zero vector.
+    """
     from colloquy.operators.matching import tokens
 
-    words = df.withColumn("_words", tokens(F.col(text_col)))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
-    scaled = Normalizer(inputCol="_tf", outputCol="_norm").transform(counted)
-    return scaled.withColumn(out, vector_to_array("_norm", "float32")).drop("_words", "_tf", "_norm")
+    @F.pandas_udf("array<float>")
+    def counted(buckets: pd.Series) -> pd.Series:
+        rows = []
+        for own in buckets:
+            counts = np.bincount(own, minlength=dim).astype(np.float64) if own is not None and len(own) else np.zeros(dim)
+            rows.append((counts / max(np.sqrt((counts**2).sum()), 1e-300)).astype(np.float32))
+        return pd.Series(rows)
+
+    number = F.transform(tokens(F.col(text_col)), lambda w: F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("bigint"))
+    return df.withColumn(out, counted(F.transform(number, lambda n: F.pmod(n, F.lit(dim)).cast("int"))))
+
+
+def semantic_topk(
+    df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "text",
+    encoder: Callable[[DataFrame, str], DataFrame] = hash_embed,
+) -> DataFrame:
+    """The k rows of `df` whose texts are nearest to each query's text: (query_id, rank, id, similarity).
+
+    `queries` holds (query_id, query). `encoder` adds a column `embedding` to a table for one of its text columns; texts and
+    queries pass through the same one. Distances are compared to nine places, so that equal texts are ranked by id.
+    """
+    vectors = encoder(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "embedding")
+    asked = encoder(queries.select("query_id", "query"), "query").select("query_id", F.col("embedding").alias("vector"))
+    near = vector_topk(vectors, asked, 2 * k).drop("rank").withColumn("_d", F.round("distance", 9))
+    return top_per(near, ["query_id"], [F.col("_d"), F.col("id")], k, "rank").select("query_id", "rank", "id", "similarity")
 
 
 def encode(df: DataFrame, text_col: str, embed_batch: Callable[[list[str]], list[list[float]]], out: str = "embedding", batch: int = 50) -> DataFrame:

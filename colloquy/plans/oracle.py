@@ -745,6 +745,35 @@ _sql("hybrid", "shits", _bm25.format(queries=rows(_labelled), where="") + """
 _sql("search_summaries", "s", _bm25.format(queries=rows(q.TEXT_QUERIES), where="WHERE importance = 'significant'") + f"""
     SELECT query_id, rank, conversation_id, left(title, 80) AS title, domain_primary, thinking_stage, source, importance, {joined('concepts[1:8]')} AS concepts
     FROM texthits JOIN s ON s.conversation_id = id WHERE rank <= 10""")
+_hashed = """
+    , tx AS ({texts}),
+    tw AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS w FROM tx),
+    tb AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS bucket, count(*) AS n FROM tw GROUP BY ALL),
+    te AS (SELECT id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS v FROM tb)"""
+_nearest = _hashed + """,
+    qx AS (SELECT * FROM (VALUES {queries}) t(query_id, query)),
+    qw AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS w FROM qx),
+    qb AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS bucket, count(*) AS n FROM qw GROUP BY ALL),
+    qe AS (SELECT query_id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS FLOAT) AS DOUBLE) AS v FROM qb),
+    tn AS (SELECT tx.id, coalesce(sum(v * v), 0) AS s FROM tx LEFT JOIN te ON te.id = tx.id GROUP BY tx.id),
+    qn AS (SELECT qx.query_id, coalesce(sum(v * v), 0) AS s FROM qx LEFT JOIN qe USING (query_id) GROUP BY qx.query_id),
+    dots AS (SELECT qe.query_id, te.id, sum(qe.v * te.v) AS p FROM qe JOIN te USING (bucket) GROUP BY ALL),
+    apart AS (SELECT qn.query_id, tn.id, round(qn.s + tn.s - 2 * coalesce(p, 0), 9) AS distance FROM qn CROSS JOIN tn
+      LEFT JOIN dots ON dots.query_id = qn.query_id AND dots.id = tn.id),
+    near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, 1 / (1 + distance) AS similarity FROM apart)"""
+_sql("hash_embed", "m", _hashed.format(texts="SELECT message_id AS id, content AS text FROM m") + " SELECT id AS message_id, bucket, round(v, 6) AS weight FROM te")
+for _name, _view, _texts in [
+    ("semantic_search", "m", "SELECT message_id AS id, content AS text FROM m"), ("docs_semantic", "dt", "SELECT filename AS id, content AS text FROM dt"),
+    ("commits_semantic", "commits", "SELECT commit_id AS id, message AS text FROM commits"),
+]:
+    _sql(_name, _view, _nearest.format(texts=_texts, queries=rows(q.TEXT_QUERIES)) + " SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM near WHERE rank <= 10")
+_significant = _nearest.format(texts="SELECT conversation_id AS id, summary AS text FROM s WHERE importance = 'significant'", queries=rows(q.TEXT_QUERIES))
+_sql("search_summaries_vector", "s", _significant + " SELECT query_id, rank, id AS conversation_id, round(similarity, 6) AS score FROM near WHERE rank <= 10")
+_sql("search_summaries_hybrid", "s", _bm25.format(queries=rows(q.TEXT_QUERIES), where="WHERE importance = 'significant'") + _significant + """,
+    f AS (SELECT query_id, id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score
+      FROM (SELECT * FROM texthits WHERE rank <= 30) a FULL JOIN (SELECT * FROM near WHERE rank <= 30) b USING (query_id, id)),
+    g AS (SELECT query_id, id, round(score, 9) AS score FROM f)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id AS conversation_id, round(score, 6) AS score FROM g QUALIFY rank <= 10""")
 _sql("extract_items", "shits", """
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS position, left(item, 250) AS item, title, domain_primary, importance, conversation_id
     FROM (SELECT *, unnest(questions) AS item, unnest(range(len(questions))) AS pos FROM shits WHERE rank <= 10) QUALIFY position <= 8""")

@@ -244,7 +244,27 @@ _add("vector_stats", _on(derive.message_vectors, vector.vector_stats))
 _add("dim_check", _on(derive.message_vectors, lambda v: vector.dim_check(v, 64)))
 _add("embed_pending", lambda spark, d: vector.embed_pending(M(spark, d), derive.message_vectors(spark, d)))
 _add("summary_texts", _on(S, vector.summary_texts))
-_add("hash_embed", _on(M, lambda m: vector.hash_embed(m.select("message_id", "content"), "content", dim=64).select("message_id", "embedding")))
+_add("hash_embed", _on(M, lambda m: vector.hash_embed(m.select("message_id", "content"), "content", dim=64).select(
+    "message_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))))
+
+
+def _semantic(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
+    asked = spark.createDataFrame(TEXT_QUERIES, "query_id string, query string")
+    return vector.semantic_topk(rows, asked, k, id_col, text_col, lambda df, text: vector.hash_embed(df, text, dim=64))
+
+
+def _search_summaries(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    rows = fulltext.filter_summaries(S(spark, d), importance="significant")
+    hits = _semantic(spark, rows, "conversation_id", "embedding_text", 30)
+    return fulltext.search_summaries(S(spark, d), TEXT_QUERIES, hits, mode=mode, importance="significant").select(
+        "query_id", "rank", "conversation_id", F.round("score", 6).alias("score"))
+
+
+_add("semantic_search", lambda spark, d: _semantic(spark, M(spark, d), "message_id", "content").withColumn("similarity", F.round("similarity", 6)))
+_add("docs_semantic", lambda spark, d: _semantic(spark, derive.docs(spark, d), "filename", "content").withColumn("similarity", F.round("similarity", 6)))
+_add("commits_semantic", lambda spark, d: _semantic(spark, derive.commits(spark, d), "commit_id", "message").withColumn("similarity", F.round("similarity", 6)))
+_add("search_summaries_vector", lambda spark, d: _search_summaries(spark, d, "vector"))
+_add("search_summaries_hybrid", lambda spark, d: _search_summaries(spark, d, "hybrid"))
 _add("bm25", _on(S, lambda s: fulltext.bm25(s, TEXT_QUERIES, 10, "conversation_id", "embedding_text").withColumn("score", F.round("score", 6))))
 _add("hybrid", lambda spark, d: fulltext.hybrid(
     fulltext.bm25(S(spark, d), [(f"label-{i}", q) for i, (_, q) in enumerate(TEXT_QUERIES)], 30, "conversation_id", "embedding_text"),

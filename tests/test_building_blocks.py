@@ -57,11 +57,11 @@ def pairs(df):
     return sorted((r.id, r.topic) for r in df.collect())
 
 
-@pytest.fixture(params=["automaton", "grams"])
+@pytest.fixture(params=["one slice", "many slices"])
 def large_path(request, monkeypatch):
-    """Both ways of matching a table of terms."""
-    if request.param == "grams":
-        monkeypatch.setattr(matching, "AUTOMATON_TERMS", 1)
+    """A table of terms in one pass over the texts, and in several."""
+    if request.param == "many slices":
+        monkeypatch.setattr(matching, "SLICE_CHARS", 200)
 
 
 def test_terms_inline_table_and_brute_force_agree(spark, large_path):
@@ -81,6 +81,17 @@ def test_many_terms_over_random_texts(spark, large_path):
     assert pairs(matching.match_terms(df, ["text"], spark.createDataFrame([(w,) for w in words], "w string"), key="id")) == want
 
 
+def test_number_of_terms_and_blank_terms_change_nothing(spark):
+    df = spark.createDataFrame([(0, "term7 and term31"), (1, "nothing"), (2, "")], "id int, text string")
+    for n in (32, 33, 40):
+        listed = ["", None, *[f"Term{i}" for i in range(n)]]
+        want = [(0, t) for t in sorted(listed[2:]) if t.lower() in "term7 and term31"]
+        assert pairs(matching.match_terms(df, ["text"], listed)) == want
+        table = spark.createDataFrame([(t,) for t in listed], "topic string")
+        assert pairs(matching.match_terms(df, ["text"], table)) == want
+    assert pairs(matching.match_terms(df, ["text"], [])) == pairs(matching.match_terms(df, ["text"], [""])) == []
+
+
 def test_wildcards(spark):
     df = spark.createDataFrame([(0, "what is next step"), (1, "next what"), (2, "repo-1"), (3, "repo")], "id int, text string")
     assert pairs(matching.match_terms(df, ["text"], ["what%step", "repo-_"], wildcards=True)) == [(0, "what%step"), (2, "repo-_")]
@@ -158,3 +169,24 @@ def test_bm25_list_and_table_of_queries_agree(spark):
     table = spark.createDataFrame(queries, "query_id string, query string")
     inline, joined = fulltext.bm25(df, queries, 10).collect(), fulltext.bm25(df, table, 10).collect()
     assert sorted(inline) == sorted(joined) and {r.query_id for r in inline} == {"a", "b"}
+
+
+def test_bm25_rows_of_one_id_are_one_document(spark):
+    apart = spark.createDataFrame([("a", "red blue"), ("a", "red green"), ("b", "blue"), ("c", None)], "id string, text string")
+    whole = spark.createDataFrame([("a", "red blue red green"), ("b", "blue"), ("c", "")], "id string, text string")
+    table = spark.createDataFrame([("q", "red blue")], "query_id string, query string")
+    results = [sorted(fulltext.bm25(df, q, 5).collect()) for df in (apart, whole) for q in ([("q", "red blue")], table)]
+    assert all(r == results[0] for r in results) and len(results[0]) == 2
+
+
+def test_percentile_of_small_values_uses_many_buckets(spark):
+    df = spark.createDataFrame([("k", i * 1e-8) for i in range(2001)] + [("k", -5.0)], "k string, v double")
+    assert exact_percentile(df, ["k"], "v", 0.5, "p").first().p == pytest.approx(999.5e-8 + 0.0, rel=1e-6)
+
+
+def test_vectors_of_other_lengths_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (3, None)], "id int, embedding array<double>")
+    got = vector.vector_topk(df, [("a", [1.0, 2.0]), ("b", [0.0, 0.0, 0.0])], 5).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [("a", 1), ("b", 2)]
+    with pytest.raises(Exception, match="no query has as many"):
+        vector.vector_topk(df, [("a", [1.0, 2.0])], 5).collect()
