@@ -834,13 +834,14 @@ _sess_where = f"{_chat} AND length(clean) >= 5 AND lower(clean) NOT IN ('warmup'
 _sessions = _ingested("claude-code", "'m2'", "'me-proj-' || (c % 6)", "'cc_local_' || CASE WHEN c % 3 <> 0 THEN 's' || c ELSE 'sess' || c END", "'me-proj-' || (c % 6)",
     "'u' || c || '-' || t", "t", "role", "stamp", "day", "clean", _sess_where, "c")
 _sql("ingest_sessions", "g", _sessions)
-_sql("ingest_forward_fill", "g", f"""
+_agent_views = """
     , mods AS (SELECT c, t, 'model' || (t % 2) AS model FROM g WHERE t % 3 = 0 AND c % 2 = 0),
     seen AS (SELECT g.*, (SELECT arg_max(x.model, (x.c, x.t)) FROM mods x WHERE x.c % 40 = g.c % 40 AND (x.c < g.c OR (x.c = g.c AND x.t <= g.t))) AS model,
-      (SELECT max(x.c) FROM g x WHERE x.t = 0 AND x.c % 40 = g.c % 40 AND x.c <= g.c) AS sess FROM g),
-    """.rstrip().rstrip(",") + " " + _ingested("clawdbot", "coalesce(model, 'unknown')", "CAST(NULL AS VARCHAR)", "CASE WHEN sess IS NULL THEN 'run' || (c % 40) ELSE 'agent' || sess END",
+      (SELECT max(x.c) FROM g x WHERE x.t = 0 AND x.c % 40 = g.c % 40 AND x.c <= g.c) AS sess FROM g) """
+_agents = _ingested("clawdbot", "coalesce(model, 'unknown')", "CAST(NULL AS VARCHAR)", "CASE WHEN sess IS NULL THEN 'run' || (c % 40) ELSE 'agent' || sess END",
     "'Clawdbot ' || left('run' || (c % 40), 8)", "'a' || c || '-' || t", "c, t", "role", "stamp", "exact", "clean",
-    f"{_chat} AND length(clean) > 0 AND c % 40 <> 39").replace(" FROM g WHERE", " FROM seen WHERE"))
+    f"{_chat} AND length(clean) > 0 AND c % 40 <> 39").replace(" FROM g WHERE", " FROM seen WHERE")
+_sql("ingest_forward_fill", "g", _agent_views + _agents)
 _transcript = _ingested("cursor", "CAST(NULL AS VARCHAR)", "'proj-' || (c % 6)", "'cursor_agent_tr' || c", "'Cursor Agent: proj-' || (c % 6)",
     "CASE WHEN c % 2 = 0 THEN 'tr' || c || '_' || (t // 1000) || '_' || t ELSE 'x' || c || '-' || t END", "t", "role", "stamp", "exact", "clean", f"{_chat} AND length(clean) >= 5", "c")
 _sql("ingest_transcript", "g", _transcript)
@@ -860,13 +861,20 @@ _gemini = _ingested("gemini-cli", "CAST(NULL AS VARCHAR)", "'gemini-' || left('h
     "CASE WHEN t % 2 = 0 THEN 'i' || t ELSE 's' || nm || '_' || u END", "t", "role", "stamp", "exact", "clean", f"{_chat} AND length(clean) >= 3", "nm").replace(" FROM g WHERE", " FROM g WHERE") + " y"
 _sql("ingest_gemini", "g", _gemini)
 _kv_conv = "CASE WHEN c % 2 = 0 THEN 'cursor_tab' || nm ELSE 'cursor_composer_k' || nm END"
-_sql("ingest_kv_chats", "g", _ingested("cursor", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", _kv_conv, "CASE WHEN c % 2 = 0 THEN 'Cursor Chat' ELSE 'Topic ' || nm END",
-    f"{_kv_conv} || '_' || u", "t", "role", "stamp", "exact", "clean", f"{_chat} AND length(clean) >= CASE WHEN c % 2 = 0 THEN 1 ELSE 5 END", "nm"))
-_sql("ingest_all", "g", f"""
+_kv_chats = _ingested("cursor", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", _kv_conv, "CASE WHEN c % 2 = 0 THEN 'Cursor Chat' ELSE 'Topic ' || nm END",
+    f"{_kv_conv} || '_' || u", "t", "role", "stamp", "exact", "clean", f"{_chat} AND length(clean) >= CASE WHEN c % 2 = 0 THEN 1 ELSE 5 END", "nm")
+_sql("ingest_kv_chats", "g", _kv_chats)
+_sql("ingest_all", "g", _agent_views + f"""
     SELECT source, count(*) AS messages, count(DISTINCT conversation_id) AS conversations, max(msg_timestamp) AS last_message
-    FROM ({_generic} UNION ALL {_sessions} UNION ALL {_transcript} UNION ALL {_gemini}) GROUP BY source""")
+    FROM ({_generic} UNION ALL {_sessions} UNION ALL {_transcript} UNION ALL {_gemini} UNION ALL {_agents}
+      UNION ALL {_kv_chats} UNION ALL {_export("chatgpt", "chatgpt_", "e_at, t")} UNION ALL {_export("chatgpt-export", "chatgpt_export_", "e_at, depth, t")}) GROUP BY source""")
 _sql("summaries_from_records", "", """
-    SELECT conversation_id, source, title, msg_count, text AS summary, array_to_string(cs, ' | ') AS concepts, d AS decisions, CASE WHEN old THEN '' ELSE q1 || ' | ' || q2 END AS open_questions,
+    SELECT conversation_id, source, title, msg_count, text AS summary, '{}' AS command_language, '[]' AS corrections_json, '[]' AS temporal_facts_json,
+      CASE WHEN old THEN '[]' ELSE '[{"from":"c' || (doc_id % 17) || '","to":"c' || (doc_id % 5) || '","relation":"' || CASE WHEN doc_id % 7 = 0 THEN 'causes' ELSE 'implements' END
+        || '","confidence":' || CASE WHEN doc_id % 9 = 0 THEN '0.3' ELSE '0.8' END || '}]' END AS edges_json,
+      CASE WHEN old THEN '[]' ELSE '[{"kind":"' || CASE WHEN doc_id % 8 = 0 THEN 'poem' ELSE 'quote' END || '","content":"'
+        || CASE WHEN doc_id % 6 = 0 THEN 'short' ELSE 'a text that is long enough' END || '"}]' END AS assets_json,
+      array_to_string(cs, ' | ') AS concepts, d AS decisions, CASE WHEN old THEN '' ELSE q1 || ' | ' || q2 END AS open_questions,
       CASE WHEN old THEN 'significant' ELSE 'routine' END AS importance, 'domain-' || (doc_id % 8) AS domain_primary, CASE WHEN old THEN '' ELSE 'exploring' END AS thinking_stage,
       CASE WHEN old THEN '' ELSE 'when needed' END AS resurface_when, text || CASE WHEN len(cs) > 0 THEN '. Concepts: ' || array_to_string(cs, ', ') ELSE '' END || '. Decisions: ' || d
         || CASE WHEN old THEN '' ELSE '. Open questions: ' || q1 || '; ' || q2 || '. Resurface: when needed' END AS embedding_text, left(md5(text), 16) AS summary_hash

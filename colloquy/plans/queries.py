@@ -22,7 +22,6 @@ from colloquy.sources import documents as doc_sources
 from colloquy.sources import jsonl
 from colloquy.sources import summaries as summary_source
 from colloquy.sources import registry
-from colloquy.sources.registry import union_messages
 from colloquy.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,12 +297,32 @@ _add("ingest_export_tree", lambda spark, d: doc_sources.parse_export(
     derive.export_docs(spark, d), "chatgpt-export", tree_order=True, as_of=AS_OF).select(INGESTED))
 _add("ingest_gemini", lambda spark, d: doc_sources.parse_gemini(derive.gemini_docs(spark, d), as_of=AS_OF).select(INGESTED))
 _add("ingest_kv_chats", lambda spark, d: doc_sources.parse_kv_chats(derive.kv_items(spark, d), as_of=AS_OF).select(INGESTED))
-_add("ingest_all", lambda spark, d: timeline.source_stats(union_messages([
-    jsonl.parse_generic(derive.generic_lines(spark, d), as_of=AS_OF), jsonl.parse_sessions(derive.session_lines(spark, d)),
-    jsonl.parse_transcripts(derive.transcript_lines(spark, d), as_of=AS_OF), doc_sources.parse_gemini(derive.gemini_docs(spark, d), as_of=AS_OF)])))
+DERIVED_SOURCES = {
+    "custom": lambda spark, d: jsonl.parse_generic(derive.generic_lines(spark, d), as_of=AS_OF),
+    "claude-code": lambda spark, d: jsonl.parse_sessions(derive.session_lines(spark, d)),
+    "clawdbot": lambda spark, d: jsonl.parse_agent_sessions(derive.agent_lines(spark, d), as_of=AS_OF),
+    "cursor": lambda spark, d: jsonl.parse_transcripts(derive.transcript_lines(spark, d), as_of=AS_OF),
+    "cursor-kv": lambda spark, d: doc_sources.parse_kv_chats(derive.kv_items(spark, d), as_of=AS_OF),
+    "chatgpt": lambda spark, d: doc_sources.parse_export(derive.export_docs(spark, d), as_of=AS_OF),
+    "chatgpt-export": lambda spark, d: doc_sources.parse_export(derive.export_docs(spark, d), "chatgpt-export", tree_order=True, as_of=AS_OF),
+    "gemini-cli": lambda spark, d: doc_sources.parse_gemini(derive.gemini_docs(spark, d), as_of=AS_OF),
+}
+
+
+def _ingest_all(spark: SparkSession, d: str) -> DataFrame:
+    """All eight formats through the registry into the stored table, counted from there."""
+    for name, reader in DERIVED_SOURCES.items():
+        registry.register_source(f"derived:{name}", reader)
+    target = f"{shared_folder(spark, 'all')}/messages"
+    registry.write_messages(registry.ingest_all(spark, [(f"derived:{name}", d) for name in DERIVED_SOURCES]), target)
+    return timeline.source_stats(registry.read_messages(spark, target))
+
+
+_add("ingest_all", _ingest_all)
 _add("summaries_from_records", lambda spark, d: summary_source.summaries_from_records(derive.record_lines(spark, d), AS_OF).select(
     "conversation_id", "source", "title", "msg_count", "summary", "concepts", "decisions", "open_questions", "importance",
-    "domain_primary", "thinking_stage", "resurface_when", "embedding_text", "summary_hash"))
+    "domain_primary", "thinking_stage", "resurface_when", "embedding_text", "summary_hash", "command_language", "edges_json",
+    "corrections_json", "temporal_facts_json", "assets_json"))
 _add("record_violations", lambda spark, d: quality.record_violations(summary_source.decode_records(derive.record_lines(spark, d))))
 _add("concept_edges", lambda spark, d: quality.concept_degrees(quality.concept_edges(summary_source.decode_records(derive.record_lines(spark, d)))))
 

@@ -40,7 +40,8 @@ SUMMARIES = _struct(
         "importance": STR, "domain_primary": STR, "domain_secondary": STR,
         "thinking_stage": STR, "emotional_tone": STR, "cognitive_pattern": STR,
         "problem_solving_approach": STR, "content_category": STR,
-        "resurface_when": STR, "embedding_text": STR,
+        "resurface_when": STR, "command_language": STR, "edges_json": STR, "corrections_json": STR,
+        "temporal_facts_json": STR, "assets_json": STR, "embedding_text": STR,
         "summarized_at": TS, "summary_hash": STR,
     }
 )

@@ -142,4 +142,5 @@ register_source(
     "chatgpt-export",
     lambda spark, path: documents.parse_export(read_documents(spark, path), source="chatgpt-export", tree_order=True),
 )
+register_source("cursor-kv", lambda spark, path: documents.parse_kv_chats(spark.read.schema("key string, value string").json(path)))
 register_source("gemini-cli", lambda spark, path: documents.parse_gemini(read_documents(spark, path)))

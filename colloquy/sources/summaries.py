@@ -11,7 +11,7 @@ from colloquy.functions.jsonlist import item_names, json_list
 
 
 _DATA = ["summary", "concepts", "decisions", "open_questions", "quotable", "importance", "domain_primary", "domain_secondary",
-         "thinking_stage", "emotional_tone", "cognitive_pattern"]
+         "thinking_stage", "emotional_tone", "cognitive_pattern", "command_language", "edges", "corrections", "temporal_facts", "assets"]
 _SUMMARY = ["text", "quotable", "importance", "domain_primary", "domain_secondary", "thinking_stage", "emotional_tone",
             "cognitive_pattern", "resurface_when"]
 
@@ -64,6 +64,8 @@ def summaries_from_records(lines: DataFrame, summarized_at=None) -> DataFrame:
             labelled("Decisions: ", F.array_join("decisions", "; ")),
             labelled("Open questions: ", F.array_join("open_questions", "; ")), labelled("Resurface: ", resurface),
         ).alias("embedding_text"),
+        F.coalesce("data.command_language", F.lit("{}")).alias("command_language"),
+        *[F.coalesce(f"data.{name}", F.lit("[]")).alias(f"{name}_json") for name in ("edges", "corrections", "temporal_facts", "assets")],
         when.alias("summarized_at"), F.left(F.md5(summary), F.lit(16)).alias("summary_hash"),
     )
     return schema.conform(out, schema.SUMMARIES)
