@@ -333,10 +333,21 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return derive.telemetry_of(spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
-_add("stream_event_counts", lambda spark, d: streams.run_to_files(
-    streams.window_counts(_event_stream(spark, d), "ts", "event"), shared_folder(spark, "counts")))
-_add("stream_tool_popularity", lambda spark, d: streams.run_to_files(
-    streams.tool_popularity_stream(_event_stream(spark, d)), shared_folder(spark, "tools")).drop("users", "p95_latency_ms"))
+def _tool_popularity_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as they are; the approximate ones as whether users are within a tenth (or one) and the 95th percentile is between the 90th and the largest."""
+    found = streams.run_updates(streams.tool_popularity_stream(_event_stream(spark, d)), shared_folder(spark, "tools"), ["window_start", "tool"])
+    calls = derive.telemetry(spark, d).where("event = 'tool_called'").select(
+        F.date_trunc("day", "ts").alias("window_start"), "machine_id", F.from_json("props", "tool string, latency_ms double").alias("p"))
+    exact = calls.groupBy("window_start", F.col("p.tool").alias("tool")).agg(
+        F.countDistinct("machine_id").alias("n"), F.percentile("p.latency_ms", F.array(F.lit(0.9), F.lit(1.0))).alias("p"))
+    near = F.abs(F.col("users") - F.col("n")) <= F.greatest(F.col("n") * 0.1, F.lit(1))
+    fast = F.col("p95_latency_ms").between(F.col("p")[0], F.col("p")[1])
+    return found.join(exact, ["window_start", "tool"]).select("window_start", "tool", "calls", near.alias("users_within"), F.coalesce(fast, F.lit(True)).alias("p95_within"))
+
+
+_add("stream_event_counts", lambda spark, d: streams.run_updates(
+    streams.window_counts(_event_stream(spark, d), "ts", "event"), shared_folder(spark, "counts"), ["window_start", "event"]))
+_add("stream_tool_popularity", _tool_popularity_stream)
 
 
 def _message_stream(spark: SparkSession, d: str) -> DataFrame:

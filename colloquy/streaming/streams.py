@@ -90,6 +90,25 @@ def embed_stream(
     )
 
 
+def run_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what is available now and return its result, open groups included.
+
+    Every micro-batch writes the groups it changed to a folder it owns, so a repeated batch is stored once; a group's newest
+    row counts. The state is that of update mode: closed groups leave it once the watermark has passed.
+    """
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
+
+    (
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    rest = [c for c in stream.columns if c not in keys]
+    kinds = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
+    stored = stream.sparkSession.read.schema(f"{kinds}, batch bigint").parquet(f"{folder}/data")
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*").select(*stream.columns)
+
+
 def run_to_files(stream: DataFrame, folder: str, output: str = "append") -> DataFrame:
     """Run a stream over what is available now into parquet files and return them as a table."""
     spark = stream.sparkSession
