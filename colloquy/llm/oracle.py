@@ -34,5 +34,44 @@ ORACLE: dict[str, str] = {
 }
 
 
+def _secret_spans() -> str:
+    """Base spans by the three patterns, then hulls of high-entropy windows of long strings that are not allow-listed."""
+    assign = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [("assign", assign), ("access", "AKIA[A-Z0-9]{16,}"), ("hex", "[0-9a-f]{24,}"), ("candidate", "[A-Za-z0-9+/_=-]{20,}")]
+    found = " UNION ALL ".join(
+        f"SELECT r, '{kind}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS b FROM d" for i, (kind, p) in enumerate(patterns))
+    windows = " UNION ALL ".join(
+        f"""SELECT r, start + i - 1 AS start, '{kind}' AS kind, {o} AS o, {width} AS width, {least} AS least, substr(m, i, {width}) AS w
+            FROM (SELECT *, unnest(generate_series(1, length(m) - {width - 1})) AS i FROM c) WHERE regexp_full_match(substr(m, i, {width}), '[{chars}]*')"""
+        for kind, o, width, least, chars in [("entropy_hex", 3, 20, 3.0, "0-9A-Fa-f"), ("entropy_base64", 4, 24, 3.9, "A-Za-z0-9+/_=-")])
+    two = "substr({0}, 3) = left({0}, length({0}) - 2)"
+    cut = "left(m, length(m) - 1)"
+    repeated = f"CASE WHEN length(m) % 2 = 1 THEN {two.format(cut)} ELSE {two.format('m')} OR {cut} = repeat(left(m, 1), length(m) - 1) END"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({found}),
+        u AS (SELECT r, kind, o, unnest(m) AS m, unnest(b[1:len(m)]) AS b, unnest(range(len(m))) AS i FROM f),
+        s AS (SELECT *, CAST(sum(length(b) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM u),
+        p AS (SELECT r, kind, o, m, stop - length(m) AS start, stop FROM s WHERE kind <> 'assign' OR length(regexp_extract(m, '{assign}', 2)) >= 6),
+        base AS (SELECT r, kind, o, start, stop FROM p WHERE kind <> 'candidate'),
+        c AS (SELECT row_number() OVER () AS n, * FROM p WHERE kind = 'candidate' AND NOT regexp_matches(m, '^[A-Za-z/_=-]+$') AND NOT regexp_matches(m, '^[0-9/_=-]+$')
+          AND NOT regexp_matches(m, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') AND NOT ({repeated})
+          AND NOT regexp_matches(m, '(?i)example|sample|placeholder|dummy|xxxxxx|1234567890|abcdefghij')),
+        w AS ({windows.replace("SELECT r,", "SELECT n, r,")}),
+        g AS (SELECT n, r, start, kind, o, width, least, w, unnest(string_split(w, '')) AS ch FROM w),
+        h AS (SELECT n, r, start, kind, o, width, least, ch, count(*) AS k FROM g GROUP BY ALL),
+        e AS (SELECT n, r, kind, o, width, start FROM h GROUP BY n, r, kind, o, width, start, least HAVING log2(width) - sum(k * log2(k)) / width >= least),
+        hull AS (SELECT r, kind, o, min(start) AS start, max(start) + width AS stop FROM e GROUP BY n, r, kind, o, width),
+        first AS (SELECT * FROM hull x WHERE o = 3 AND NOT EXISTS (SELECT 1 FROM base y WHERE y.r = x.r AND y.start < x.stop AND x.start < y.stop)),
+        one AS (SELECT r, kind, o, start, stop FROM base UNION ALL SELECT r, kind, o, start, stop FROM first),
+        second AS (SELECT * FROM hull x WHERE o = 4 AND NOT EXISTS (SELECT 1 FROM one y WHERE y.r = x.r AND y.start < x.stop AND x.start < y.stop)),
+        every AS (SELECT * FROM one UNION ALL SELECT r, kind, o, start, stop FROM second),
+        l AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (o < 3), '') AS based,
+            string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans FROM every GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+          sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN l USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, "op1_secrets": _secret_spans()}

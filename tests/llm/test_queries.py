@@ -3,16 +3,18 @@
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colloquy.llm import exact_dedup, mixing, near_dedup, oracle, queries
+from colloquy.llm import exact_dedup, mixing, near_dedup, oracle, queries, secrets
 from tests.llm import samples
+from tests.llm.test_text_operators import SECRET_TEXTS
 from tools.compare import TABLES, rows_of
 
 DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"op1_secrets", "op2_token_files", "op3_sharding", "op6_token_counts", "op7_language", "op9_mixing", "op10_packing"}
+ROWS_ONLY = {"op2_token_files", "op3_sharding", "op6_token_counts", "op7_language", "op9_mixing", "op10_packing"}
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +38,15 @@ def test_query(spark, con, name):
     assert got == rows_of(columns, cur.fetchall())
 
 
+def test_secrets_sql_on_awkward_texts(spark, con):
+    docs = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id bigint, text string")
+    df = secrets.scan(docs).drop("secrets")
+    own = duckdb.connect()
+    own.register("documents", pa.table({"doc_id": list(range(len(SECRET_TEXTS))), "text": pa.array(SECRET_TEXTS, pa.string())}))
+    cur = own.execute(oracle.oracle_sql()["op1_secrets"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_pipeline_stages(spark):
     docs = samples.frame(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
