@@ -294,13 +294,14 @@ def domain_history(s: DataFrame, concepts: int = 10) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     totals = named.groupBy("domain_primary").agg(F.count(F.lit(1)).alias("conversations"))
-    order = Window.partitionBy("domain_primary", "attribute").orderBy(F.col("n").desc(), "value")
-    ranked = counted.withColumn("position", F.row_number().over(order))
-    limit = F.when(F.col("attribute") == "concept", concepts)
-    for name, _, _, keep in _HISTORY:
-        if keep:
-            limit = limit.when(F.col("attribute") == name, keep)
-    kept = ranked.where(F.col("position") <= F.coalesce(limit, F.col("position")))
+    # Attributes of any number of values are cut before the shuffle; the others hold a few enumerated values.
+    limits = {"concept": concepts} | {name: keep for name, _, _, keep in _HISTORY if keep}
+    keys, order = ["domain_primary", "attribute"], [F.col("n").desc(), F.col("value")]
+    cut = F.col("attribute").isin(list(limits))
+    heads = top_per(counted.where(cut), keys, order, max(limits.values()), "position")
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("attribute"))
+    whole = counted.where(~cut).withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = heads.where(F.col("position") <= limit).unionByName(whole)
     return kept.join(totals, "domain_primary").select(
         "domain_primary", "attribute", "value", "n", "position", "conversations",
         percent(F.col("n"), F.col("conversations"), 1).alias("pct"),
@@ -389,24 +390,26 @@ def patterns(s: DataFrame, by_domain: bool = False, domain: str | None = None) -
         .groupBy("scope", "p.attribute", "p.value")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(is_breakthrough()).alias("breakthroughs"))
     )
+    keys = ["scope", "attribute"]
+    limits = {name: keep for name, _, _, keep in _PATTERNS}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("attribute"))
+    heads = top_per(counted, keys, [F.col("n").desc(), F.col("value")], max(limits.values()), "position").where(F.col("position") <= limit)
+    order = [F.col("breakthroughs").desc(), F.col("n").desc(), F.col("value")]
+    best = top_per(counted.where("breakthroughs > 0"), keys, order, 1)
+    named = best.select(*keys, F.col("value").alias("_value"), F.col("n").alias("_n"))
+    ahead = (F.col("n") > F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("value") < F.col("_value")))
+    places = counted.join(named, keys).groupBy(*keys).agg((F.count_if(ahead) + 1).cast("int").alias("position"))
+    shown = heads.join(named.drop("_n"), keys, "left").withColumn("best", F.coalesce(F.col("value") == F.col("_value"), F.lit(False))).drop("_value")
+    missed = best.join(places, keys).where(F.col("position") > limit).withColumn("best", F.lit(True))
+    out = shown.unionByName(missed)
     totals = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("conversations"))
-    part = Window.partitionBy("scope", "attribute")
-    ranked = counted.withColumn("position", F.row_number().over(part.orderBy(F.col("n").desc(), "value")))
-    ranked = ranked.withColumn(
-        "best",
-        (F.row_number().over(part.orderBy(F.col("breakthroughs").desc(), F.col("n").desc(), "value")) == 1)
-        & (F.col("breakthroughs") > 0),
-    )
-    limit = F.lit(None).cast("int")
-    for name, _, _, keep in _PATTERNS:
-        limit = F.when(F.col("attribute") == name, F.lit(keep)).otherwise(limit)
-    return (
-        ranked.where((F.col("position") <= limit) | F.col("best"))
-        .join(totals, "scope")
-        .select(
-            "scope", "attribute", "value", "n", "breakthroughs", "position", "best",
-            percent(F.col("n"), F.col("conversations"), 1).alias("pct"),
-        )
+    if by_domain:
+        out = out.join(totals, "scope")
+    else:
+        out = out.withColumn("conversations", totals.select("conversations").scalar())
+    return out.select(
+        "scope", "attribute", "value", "n", "breakthroughs", "position", "best",
+        percent(F.col("n"), F.col("conversations"), 1).alias("pct"),
     )
 
 
