@@ -16,9 +16,9 @@ def values(spark, rows, expr, schema="v string"):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
 
 
-def one(spark, content, ts=datetime(2025, 1, 15, 10, 30)):
+def one(spark, content, ts=datetime(2025, 1, 15, 10, 30), **options):
     rows = spark.createDataFrame([("s", "c", "user", content, ts, "m")], RAW)
-    return canonicalize(rows).collect()
+    return canonicalize(rows, **options).collect()
 
 
 def test_canonical_values(spark):
@@ -36,8 +36,9 @@ def test_flags_and_cap(spark):
     assert one(spark, "```python\nx\n```")[0].has_code == 1
     assert one(spark, "the class of 1999")[0].has_code == 1
     assert one(spark, "see https://example.com")[0].has_url == 1
-    row = one(spark, "x" * 60_000)[0]
+    row = one(spark, "x" * 60_000, max_chars=50_000)[0]
     assert len(row.content) == 50_000 and row.char_count == 60_000
+    assert len(one(spark, "x" * 60_000)[0].content) == 60_000  # nothing is cut unless asked for
 
 
 def test_finalize_flags(spark):
