@@ -22,8 +22,8 @@ from colloquy.llm.common import pick, staged
 THRESHOLD = 0.8
 #: 30 bands of 5: a pair at the threshold shares none with probability 7e-6.
 BANDS, ROWS = 30, 5
-#: Members of a band compared in one task at once.
-BLOCK = 256
+#: Members of a band compared in one task at once, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -42,15 +42,16 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _elements(texts: DataFrame) -> DataFrame:
-    """node and its multiset's elements, as raw unsigned 64-bit numbers in order."""
+    """node, its multiset's elements as raw unsigned 64-bit numbers in order, and their number."""
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, words, count in shingles.words_of(batch.column("text")):
                 own = shingles.elements(*shingles.multisets(words, count), len(count))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(at, len(count)), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "elements"])
+                    [batch.column("node").slice(at, len(count)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())],
+                    ["node", "elements", "size"])
 
-    return texts.select("node", "text").mapInArrow(collect, "node bigint, elements binary")
+    return texts.select("node", "text").mapInArrow(collect, "node bigint, elements binary, size bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -85,23 +86,27 @@ def _verified(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFr
 
 
 def _across(members: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    """Links between members (bucket, node, component, n) of a bucket that are in different components, from blocks of members."""
+    """Links between members (bucket, node, component, of) of a bucket that are in different components.
+
+    A bucket's members are dealt to `of` blocks; each pair of blocks is one group of bounded size.
+    """
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["block", "node"])
-        first, last = group["i"].iloc[0], group["j"].iloc[0]
-        sets = [np.frombuffer(x, np.uint64) for x in group["elements"]]
-        nodes, blocks, top = group["node"].to_numpy(), group["block"].to_numpy(), group["component"].to_numpy().copy()
-        size, links = np.array([len(s) for s in sets]), []
-        for x in np.flatnonzero(blocks == first):
-            for y in np.flatnonzero((blocks == last) & (np.arange(len(nodes)) > x if first == last else True)):
-                near = min(size[x], size[y]) >= threshold * max(size[x], size[y])
-                if near and top[x] != top[y] and shingles.similarity(sets[x], sets[y]) >= threshold:
+        nodes, blocks, top = (group[c].to_numpy() for c in ("node", "block", "component"))
+        size, links = group["size"].to_numpy(), []
+        left, right = blocks == group["i"].iloc[0], blocks == group["j"].iloc[0]
+        both = shingles.overlaps([np.frombuffer(x, np.uint64) for x in group["elements"]], left, right)
+        near = both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+        top, names = top.copy(), np.flatnonzero(right)
+        for x, row in zip(np.flatnonzero(left), near):
+            others = names[row]
+            for y in others[np.unique(top[others], return_index=True)[1]] if len(others) else ():
+                if top[y] != top[x]:
                     links.append((nodes[x], nodes[y]))
                     top[top == top[y]] = top[x]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("of", count)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     spread = dealt.withColumn("pair", F.explode(meets)).select("bucket", "node", "component", "block", "pair.i", "pair.j")
     return spread.join(contents, "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint")
@@ -133,7 +138,9 @@ def near_duplicates(
     links = staged(_verified(stars, contents, threshold), "links")
     joined = components(links)
     placed = members.where("n > 2").join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    mixed = placed.join(contents.select("node", "size"), "node").groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("of")).where("low <> high").select("bucket", "of")
     more = staged(_across(placed.join(mixed, "bucket"), contents, threshold), "links")
     if not more.isEmpty():
         joined = components(links.union(more))

@@ -163,3 +163,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     spot = np.searchsorted(b, a)
     both = int((b[np.minimum(spot, len(b) - 1)] == a).sum())
     return both / (len(a) + len(b) - both)
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 16_384) -> np.ndarray:
+    """How many elements each of the `left` sets shares with each of the `right` ones (both given as flags).
+
+    Elements are looked at in slices of bounded width, as products of membership matrices; those of one set alone are left out.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[where] > 1
+    owner, column = owner[shared], number[where[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((int(left.sum()), int(right.sum())))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        a, z = np.searchsorted(column, (low, low + columns))
+        table = np.zeros((len(sets), columns), np.float32)
+        table[owner[a:z], column[a:z] - low] = 1
+        out += table[left] @ table[right].T
+    return out

@@ -138,6 +138,17 @@ def test_signatures_do_not_depend_on_the_other_texts():
         assert (shingles.bag_min_hash(*shingles.multisets(w, count), 1, 150)[0] == together[i]).all()
 
 
+@pytest.mark.parametrize("columns", [3, 16_384])
+def test_overlaps_equal_pairwise_intersections(columns):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 5, 20, 40, 40, 1)]
+    left, right = np.array([1, 1, 1, 0, 0, 0], bool), np.array([0, 0, 1, 1, 1, 1], bool)
+    got = shingles.overlaps(sets, left, right, columns)
+    for x, i in enumerate(np.flatnonzero(left)):
+        for y, j in enumerate(np.flatnonzero(right)):
+            assert i == j or got[x, y] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     texts = pa.array([samples.LONG[:5000], "a b c", samples.LONG[:3000], None])
     whole = [w for _, w, _ in shingles.words_of(texts)]
