@@ -118,7 +118,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id",
         F.unhex(F.md5(content)).alias("group"), F.monotonically_increasing_id().alias("row"),
     )
     nodes = staged(rows, "shard-rows")
-    hubs = nodes.groupBy("group").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # As a table of its own, so that the join may split a group that a third of the rows are in.
+    hubs = staged(nodes.groupBy("group").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     links = nodes.join(hubs, "group").where("row <> a").select("a", F.col("row").alias("b"))
     out = shard_linked(nodes.drop("group"), links, n_shards, rounds)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import pick
+from colloquy.llm.common import pick, staged
 from colloquy.llm.tokens import encoder
 
 STORED = "digest binary, n_tokens bigint, tokenizer string"
@@ -73,5 +73,6 @@ def count_tokens(
     rows = pick(docs, doc_id=doc_id, text=text).select(
         "doc_id", digest(F.col("text")).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
     )
-    counts = _stored(docs.sparkSession, cache_path, version(tokenizer_path))
+    # As a table of its own, so that the join may split a digest that a third of the rows have.
+    counts = staged(_stored(docs.sparkSession, cache_path, version(tokenizer_path)).join(rows.select("digest").distinct(), "digest", "left_semi"), "counts")
     return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
