@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import prepare as base_settings
 from colloquy.session import shared_folder
 
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 256
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches that leave room for what the operators make of whole texts."""
+    base_settings(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return spark
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -44,6 +55,15 @@ def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; the worker lives on and would else keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def n_buckets(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Buckets so that each holds about `per_bucket` rows at most, whatever the input's size."""
     return max(LEAST_BUCKETS, -(-rows // per_bucket))

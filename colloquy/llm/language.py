@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import pick
+from colloquy.llm.common import pick, release
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Characters hashed at once; longer texts are taken in parts that overlap by the longest n-gram.
-CHARS = 1_000_000
+CHARS = 500_000
+#: Rows whose texts are held as strings at once.
+ROWS = 500
 ALPHA = 0.5
 MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
@@ -67,7 +69,7 @@ def train(
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for name in set(langs):
                 own = [t for x, t in zip(langs, texts) if x == name]
@@ -80,6 +82,7 @@ def train(
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([name] * len(some)), "bucket": pa.array(np.where(some == buckets, N_DOCS, some).astype(np.int32)),
                 "n": pa.array(table[some])})
+        release()
 
     rows = pick(labelled, lang=lang, text=text).where("lang is not null and text is not null")
     rows = rows.select("lang", F.lower("text").alias("text"))
@@ -109,7 +112,7 @@ def predict(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, by_lang = sent.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t if ok else "" for t, ok in zip(batch.column("__low").to_pylist(), batch.column("__ok").to_pylist())]
             sums = np.zeros((len(texts), max(1, len(langs))))
             for number, grams in hashed_grams(texts, orders, buckets) if langs else ():
@@ -125,6 +128,7 @@ def predict(
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f"c{i}") for i in range(width)), pa.array(names, pa.string()), pa.array(np.where(good, share, 0.0))],
                 [*(f"c{i}" for i in range(width)), "lang_pred", "score"])
+        release()
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     width, plain = len(keep), docs.select(*[c for c in keep]).toDF(*[f"c{i}" for i in range(len(keep))])

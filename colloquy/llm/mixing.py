@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import pick, staged
+from colloquy.llm.common import pick, release, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -201,5 +201,6 @@ def take(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
             new = batch.select([f"c{i}" for i in range(len(names))]).take(index)
             column = new.schema.get_field_index(content)
             yield new.set_column(column, content, pa.array([t for texts in given for t in texts], batch.schema.field(content).type))
+        release()
 
     return kept.join(plan, "row").mapInArrow(cut, schema).toDF(*names)

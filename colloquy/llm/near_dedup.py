@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import shingles
-from colloquy.llm.common import pick, staged
+from colloquy.llm.common import pick, release, staged
 
 THRESHOLD = 0.8
 #: 30 bands of 5: a pair at the threshold shares none with probability 7e-6.
@@ -37,6 +37,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lists = [own.tolist() if n else [] for own, n in zip(found, count)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(count)), keys.slice(at, len(count)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+        release()
 
     return docs.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
 
@@ -50,6 +51,7 @@ def _elements(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(at, len(count)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())],
                     ["node", "elements", "size"])
+        release()
 
     return texts.select("node", "text").mapInArrow(collect, "node bigint, elements binary, size bigint")
 
@@ -78,6 +80,7 @@ def _verified(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFr
             left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
             good = [shingles.similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(left, right)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     both = pairs.join(contents.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
     both = both.join(contents.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")

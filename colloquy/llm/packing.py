@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import n_buckets, pick, running_sum, staged
+from colloquy.llm.common import n_buckets, pick, release, running_sum, staged
 from colloquy.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -46,6 +46,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(ends)).take(pa.array(which)), pa.array(number, pa.int32()), pa.array(begin, pa.int64()),
                      pa.array(length, pa.int32()), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import exact_dedup, language, mixing, near_dedup, packing, pivot_topk, secrets, sharding, token_counts, token_files
-from colloquy.llm.common import documents
-from colloquy.session import prepare, shared_folder
+from colloquy.llm.common import documents, prepare
+from colloquy.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 

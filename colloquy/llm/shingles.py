@@ -15,7 +15,7 @@ from colloquy.llm.common import worker_cache
 
 WORDS = 5
 #: Bytes hashed at once; a longer text is taken in parts that end at white space.
-BYTES = 2_000_000
+BYTES = 500_000
 GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -128,7 +128,7 @@ def bag_min_hash(number: np.ndarray, shingle: np.ndarray, often: np.ndarray, tex
     state = mix(np.repeat(shingle, n_intervals) ^ mix((j + 1).astype(np.uint64) * np.uint64(GOLDEN)))
     time, flat = np.zeros(len(text)), first.ravel()
     while len(text):
-        points = int(np.clip(60_000 // len(text), 1, 64))
+        points = int(np.clip(20_000 // len(text), 1, 64))
         draws = mix(state[:, None] + np.arange(1, 2 * points + 1, dtype=np.uint64) * np.uint64(GOLDEN))
         state = state + np.uint64(2 * points * GOLDEN & MASK)
         gaps = -np.log(((draws[:, 0::2] >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0 ** -53) / length[:, None]

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import pick, staged
+from colloquy.llm.common import pick, release, staged
 from colloquy.llm.tokens import encoder
 
 STORED = "digest binary, n_tokens bigint, tokenizer string"
@@ -54,6 +54,7 @@ def refresh(docs: DataFrame, cache_path: str, tokenizer_path: str, text: str = "
             for at, _, ends in encode.encode(batch.column("text")):
                 n = pa.array(np.diff(ends, prepend=0), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("digest").slice(at, len(ends)), n], ["digest", "n_tokens"])
+        release()
 
     misses = wanted.dropDuplicates(["digest"]).mapInArrow(count, "digest binary, n_tokens bigint")
     misses.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_path)

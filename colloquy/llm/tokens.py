@@ -21,9 +21,9 @@ from colloquy.llm.common import worker_cache
 from colloquy.llm.shingles import GOLDEN, mix
 
 #: Bytes cut and encoded at once.
-BYTES = 2_000_000
+BYTES = 1_000_000
 #: Pieces up to this many bytes are kept by the worker, so many of them.
-SHORT, KEPT = 64, 3_000_000
+SHORT, KEPT = 64, 1_000_000
 #: A piece that is a word; such pieces are encoded many at once, one after the other.
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import exact_dedup, language, mixing, near_dedup, packing
-from colloquy.llm.common import documents, staged
-from colloquy.session import prepare
+from colloquy.llm.common import documents, prepare, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,6 +37,7 @@ def _kept(docs: DataFrame, marks: DataFrame, digest: Callable[[Column], Column])
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, or without a likely language, go."""
+    prepare(spark)
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text, lang = (f"c{names.index(n)}" for n in ("doc_id", "text", "lang"))
@@ -48,23 +48,27 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
+    prepare(spark)
     kept = exact_dedup.dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
     return _kept(docs, kept, lambda text: F.sha2(exact_dedup.normalised(text), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    prepare(spark)
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id", F.hex("key").alias("digest"))
     return _kept(docs, kept, lambda text: F.upper(F.md5(F.coalesce(text, F.lit("")))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, a row for each copy."""
+    prepare(spark)
     return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: where each piece of each document goes."""
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
