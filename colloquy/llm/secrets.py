@@ -20,12 +20,12 @@ CLASSES = (
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 3.9),
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Candidate strings that are never secrets: words, numbers, UUIDs, one character or pair repeated, placeholders.
-ALLOWED = (
-    r"^[A-Za-z/_=-]+$", r"^[0-9/_=-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.{1,2})\1+.?$",
-    r"(?i)example|sample|placeholder|dummy|xxxxxx|1234567890|abcdefghij",
-)
+#: Candidate strings that are never secrets: words, numbers, UUIDs, one character or pair repeated.
+ALLOWED = (r"^[A-Za-z/_=-]+$", r"^[0-9/_=-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.{1,2})\1+.?$")
+#: Placeholders clear the letters and digits they stand among, so many on either side, and not what is beyond.
+PLACEHOLDER, REACH = r"(?i)example|sample|placeholder|dummy|xxxxxx|1234567890|abcdefghij", 40
 SPAN = "array<struct<start: bigint, stop: bigint, kind: string, order: int>>"
+MATCH = "array<struct<start: bigint, stop: bigint, match: string>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -36,7 +36,6 @@ def _found(text: Column, pattern: str) -> Column:
 
 def _placed(found: Column) -> Column:
     """Matches with their place in code points: (start, stop, match)."""
-    kind = "array<struct<start: bigint, stop: bigint, match: string>>"
 
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["between"])
@@ -44,7 +43,7 @@ def _placed(found: Column) -> Column:
         spans = F.concat(done["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match"))))
         return F.struct(stop.alias("at"), spans.alias("spans"))
 
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(MATCH).alias("spans"))
     return F.aggregate(found, empty, step, lambda done: done["spans"])
 
 
@@ -52,14 +51,17 @@ def _bits(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def _dense(string: Column, alphabet: str, window: int, least: float) -> Column:
-    """Hull of the windows of class characters whose entropy is at least `least`: (start, stop) in the string, or null.
+def _runs(string: Column, alphabet: str, window: int, least: float) -> Column:
+    """Runs of the windows of class characters whose entropy is at least `least`: (start, stop) in the string, in order.
 
-    One pass: the counts of the window's characters and the sum of n log2 n change by the character that enters and the one
+    Windows that overlap or touch are one run. One pass: the counts of the window's characters and the sum of n log2 n change by the character that enters and the one
     that leaves. A character outside the class empties the window.
     """
     letters = F.lit(alphabet)
 
+    def closed(state: Column) -> Column:
+        return F.concat(state["done"], F.array(F.struct(state["start"].alias("start"), state["stop"].alias("stop"))))
+
     def step(state: Column, i: Column) -> Column:
         entering = F.instr(letters, F.substring(string, i, F.lit(1)))
         full = state["run"] >= window
@@ -72,20 +74,64 @@ def _dense(string: Column, alphabet: str, window: int, least: float) -> Column:
             state["counts"], lambda n, j: n + F.when(j + 1 == entering, 1).otherwise(0) - F.when(j + 1 == leaving, 1).otherwise(0))
         total, run = state["sum"] + change, state["run"] + 1
         hit = (run >= window) & (F.lit(math.log2(window)) - total / window >= least)
+        apart = F.coalesce(state["stop"] < i - window, F.lit(False))
         return F.when(entering == 0, F.struct(
             F.transform(state["counts"], lambda n: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"),
-            state["start"].alias("start"), state["stop"].alias("stop"),
+            state["done"].alias("done"), state["start"].alias("start"), state["stop"].alias("stop"),
         )).otherwise(F.struct(
             counts.alias("counts"), total.alias("sum"), run.alias("run"),
-            F.when(hit, F.coalesce(state["start"], i - window)).otherwise(state["start"]).alias("start"),
+            F.when(apart & hit, closed(state)).otherwise(state["done"]).alias("done"),
+            F.when((apart | state["start"].isNull()) & hit, i - window).otherwise(state["start"]).alias("start"),
             F.when(hit, i).otherwise(state["stop"]).alias("stop"),
         ))
 
     fresh = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"),
-        F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"),
+        F.array().cast("array<struct<start: int, stop: int>>").alias("done"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(string)), fresh, step, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    return F.aggregate(F.sequence(F.lit(1), F.length(string)), fresh, step, lambda s: F.when(s["stop"].isNotNull(), closed(s)).otherwise(s["done"]))
+
+
+def _dense(string: Column, alphabet: str, window: int, least: float) -> Column:
+    """Hull of the runs: (start, stop) in the string, or nulls."""
+    runs = _runs(string, alphabet, window, least)
+    return F.struct(F.array_min(runs)["start"].alias("start"), F.array_max(runs)["stop"].alias("stop"))
+
+
+def _without(strings: Column, spans: Column) -> Column:
+    """What is left of placed strings outside of `spans` (in order of their starts), as placed strings."""
+    def left(x: Column) -> Column:
+        def part(at: Column, stop: Column) -> Column:
+            string = F.substring(x["match"], (at - x["start"] + 1).cast("int"), (stop - at).cast("int"))
+            return F.array(F.struct(at.alias("start"), stop.alias("stop"), string.alias("match")))
+
+        def step(done: Column, s: Column) -> Column:
+            parts = F.when(s["start"] > done["at"], F.concat(done["parts"], part(done["at"], s["start"]))).otherwise(done["parts"])
+            return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), parts.alias("parts"))
+
+        cut = F.filter(spans, lambda s: (s["start"] < x["stop"]) & (x["start"] < s["stop"]))
+        none = F.struct(x["start"].alias("at"), F.array().cast(MATCH).alias("parts"))
+        rest = F.aggregate(cut, none, step, lambda done: F.when(
+            done["at"] < x["stop"], F.concat(done["parts"], part(done["at"], x["stop"]))).otherwise(done["parts"]))
+        return F.when(F.size(cut) == 0, F.array(x)).otherwise(rest)
+
+    return F.flatten(F.transform(strings, left))
+
+
+def _placeholders(strings: Column) -> Column:
+    """Spans (start, stop) that the placeholders in placed strings clear."""
+    def spread(x: Column) -> Column:
+        def around(word: Column) -> Column:
+            low = F.greatest(word["start"] - REACH, F.lit(0))
+            before = F.substring(x["match"], (low + 1).cast("int"), (word["start"] - low).cast("int"))
+            after = F.substring(x["match"], (word["stop"] + 1).cast("int"), F.lit(REACH))
+            return F.struct(
+                (x["start"] + word["start"] - F.length(F.regexp_extract(before, "[A-Za-z0-9+]*$", 0))).alias("start"),
+                (x["start"] + word["stop"] + F.length(F.regexp_extract(after, "^[A-Za-z0-9+]*", 0))).alias("stop"))
+
+        return F.transform(_placed(_found(x["match"], PLACEHOLDER)), around)
+
+    return F.flatten(F.transform(F.filter(strings, lambda x: x["match"].rlike(PLACEHOLDER)), spread))
 
 
 def _listed(spans: Column) -> Column:
@@ -95,9 +141,10 @@ def _listed(spans: Column) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, secrets (the spans as structs) for every row.
 
-    Base spans are whole matches of the three patterns. Strings of 20 and more characters are further candidates: the hull
-    of their windows of high entropy is added, for each class, unless an allow-list pattern holds for the string or the hull
-    overlaps a base span or an earlier class's. Null texts count as empty: no spans, the digest of an empty list. Repeated
+    Base spans are whole matches of the three patterns. Strings of 20 and more characters are further candidates, unless an
+    allow-list pattern holds for them. Base spans, and letters and digits around a placeholder, are taken out of a candidate; what
+    is left are candidates of their own. Each run of their windows of high entropy is added, for each class; those of the first
+    class are taken out before the second. Null texts count as empty: no spans, the digest of an empty list. Repeated
     rows each give one row; an empty table gives none; other columns are ignored.
     """
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -114,26 +161,29 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         ordered = F.array_sort(F.transform(array, lambda s: F.struct(s["start"], s["order"], s["stop"], s["kind"])))
         return F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["order"].alias("order")))
 
-    def suspect(x: Column) -> Column:
+    def suspect(string: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOWED:
-            allowed = allowed | x["match"].rlike(pattern)
+            allowed = allowed | string.rlike(pattern)
         return ~allowed
 
+    def cut(spans: Column) -> Column:
+        """The candidates' parts outside of `spans`; a new part is looked at without the joints it was cut at."""
+        return F.filter(_without(F.col("candidate"), spans), lambda x: (F.length(x["match"]) >= CLASSES[0][2]) & (
+            F.exists("candidate", lambda c: (c["start"] == x["start"]) & (c["stop"] == x["stop"]))
+            | suspect(F.regexp_replace(x["match"], "^[/_=+-]+|[/_=+-]+$", ""))))
+
     base = placed.withColumns({
         **{f"n_{kind}": F.size(kind).cast("long") for kind, _ in BASE},
         "base": by_place(F.concat(*[spans(kind, i) for i, (kind, _) in enumerate(BASE)])),
-        "candidate": F.filter("candidate", suspect),
-    })
+        "candidate": F.filter("candidate", lambda x: suspect(x["match"])),
+    }).withColumn("candidate", cut(_placeholders(F.col("candidate")))).withColumn("candidate", cut(F.col("base"))).withColumn("spans", F.col("base").cast(SPAN))
     for i, (kind, alphabet, window, least) in enumerate(CLASSES):
-        hulls = F.transform("candidate", lambda x: F.struct(x["start"].alias("at"), _dense(x["match"], alphabet, window, least).alias("hull")))
-        base = base.withColumn(kind, hulls)
-        dense = F.transform(F.filter(kind, lambda x: x["hull"]["stop"].isNotNull()), lambda x: F.struct(
-            (x["at"] + x["hull"]["start"]).alias("start"), (x["at"] + x["hull"]["stop"]).alias("stop"),
-            F.lit(kind).alias("kind"), F.lit(len(BASE) + i).alias("order")))
-        earlier = "base" if i == 0 else "spans"
-        fresh = F.filter(dense, lambda x: ~F.exists(earlier, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-        base = base.withColumn("spans", by_place(F.concat(F.col(earlier).cast(SPAN), fresh.cast(SPAN))))
+        if i:
+            base = base.withColumn("candidate", cut(F.col("found")))
+        found = F.flatten(F.transform("candidate", lambda x: F.transform(_runs(x["match"], alphabet, window, least), lambda run: F.struct(
+            (x["start"] + run["start"]).alias("start"), (x["start"] + run["stop"]).alias("stop"), F.lit(kind).alias("kind"), F.lit(len(BASE) + i).alias("order")))))
+        base = base.withColumn("found", found.cast(SPAN)).withColumn("spans", by_place(F.concat("spans", "found")))
     return base.select(
         "doc_id", *[f"n_{kind}" for kind, _ in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"), F.col("spans").alias("secrets"),
