@@ -1,7 +1,7 @@
 """Encoding inside tasks with the tokenizers library, piece by piece, for a column of texts at a time.
 
 A text is cut where no token of the two given pre-tokenizers can lie across: before a blank or line feed that follows a
-visible character, before a full stop or comma that follows a letter, and between a line feed after a visible character and a letter. The
+visible character, before a full stop or comma that follows a letter that lower case leaves one, and between a line feed after a visible character and a letter. The
 pieces' ids, joined, are the whole text's ids. Pieces repeat far more often than texts: numpy finds the distinct ones by
 64-bit hashes, the library encodes those the worker has not met, and ids are put together by gathering. Memory is bounded
 for any number of texts of any length that have such places.
@@ -24,6 +24,8 @@ from colloquy.llm.shingles import GOLDEN, mix
 BYTES = 1_000_000
 #: Pieces up to this many bytes are kept by the worker, so many of them.
 SHORT, KEPT = 64, 1_000_000
+#: U+00D7, U+00F7 and U+0130 in UTF-8: signs that are no letters, and a letter whose lower case ends in a combining mark.
+NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
 #: A piece that is a word; such pieces are encoded many at once, one after the other.
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
@@ -45,9 +47,12 @@ def cuts(raw: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     letters = _letters()
     before, at = raw[:-1], raw[1:]
-    latin = np.zeros(len(before), bool)  # the second byte of a letter from U+00C0 to U+027F
+    latin = np.zeros(len(before), bool)  # the second byte of a character from U+00C0 to U+027F
     latin[1:] = (raw[:-2] >= 0xC3) & (raw[:-2] <= 0xC9) & (before[1:] >= 0x80) & (before[1:] < 0xC0)
-    visible, letter = (before > 32) & (before < 127) | latin, letters[before] | latin
+    sign = np.zeros(len(before), bool)
+    for lead, second in NO_LETTERS:
+        sign[1:] |= (raw[:-2] == lead) & (before[1:] == second)
+    visible, letter = (before > 32) & (before < 127) | latin, letters[before] | latin & ~sign
     stop = (at == 32) | (at == 10)
     out = stop & visible | ((at == 46) | (at == 44)) & letter
     out[1:] |= (before[1:] == 10) & visible[:-1] & letters[at[1:]]

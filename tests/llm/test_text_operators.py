@@ -42,6 +42,20 @@ def test_pieces_encode_as_whole_texts(path, monkeypatch):
     check()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_of_every_latin_character_before_stops(path):
+    encoder, whole = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    texts = [f"{x}{c}{s}" for c in map(chr, range(0xC0, 0x280)) for x in ("3", "AB", " ", "") for s in (", 5", ". 5", ".", " x", "\nx", ",,")]
+
+    def check(texts):
+        got = [x.tolist() for _, ids, ends in encoder.encode(pa.array(texts, pa.string())) for x in np.split(ids, ends[:-1])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check(texts)
+    alphabet = [*map(chr, range(0xC0, 0x280)), *"×÷İ" * 40, *"a3 \n.,'" * 30]
+    settings(max_examples=150, deadline=None)(given(st.lists(st.lists(st.sampled_from(alphabet), max_size=15).map("".join), max_size=6))(check))()
+
+
 def test_token_files(spark, tmp_path):
     docs = samples.frame(spark)
     manifest = token_files.write_ids(docs, str(tmp_path), WORD, 2, length=64)
