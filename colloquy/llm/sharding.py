@@ -12,6 +12,8 @@ ROUNDS = 4
 STEPS = 64
 #: Documents above this share of a shard are placed before the others, which then even out what those left uneven.
 BIG = 1 / 200
+#: Groups of equal texts above this share of a shard are placed whole before all others, over no more shards than they need.
+LARGE = 1 / 16
 
 
 def _votes(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -26,12 +28,14 @@ def _votes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return by_node.select("id", "shard", "size", "here", "low", (-F.col("best.minus")).alias("to"), F.col("best.n").alias("there"), F.col("best.of").alias("of"))
 
 
-def propagate(labels: DataFrame, links: DataFrame, capacity: int, n_shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(
+    labels: DataFrame, links: DataFrame, capacity: int, n_shards: int, rounds: int = ROUNDS, taken: dict[int, float] | None = None,
+) -> DataFrame:
     """New shards of `labels` (id, size, shard, degree; linked nodes only) and whether a neighbour shares them.
 
     `links` has both directions (a, b). In the first round nodes that have a smaller neighbour may move, so groups gather at
     their smallest; in each later round half of the nodes, drawn by hash, so that neighbours do not keep changing places. A shard takes movers, small groups' first, while its bytes stay within
-    `capacity`; sums by shard, class and hash step (bounded) come to the driver and go back as cut-offs. Each round's
+    `capacity`, of which `taken` is in use by others; sums by shard, class and hash step (bounded) come to the driver and go back as cut-offs. Each round's
     labels are a written table. Ends early when two rounds in a row moved nothing.
     """
     spark, quiet = labels.sparkSession, 0
@@ -41,7 +45,9 @@ def propagate(labels: DataFrame, links: DataFrame, capacity: int, n_shards: int,
         wishes = votes.where((F.col("there") > F.col("here")) & free)
         step = F.floor(F.log2("of")).cast("int") * STEPS + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(STEPS)).cast("int")
         wishes = staged(wishes.select("id", "to", "size", step.alias("step")), "moves")
-        held = dict.fromkeys(range(n_shards), 0) | {r["shard"]: r["size"] for r in labels.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+        held = dict.fromkeys(range(n_shards), 0) | (taken or {})
+        for r in labels.groupBy("shard").agg(F.sum("size").alias("size")).collect():
+            held[r["shard"]] += r["size"]
         cuts, closed = dict.fromkeys(range(n_shards), -1), set()
         for r in sorted(wishes.groupBy("to", "step").agg(F.sum("size").alias("size")).collect()):
             if r["to"] not in closed and held[r["to"]] + r["size"] <= capacity:
@@ -76,20 +82,53 @@ def _fill(rows: DataFrame, room: list[float], n_shards: int, rows_total: int) ->
     return lined.withColumn("shard", shard).drop("__place")
 
 
-def shard_linked(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = ROUNDS) -> DataFrame:
+def allot(sizes: list[int], n_shards: int, share: float) -> list[list[tuple[int, float]]]:
+    """For groups, largest first: (shard, bytes) parts; a group is split only if no shard has room for it."""
+    room, out = [share] * n_shards, []
+    for size in sizes:
+        rest, parts = float(size), []
+        while rest > 0:
+            shard = max(range(n_shards), key=lambda s: (room[s], -s))
+            part = min(rest, room[shard]) if room[shard] >= 1 else rest
+            room[shard] -= part
+            rest -= part
+            parts.append((shard, part))
+        out.append(parts)
+    return out
+
+
+def place_groups(nodes: DataFrame, groups: list[tuple[bytes, int]], n_shards: int, share: float, rows_total: int) -> DataFrame:
+    """row, shard of the staged `nodes` (row, size, group) in `groups` (group, bytes; largest first, bounded), in hash order."""
+    parts = [(g, [sum(n for _, n in p[:i + 1]) for i in range(len(p) - 1)], [s for s, _ in p])
+             for (g, _), p in zip(groups, allot([n for _, n in groups], n_shards, share))]
+    plan = nodes.sparkSession.createDataFrame(parts, "group binary, ends array<double>, shards array<int>")
+    own = nodes.join(F.broadcast(plan), "group").withColumn("__bucket", F.pmod(F.xxhash64("row"), F.lit(n_buckets(rows_total))))
+    lined = running_sum(staged(own, "large"), ["group"], "__bucket", [F.col("row")], F.col("size"), "__place")
+    middle = F.col("__place") + F.col("size") / 2
+    return lined.select("row", F.element_at("shards", F.size(F.filter("ends", lambda e: e <= middle)) + 1).alias("shard"))
+
+
+def shard_linked(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = ROUNDS, fixed: DataFrame | None = None) -> DataFrame:
     """`nodes` (a staged table: unique `row`, `size`, more) with `shard` and a gapless `slot` in it; bytes near equal.
 
-    `links` are pairs (a, b) of rows, each once. Linked nodes are placed by propagation from a hash; then those without a link, or
+    `links` are pairs (a, b) of rows, each once. Rows of `fixed` (a staged table: row, shard; without links) stay there. Linked nodes
+    are placed by propagation from a hash, over shards in proportion to the room there; then those without a link, or
     without a neighbour in their shard, fill the shards up evenly, large ones first.
     """
     both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     degrees = both.groupBy(F.col("a").alias("row")).agg(F.count(F.lit(1)).alias("degree"))
     first = F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int")
-    linked = nodes.join(degrees, "row").select(F.col("row").alias("id"), "size", first.alias("shard"), "degree")
     total, count = nodes.agg(F.sum("size"), F.count(F.lit(1))).first()
     share = (total or 0) / n_shards
-    placed = propagate(staged(linked, "labels"), both, int(share), n_shards, rounds)
-    settled = staged(placed.where("settled").select(F.col("id").alias("row"), "shard"), "settled")
+    taken = {r["shard"]: r["size"] for r in nodes.join(fixed, "row").groupBy("shard").agg(F.sum("size").alias("size")).collect()} if fixed is not None else {}
+    room = [max(0.0, share - taken.get(i, 0)) for i in range(n_shards)]
+    if taken and sum(room):
+        drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / (1 << 20)
+        first = sum(((drawn >= F.lit(sum(room[:i + 1]) / sum(room))).cast("int") for i in range(n_shards - 1)), F.lit(0))
+    linked = nodes.join(degrees, "row").select(F.col("row").alias("id"), "size", first.alias("shard"), "degree")
+    placed = propagate(staged(linked, "labels"), both, int(share), n_shards, rounds, taken)
+    settled = placed.where("settled").select(F.col("id").alias("row"), "shard")
+    settled = staged(settled.union(fixed.select("row", "shard")) if fixed is not None else settled, "settled")
     held = [0.0] * n_shards
     known = nodes.join(settled, "row")
     for r in known.groupBy("shard").agg(F.sum("size").alias("size")).collect():
@@ -109,7 +148,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id",
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; equal texts are linked (each to its group's first row).
 
     Law `bytes`: shards' sizes (UTF-8 bytes plus 1) are near equal; a group larger than a shard spreads over as many as it
-    needs. Null texts have size 1 and the checksum of no bytes. Rows with equal or null ids are rows of their own; an empty table gives
+    needs: groups above a sixteenth of a shard are placed first, on the driver's plan (at most 16 a shard). Null texts have size 1 and the checksum of no bytes. Rows with equal or null ids are rows of their own; an empty table gives
     none; other columns are ignored. Only small rows (no texts) are written and shuffled.
     """
     content = F.coalesce("text", F.lit(""))
@@ -119,7 +158,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id",
     )
     nodes = staged(rows, "shard-rows")
     # As a table of its own, so that the join may split a group that a third of the rows are in.
-    hubs = staged(nodes.groupBy("group").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    links = nodes.join(hubs, "group").where("row <> a").select("a", F.col("row").alias("b"))
-    out = shard_linked(nodes.drop("group"), links, n_shards, rounds)
+    hubs = staged(nodes.groupBy("group").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "hubs")
+    total, count = nodes.agg(F.sum("size"), F.count(F.lit(1))).first()
+    share = (total or 0) / n_shards
+    large = F.col("bytes") > share * LARGE
+    groups = sorted(((r["group"], r["bytes"]) for r in hubs.where(large).select("group", "bytes").collect()), key=lambda g: (-g[1], g[0]))
+    fixed = staged(place_groups(nodes, groups, n_shards, share, count), "placed") if groups else None
+    links = nodes.join(hubs.where(~large), "group").where("row <> a").select("a", F.col("row").alias("b"))
+    out = shard_linked(nodes.drop("group"), links, n_shards, rounds, fixed)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

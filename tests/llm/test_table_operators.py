@@ -38,6 +38,20 @@ def test_sharding(spark):
     assert sharding.shard_documents(samples.empty(spark)).collect() == []
 
 
+def test_large_groups_lie_in_no_more_shards_than_they_need(spark):
+    texts = ["hot text here"] * 1000 + ["nine tenths."] * 180 + ["other group"] * 60 + [f"text number {i:05d}" for i in range(1640)]
+    data = [(i, t, "en", "a", len(t), *samples.CLASH) for i, t in enumerate(texts)]
+    where, sizes = defaultdict(set), Counter()
+    for r in sharding.shard_documents(samples.frame(spark, data), 16).collect():
+        where[r.text_crc32].add(r.shard)
+        sizes[r.shard] += r["size"]
+    share = sum(sizes.values()) / 16
+    for text in dict.fromkeys(texts[:1240]):
+        need = -(-texts.count(text) * (len(text) + 1) // share)
+        assert len(where[zlib.crc32(text.encode())]) <= need, text
+    assert max(sizes.values()) - min(sizes.values()) <= 0.2 * share
+
+
 def test_propagation_gathers_a_linked_path(spark):
     labels = spark.createDataFrame([(i, 1, i % 2, 2) for i in range(8)], "id bigint, size bigint, shard int, degree bigint")
     links = spark.createDataFrame([x for i in range(7) for x in ((i, i + 1), (i + 1, i))], "a bigint, b bigint")
