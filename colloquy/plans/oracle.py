@@ -767,6 +767,11 @@ for _name, _view, _texts in [
     ("commits_semantic", "commits", "SELECT commit_id AS id, message AS text FROM commits"),
 ]:
     _sql(_name, _view, _nearest.format(texts=_texts, queries=rows(q.TEXT_QUERIES)) + " SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM near WHERE rank <= 10")
+_sql("position_raw_full", "m uhits", _nearest.format(
+    texts="SELECT message_id AS id, content AS text FROM m WHERE role = 'user'", queries=rows([(t, t) for t in q.TOPICS])) + f"""
+    SELECT topic, 'mention' AS kind, conversation_title, left(content, 300) AS preview, {ts('created')} AS "at", CAST(NULL AS DOUBLE) AS similarity
+    FROM ({_top('(SELECT * FROM uhits QUALIFY row_number() OVER (PARTITION BY topic, conversation_id ORDER BY created DESC, message_id DESC) = 1)', 'topic', 10)})
+    UNION ALL SELECT query_id, 'semantic', conversation_title, left(content, 250), NULL, round(similarity, 6) FROM near JOIN m ON message_id = id WHERE rank <= 10""")
 _significant = _nearest.format(texts="SELECT conversation_id AS id, summary AS text FROM s WHERE importance = 'significant'", queries=rows(q.TEXT_QUERIES))
 _sql("search_summaries_vector", "s", _significant + " SELECT query_id, rank, id AS conversation_id, round(similarity, 6) AS score FROM near WHERE rank <= 10")
 _sql("search_summaries_hybrid", "s", _bm25.format(queries=rows(q.TEXT_QUERIES), where="WHERE importance = 'significant'") + _significant + """,

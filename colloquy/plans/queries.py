@@ -260,6 +260,19 @@ def _search_summaries(spark: SparkSession, d: str, mode: str) -> DataFrame:
 
 
 _add("semantic_search", lambda spark, d: _semantic(spark, M(spark, d), "message_id", "content").withColumn("similarity", F.round("similarity", 6)))
+
+
+def _position_raw_full(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions and hits by meaning; position_raw holds the mentions only."""
+    users = M(spark, d).where("role = 'user'")
+    asked = spark.createDataFrame([(t, t) for t in TOPICS], "query_id string, query string")
+    hits = vector.semantic_topk(users, asked, 10, "message_id", "content", lambda df, text: vector.hash_embed(df, text, dim=64))
+    semantic = hits.join(users.select(F.col("message_id").alias("id"), "conversation_title", "content"), "id").select(
+        F.col("query_id").alias("topic"), "rank", "conversation_title", "content", F.round("similarity", 6).alias("similarity"))
+    return raw_domains.position_raw(M(spark, d), TOPICS, semantic)
+
+
+_add("position_raw_full", _position_raw_full)
 _add("docs_semantic", lambda spark, d: _semantic(spark, derive.docs(spark, d), "filename", "content").withColumn("similarity", F.round("similarity", 6)))
 _add("commits_semantic", lambda spark, d: _semantic(spark, derive.commits(spark, d), "commit_id", "message").withColumn("similarity", F.round("similarity", 6)))
 _add("search_summaries_vector", lambda spark, d: _search_summaries(spark, d, "vector"))

@@ -105,3 +105,12 @@ def test_open_turns_as_of(spark):
                               "ts timestamp, src string, conv_id string, role string, text string, message_id string")
     assert [r.text for r in search.open_turns(t).collect()] == ["Still need tests"]
     assert [r.text for r in search.open_turns(t, as_of="2025-01-03", days=5).orderBy(F.col("ts")).collect()] == ["is it done?", "Still need tests"]
+
+
+def test_position_raw_full_has_hits_by_meaning(spark):
+    from collections import Counter
+
+    from colloquy.plans import queries
+
+    kinds = Counter((r.topic, r.kind) for r in queries.queries()["position_raw_full"](spark, "/root/testdata/sf0.001").collect())
+    assert all(kinds[t, "semantic"] == 10 for t in queries.TOPICS)
