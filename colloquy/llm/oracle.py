@@ -31,6 +31,50 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+        b AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+            CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+            CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails FROM w),
+        m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN b USING (doc_id) GROUP BY ALL),
+        p AS (SELECT '' AS o UNION ALL SELECT o || x FROM p, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(x) WHERE position(x IN o) = 0),
+        s AS (SELECT o, step, o[step] AS x, left(o, step - 1) AS before FROM p, range(1, 6) AS r(step) WHERE length(o) = 5),
+        g AS (SELECT part, o AS filter_order, step, x,
+            coalesce(sum(n) FILTER (translate(fails, before || x, '') = fails), 0) AS kept,
+            coalesce(sum(n) FILTER (contains(fails, x) AND translate(fails, before, '') = fails), 0) AS removed,
+            coalesce(sum(n) FILTER (contains(fails, x) AND translate(fails, before, '') <> fails), 0) AS redundant,
+            coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (contains(fails, x) AND translate(fails, before, '') = fails), 0) AS good_lost,
+            coalesce(sum(toxic) FILTER (contains(fails, x) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+          FROM m, s GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+          CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+          CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g""",
+    "op13_merkle": r"""
+        WITH RECURSIVE v AS (SELECT doc_id, lang, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+              lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+              lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, 4294967295) AS crc,
+            coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-') AS head, CAST(n_chars AS VARCHAR) AS n, CAST(n_chars + 1 AS VARCHAR) AS more,
+            coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+        h AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(n) || ':' || n, '-') || tail) AS leaf,
+            CASE WHEN n IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen(more) || ':' || more, '-') || tail) END AS tampered FROM v),
+        l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, row_number() OVER () AS r FROM h),
+        t AS (SELECT lang, 0 AS level, list(leaf ORDER BY p) AS d FROM l GROUP BY lang
+            UNION ALL SELECT lang, level + 1, list_transform(range(0, len(d), 2), lambda i: sha256(d[i + 1] || coalesce(d[i + 2], ''))) FROM t WHERE len(d) > 1),
+        s AS (SELECT lang, level AS height, d[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM t WHERE len(d) = 1),
+        u AS (SELECT 0 AS level, list(subroot ORDER BY k) AS d FROM s
+            UNION ALL SELECT level + 1, list_transform(range(0, len(d), 2), lambda i: sha256(d[i + 1] || coalesce(d[i + 2], ''))) FROM u WHERE len(d) > 1),
+        a AS (SELECT r, level AS step, p >> level AS q, d FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang WHERE len(d) > 1
+            UNION ALL SELECT r, height + level, k >> level, d FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang, u WHERE len(d) > 1),
+        b AS (SELECT r, step, q % 2 = 1 AS odd, d[xor(q, 1) + 1] AS sibling FROM a),
+        c AS (SELECT r, string_agg(sibling, '' ORDER BY step) AS proof, list(CASE WHEN odd THEN 'R' ELSE 'L' END || coalesce(sibling, '') ORDER BY step) AS path FROM b GROUP BY r),
+        z AS (SELECT doc_id, leaf, subroot, (SELECT d[1] FROM u WHERE len(d) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+            list_reduce(coalesce(path, []), lambda x, y: sha256(CASE WHEN y[1] = 'R' THEN y[2:] || x ELSE x || y[2:] END), coalesce(tampered, leaf)) AS folded_root
+          FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN c USING (r))
+        SELECT *, folded_root = root AS verified FROM z""",
 }
 
 

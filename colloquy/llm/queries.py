@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import exact_dedup, language, mixing, near_dedup, packing, pivot_topk, secrets, sharding, token_counts, token_files
+from colloquy.llm import (
+    exact_dedup, filter_audit, language, merkle, mixing, near_dedup, packing, pivot_topk, secrets, sharding, token_counts, token_files,
+)
 from colloquy.llm.common import documents, prepare
 from colloquy.session import shared_folder
 
@@ -61,6 +63,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_token_files": op2_token_files,
@@ -72,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 
