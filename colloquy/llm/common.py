@@ -47,6 +47,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run below a new folder of the shared one, each removed when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, shared_folder(spark, name)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written as the table `name` and read back. Runs a job at once."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Remove a table, if it is there; all that was made of it must be written by now."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
     """What `build` made for `key` in this Python worker; functions shipped by value have no module globals to keep it in."""
     kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__

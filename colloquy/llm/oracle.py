@@ -52,6 +52,16 @@ ORACLE: dict[str, str] = {
         SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
           CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g""",
+    "op12_substring": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+              list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT r, id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT r, id, w, unnest(range(1, len(w) - 48)) AS i FROM t)),
+        h AS (SELECT r, i FROM (SELECT r, id, i, min(id) OVER (PARTITION BY s) AS least FROM s) WHERE least < id),
+        c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM h),
+        k AS (SELECT r, p, w FROM (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w FROM t) ANTI JOIN c USING (r, p)),
+        g AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS kept, count(*) AS n FROM k GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN g USING (r)""",
     "op13_merkle": r"""
         WITH RECURSIVE v AS (SELECT doc_id, lang, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
               lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),

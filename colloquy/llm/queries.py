@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    exact_dedup, filter_audit, language, merkle, mixing, near_dedup, packing, pivot_topk, secrets, sharding, token_counts, token_files,
+    exact_dedup, filter_audit, language, merkle, mixing, near_dedup, packing, pivot_topk, secrets, sharding, substring, token_counts,
+    token_files,
 )
 from colloquy.llm.common import documents, prepare
 from colloquy.session import shared_folder
@@ -67,6 +68,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failure_masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_substring": op12_substring,
     "op13_merkle": op13_merkle,
 }
 
