@@ -382,14 +382,35 @@ def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return registry.read_messages(spark, f"{folder}/out").select("conversation_id", "role", "msg_timestamp", "content")
 
 
+def _move_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """Put the part files of `folder` in the place of those of the same numbers in `target`, under their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = {f.getPath().getName()[:10]: f.getPath().getName() for f in fs.listStatus(path(target))}
+    for f in fs.listStatus(path(folder)):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            place = path(f"{target}/{old.get(name[:10], name)}")
+            fs.delete(place, False)
+            fs.rename(f.getPath(), place)
+
+
 def _ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Two calls: files that lack some lines, then the same files grown by these, and new ones."""
     folder = shared_folder(spark, "incremental")
     lines = derive.generic_lines(spark, d).select("value", F.get_json_object("value", "$.conversation_id").alias("c"), "path", "block", "pos")
     half = F.pmod(F.xxhash64("c"), F.lit(2))
-    for turn in (0, 1):
-        part = lines.where(half == turn).repartition(4, "c").sortWithinPartitions("path", "block", "pos")
-        summary_source.append_records(part.select("value"), f"{folder}/in/turn={turn}", full=True)
-        out = registry.ingest_incremental(spark, "generic", f"{folder}/in", f"{folder}/store", "part-*", as_of=AS_OF)
+
+    def put(rows: DataFrame, name: str) -> None:
+        dealt = rows.repartition(4, "c").sortWithinPartitions("path", "block", "pos")
+        summary_source.append_records(dealt.select("value"), f"{folder}/{name}", full=True)
+
+    put(lines.where((half == 0) & (F.pmod(F.xxhash64("value"), F.lit(3)) > 0)), "in/turn=0")
+    registry.ingest_incremental(spark, "generic", f"{folder}/in", f"{folder}/store", "part-*", as_of=AS_OF)
+    put(lines.where(half == 0), "grown")
+    _move_parts(spark, f"{folder}/grown", f"{folder}/in/turn=0")
+    put(lines.where(half == 1), "in/turn=1")
+    out = registry.ingest_incremental(spark, "generic", f"{folder}/in", f"{folder}/store", "part-*", as_of=AS_OF)
     return out.select("conversation_id", "message_id", "msg_index", "conversation_msg_count", "role", "msg_timestamp", "content")
 
 

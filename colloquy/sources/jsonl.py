@@ -1,4 +1,8 @@
-"""Readers of line formats: generic records, coding sessions, agent sessions and transcripts."""
+"""Readers of line formats: generic records, coding sessions, agent sessions and transcripts.
+
+What a reader makes of a file's lines depends on that file alone; only the numbers inside a conversation depend on others.
+With `finish=placed_messages` a reader gives its messages with their places instead of numbering them.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from colloquy.sources.lines import block_text, directory, file_name, file_stem,
 SESSION_NOISE = ["warmup", "prompt is too long", "request interrupted"]
 
 
-def parse_generic(lines: DataFrame, source: str = "custom", as_of=None, place_ids: bool = False) -> DataFrame:
+def parse_generic(lines: DataFrame, source: str = "custom", as_of=None, place_ids: bool = False, finish=to_messages) -> DataFrame:
     """One JSON record per line: role, content, a time, and optional ids, model, project and title.
 
     With `place_ids` a message without an id is named by its line's place (path, block, pos) instead of its number in
@@ -44,10 +48,10 @@ def parse_generic(lines: DataFrame, source: str = "custom", as_of=None, place_id
         F.when(role == "assistant", "assistant").otherwise("user").alias("role"),
         F.col("r.content").alias("content"), tx.parse_ts(raw_ts, now).alias("ts"),
     )
-    return to_messages(rows, now)
+    return finish(rows, now)
 
 
-def parse_sessions(lines: DataFrame, source: str = "claude-code") -> DataFrame:
+def parse_sessions(lines: DataFrame, source: str = "claude-code", finish=to_messages) -> DataFrame:
     """Coding-session lines: text blocks of user and assistant, short and automatic messages left out."""
     fields = "type string, timestamp string, sessionId string, uuid string, message struct<role:string,model:string,content:string>"
     rec = lines.withColumn("r", F.from_json("value", fields)).where("r.type IN ('user', 'assistant')")
@@ -80,10 +84,10 @@ def parse_sessions(lines: DataFrame, source: str = "claude-code") -> DataFrame:
         project.alias("conversation_title"), F.coalesce("r.uuid", place).alias("message_id"), "role", "content",
         F.coalesce(stated, F.col("modified_at")).alias("ts"), F.lit("day").alias("temporal_precision"),
     )
-    return to_messages(rows, F.current_timestamp())
+    return finish(rows, F.current_timestamp())
 
 
-def parse_agent_sessions(lines: DataFrame, source: str = "clawdbot", as_of=None) -> DataFrame:
+def parse_agent_sessions(lines: DataFrame, source: str = "clawdbot", as_of=None, finish=to_messages) -> DataFrame:
     """Agent-session lines of three kinds; session id and model carry on to the later messages."""
     fields = (
         "type string, id string, modelId string, parentId string, timestamp string, "
@@ -108,10 +112,10 @@ def parse_agent_sessions(lines: DataFrame, source: str = "clawdbot", as_of=None)
         once(block_text(F.col("r.message.content"))).alias("content"),
         F.coalesce(epoch_ms, raw_ts.try_cast("timestamp"), now).alias("ts"),
     )
-    return to_messages(rows, now)
+    return finish(rows, now)
 
 
-def parse_transcripts(lines: DataFrame, source: str = "cursor", as_of=None) -> DataFrame:
+def parse_transcripts(lines: DataFrame, source: str = "cursor", as_of=None, finish=to_messages) -> DataFrame:
     """Agent transcripts with a flat or nested message and several names for the two roles."""
     fields = (
         "type string, role string, content string, model string, timestamp string, uuid string, id string, "
@@ -135,4 +139,4 @@ def parse_transcripts(lines: DataFrame, source: str = "cursor", as_of=None) -> D
             "role", "content", tx.parse_ts(F.coalesce("r.timestamp", "r.message.timestamp"), now).alias("ts"),
         )
     )
-    return to_messages(rows, now)
+    return finish(rows, now)

@@ -82,24 +82,40 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def to_messages(rows: DataFrame, as_of: Column) -> DataFrame:
-    """Canonical, numbered messages of rows in file order.
+#: Where a message stands in its files, and whether its id is its own: what numbering needs besides the message.
+PLACES = "path string, block bigint, pos bigint, has_id boolean"
+
+
+def placed_messages(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Canonical messages with their places, not yet numbered; rows as in `to_messages`."""
+    ready = canonicalize(rows.withColumn("has_id", F.col("message_id").isNotNull()), as_of)
+    return ready.select(*[f.name for f in schema.MESSAGES.fields], "path", "block", "pos", "has_id")
+
+
+def number_messages(placed: DataFrame) -> DataFrame:
+    """Number every conversation of `placed_messages` in the order of its places; places stay.
 
-    rows: path, block, pos, conversation_id, role, content, ts (nullable) and optional columns.
     Ids missing from the input become conversation id and position.
     """
-    ready = canonicalize(rows.withColumn("_has_id", F.col("message_id").isNotNull()), as_of)
     numbered = number_rows(
-        ready.drop("msg_index", "conversation_msg_count"),
+        placed.drop("msg_index", "conversation_msg_count"),
         ["conversation_id"], ["path", "block"], ["pos"], "msg_index", "conversation_msg_count",
     )
     own = F.concat_ws("_", "conversation_id", "msg_index")
-    out = (
-        numbered.withColumn("message_id", F.when(F.col("_has_id"), F.col("message_id")).otherwise(own))
+    return (
+        numbered.withColumn("message_id", F.when(F.col("has_id"), F.col("message_id")).otherwise(own))
         .withColumn("is_first", (F.col("msg_index") == 0).cast("int"))
         .withColumn("is_last", (F.col("msg_index") == F.col("conversation_msg_count") - 1).cast("int"))
+        .select(*placed.columns)
     )
-    return schema.conform(out, schema.MESSAGES)
+
+
+def to_messages(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Canonical, numbered messages of rows in file order.
+
+    rows: path, block, pos, conversation_id, role, content, ts (nullable) and optional columns.
+    """
+    return schema.conform(number_messages(placed_messages(rows, as_of)), schema.MESSAGES)
 
 
 def moment(as_of) -> Column:

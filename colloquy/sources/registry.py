@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schema
-from colloquy.sources import documents, jsonl
-from colloquy.sources.lines import LINES, number_lines, read_documents, read_lines
+from colloquy.sources import documents, incremental, jsonl
+from colloquy.sources.lines import read_documents, read_lines
+from colloquy.sources.tables import read_optional
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
 _SOURCES: dict[str, Reader] = {}
-STORE_BUCKETS = 64
 
 
 def register_source(name: str, reader: Reader) -> None:
@@ -53,19 +53,6 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return schema.conform(spark.read.schema(schema.MESSAGES).parquet(path), schema.MESSAGES)
 
 
-def read_optional(spark: SparkSession, path: str, table_schema=None) -> DataFrame | None:
-    """The table at `path`, or None when there is none."""
-    reader = spark.read if table_schema is None else spark.read.schema(table_schema)
-    try:
-        found = reader.parquet(path)
-        found.limit(0).count()
-        return found
-    except Exception as error:  # the reader raises its own analysis error for a missing path
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-
-
 def source_inventory(spark: SparkSession, configured: list[tuple[str, str, str]]) -> DataFrame:
     """Files and bytes per (source, path, file pattern), from the listing alone."""
     parts = []
@@ -91,40 +78,13 @@ def ingest_changed(spark: SparkSession, name: str, path: str, since: str) -> Dat
 
 
 def ingest_incremental(spark: SparkSession, name: str, path: str, store: str, pattern: str = "*.jsonl", **options) -> DataFrame:
-    """Messages of all line files below `path`, reading only files that are new or changed since the last call.
+    """Messages of all line files below `path`; only files that are new or changed since the last call are read.
 
-    `store` keeps the lines by path bucket and, by call, what was seen of each file (length, modification time). The lines
-    of changed files replace their stored ones in the buckets they fall into; the result is that of one full ingest of
-    everything stored. A file that vanished stays stored. A call that fails before its record is written is repeated by
-    the next one.
+    See `incremental.refresh`.
     """
     if name not in LINE_FORMATS:
         raise KeyError(f"{name} is not a line format")
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-        .select("path", "length", F.col("modificationTime").alias("seen_at"))
-    )
-    seen = read_optional(spark, f"{store}/files", "path string, length bigint, seen_at timestamp, run bigint")
-    run, changed = 0, files
-    if seen is not None:
-        run = (seen.agg(F.max("run")).first()[0] or 0) + 1
-        latest = seen.groupBy("path").agg(F.max(F.struct("run", "length", "seen_at")).alias("last")).select("path", "last.length", "last.seen_at")
-        changed = files.join(latest, ["path", "length", "seen_at"], "left_anti")
-    bucket = F.pmod(F.xxhash64("path"), F.lit(STORE_BUCKETS)).cast("int").alias("bucket")
-    fresh = number_lines(read_lines(spark, path, pattern)).join(changed.select("path"), "path", "left_semi").select("*", bucket)
-    lines = f"{store}/lines"
-    stored = read_optional(spark, lines, LINES + ", bucket int")
-    if stored is not None:
-        touched = changed.select(bucket).distinct()
-        rest = stored.join(touched, "bucket", "left_semi").join(changed.select("path"), "path", "left_anti")
-        fresh = fresh.unionByName(rest)
-    step = f"{store}/step/run={run}"
-    fresh.write.mode("overwrite").partitionBy("bucket").parquet(step)
-    again = spark.read.schema(LINES + ", bucket int").parquet(step)
-    again.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(STORE_BUCKETS * 16))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(lines)
-    files.withColumn("run", F.lit(run).cast("bigint")).write.mode("append").parquet(f"{store}/files")
-    return LINE_FORMATS[name](spark.read.schema(LINES + ", bucket int").parquet(lines).drop("bucket"), **options)
+    return incremental.refresh(spark, LINE_FORMATS[name], path, store, pattern, **options)
 
 
 LINE_FORMATS = {
