@@ -138,9 +138,10 @@ def brute_manifest(rows):
 MANIFEST = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
 
 
-@pytest.mark.parametrize("levels", [12, 2])
-def test_manifest(spark, monkeypatch, levels):
+@pytest.mark.parametrize("levels, hop", [(12, 4), (2, 1), (4, 2)])
+def test_manifest(spark, monkeypatch, levels, hop):
     monkeypatch.setattr(merkle, "LEVELS", levels)
+    monkeypatch.setattr(merkle, "HOP", hop)
     rows = [(i, "ab"[i % 2], "en" if i < 70 else ("de", "fr", "é", "Z", "", None)[i % 6], i * 3, f"text {i} é") for i in range(101)]
     rows += [(200, None, "alone", None, None), (None, None, None, 5, ""), (None, "a", "en", 5, "x"), (7, "a", "en", 1, "same id"), (7, "a", "en", 1, "same id"), (9, "x", "en", None, "no size")]
     frame = spark.createDataFrame([(*r, 1, "z", 2) for r in rows], "doc_id bigint, source string, lang string, n_chars bigint, text string, tree int, LEAF string, place int").repartition(4)
