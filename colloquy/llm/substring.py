@@ -255,32 +255,37 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, window: int = WINDOW, anc
     """
     spark = texts.sparkSession
     place = ["doc", "part", "start", "stop"]
+    # what a join's sides come from is written first: a join of two plain tables splits a key that holds very many rows
     every = scratch.table(_stretches(texts, window, min(anchor, window)), "stretches")
-    shared = every.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    found = scratch.table(every.join(shared, "anchor"), "found")
+    several = every.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    found = scratch.table(every.join(scratch.table(several, "several"), "anchor"), "found")
     scratch.drop("stretches")
     origin = F.min(F.struct(*place)).alias("r")
     first = scratch.table(found.groupBy("anchor", "context").agg(origin, F.first("high").alias("high")), "first")
     common = scratch.table(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CONTEXTS).select("anchor"), "common")
     sources = first.join(common, "anchor", "left_anti").where("r.doc < high").select("anchor", "r.*")
-    visits = found.join(common, "anchor", "left_anti").select("anchor", *place, "low")
     if not common.isEmpty():
         spots = found.join(common, "anchor", "left_semi").groupBy("doc", "part").agg(F.collect_set(F.struct("start", "stop")).alias("spots"))
-        windows = scratch.table(_windows(texts.join(spots, ["doc", "part"]), window), "windows")
-        lows = scratch.table(windows.groupBy("anchor").agg(origin, F.max("doc").alias("high")).where("r.doc < high").select("anchor", "r"), "lows")
-        sources = sources.union(lows.select("anchor", "r.*"))
-        visits = visits.union(windows.join(lows.select("anchor", F.col("r.doc").alias("low")), "anchor").select("anchor", *place, "low"))
+        windows = scratch.table(_windows(texts.join(scratch.table(spots, "spots"), ["doc", "part"]), window), "windows")
+        lows = windows.groupBy("anchor").agg(origin, F.max("doc").alias("high")).where("r.doc < high").select("anchor", "r.*")
+        sources = sources.union(lows)
     sources = scratch.table(sources, "sources")
     total = sources.agg(F.sum(F.col("stop") - F.col("start") - (window - 1))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
     number = F.pmod(F.xxhash64("doc", "part", F.expr(f"start div {BLOCK}")), F.lit(shards))
     sources = sources.withColumn("shard", number)
-    held = sources.groupBy("anchor", "shard").agg(F.min("doc").alias("from"))
-    units = visits.where("doc > low").join(held, "anchor").where(F.col("doc") > F.col("from")).select("shard", F.lit(False).alias("ref"), *place).union(
-        sources.select("shard", F.lit(True), *place))
+    held = scratch.table(sources.groupBy("anchor", "shard").agg(F.min("doc").alias("from")), "held")
+
+    def visits(rows: DataFrame) -> DataFrame:
+        return rows.select("anchor", *place).join(held, "anchor").where(F.col("doc") > F.col("from")).select("shard", F.lit(False).alias("ref"), *place)
+
+    # a common anchor is not among the sources' and so visits no shard, its windows do
+    units = sources.select("shard", F.lit(True).alias("ref"), *place).union(visits(found))
+    if not common.isEmpty():
+        units = units.union(visits(windows))
     units = units.groupBy("doc", "part").agg(F.collect_set(F.struct("shard", "ref", "start", "stop")).alias("units"))
     pieces = scratch.table(_pieces(texts.join(units, ["doc", "part"]), window), "pieces")
-    for name in ("found", "first", "common", "windows", "lows", "sources"):
+    for name in ("several", "found", "first", "common", "spots", "windows", "sources", "held"):
         scratch.drop(name)
     loads = scratch.table(pieces.where("not ref").groupBy("shard").agg(F.ceil(F.sum("n") / STREAMED).alias("salts")), "loads")
     copies = loads.agg(F.sum("salts")).first()[0] or 0
