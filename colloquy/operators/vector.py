@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions import noise
+from colloquy.operators import vector_index
 from colloquy.operators.ranking import top_per
+from colloquy.session import shared_folder
 
 # Queries sent to the tasks of one pass; larger query tables take several passes.
 QUERIES_PER_PASS = 2_000
@@ -42,7 +44,7 @@ def _query_passes(queries) -> list[list[tuple]]:
         table.unpersist()
 
 
-def _nearest_in_partition(rows: list[tuple], k: int, query_type: pa.DataType) -> Callable:
+def _nearest_in_partition(rows: list[tuple], k: int, query_type: pa.DataType, digits: int | None = None) -> Callable:
     """Task function: the k nearest ids of every query among one partition's vectors."""
     names = [q for q, _ in rows]
     matrix = np.asarray([v for _, v in rows], dtype=np.float64)
@@ -65,6 +67,7 @@ def _nearest_in_partition(rows: list[tuple], k: int, query_type: pa.DataType) ->
                     cut = min(cut, np.partition(column, k - 1)[k - 1])
                 near = np.flatnonzero(column <= cut + 1e-6 * (1.0 + abs(cut))) if np.isfinite(cut) else np.arange(len(column))
                 exact = ((block[near] - matrix[j]) ** 2).sum(1)
+                exact = exact if digits is None else np.round(exact, digits)
                 best[j].extend((d, ids[int(i)].as_py()) for i, d in zip(near, exact))
                 best[j].sort()
                 del best[j][k:]
@@ -92,9 +95,12 @@ def vector_topk(
     vector_col: str = "embedding",
     min_similarity: float | None = None,
     offset: int = 0,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact k nearest rows of every query: (query_id, rank, id, distance, similarity).
 
+    With `digits` distances are rounded before they are compared, so rows that differ by rounding errors tie.
+
     `queries` holds (query_id, vector). Each partition is scanned once per pass with block
     arithmetic and passes on at most k rows per query; ties are broken by id. Filter `vectors`
     before the call to search a part of it. A query meets the vectors of its own length; a vector that no query's length
@@ -127,7 +133,7 @@ def vector_topk(
         source = usable.where(F.when(size.isin(dims), size == dim).otherwise(odd.cast("boolean"))).select(
             F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")
         )
-        part = source.mapInArrow(_nearest_in_partition(rows, k + offset, arrow_type), schema)
+        part = source.mapInArrow(_nearest_in_partition(rows, k + offset, arrow_type, digits), schema)
         found = part if found is None else found.unionByName(part)
     ranked = top_per(found, ["query_id"], [F.col("distance"), F.col("id")], k + offset, "rank")
     out = ranked.where(F.col("rank") > offset).withColumn("similarity", similarity(F.col("distance")))
@@ -138,26 +144,15 @@ def vector_topk(
 
 def vector_ann(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "embedding",
-    bucket_length: float = 0.5, tables: int = 4, threshold: float = float("inf"), seed: int = 42,
+    cells: int | None = None, probes: int | None = None,
 ) -> DataFrame:
-    """Approximate k nearest: random-projection buckets give candidates, exact distances rank them.
+    """Approximate k nearest by an index made for this call in the shared folder; keep one with `vector_index` to search again.
 
     queries(query_id, vector). Use vector_topk for exact answers; the recall is the caller's to check.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    data = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("v"))
-    asked = queries.select("query_id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(data)
-    pairs = model.approxSimilarityJoin(data, asked, threshold, "l2").select(
-        F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"),
-        (F.col("l2") * F.col("l2")).alias("distance"),
-    )
-    ranked = top_per(pairs, ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
-    return ranked.select("query_id", "rank", "id", "distance", similarity(F.col("distance")).alias("similarity"))
+    path = shared_folder(vectors.sparkSession, "vector-index")
+    vector_index.build_index(vectors, path, id_col, vector_col, cells)
+    return vector_index.search_index(vectors.sparkSession, path, queries, k, probes)
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -198,8 +193,7 @@ def semantic_topk(
     """
     vectors = encoder(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "embedding")
     asked = encoder(queries.select("query_id", "query"), "query").select("query_id", F.col("embedding").alias("vector"))
-    near = vector_topk(vectors, asked, 2 * k).drop("rank").withColumn("_d", F.round("distance", 9))
-    return top_per(near, ["query_id"], [F.col("_d"), F.col("id")], k, "rank").select("query_id", "rank", "id", "similarity")
+    return vector_topk(vectors, asked, k, digits=9).select("query_id", "rank", "id", "similarity")
 
 
 def encode(df: DataFrame, text_col: str, embed_batch: Callable[[list[str]], list[list[float]]], out: str = "embedding", batch: int = 50) -> DataFrame:

@@ -139,7 +139,7 @@ def test_approximate_search_recall(spark, cloud):
     vecs, qs = cloud
     df = spark.createDataFrame(vecs, "id int, embedding array<float>")
     table = spark.createDataFrame(qs, "query_id int, vector array<double>")
-    near = vector.vector_ann(df, table, 10, bucket_length=4.0, tables=6)
+    near = vector.vector_ann(df, table, 10)
     got = [r.recall for r in vector.recall(vector.vector_topk(df, table, 10), near).collect()]
     assert len(got) == len(qs) and sum(got) / len(got) >= 0.9
 

@@ -10,7 +10,7 @@ from tools.compare import TABLES, rows_of
 
 DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = queries(), oracle_sql()
-ROWS_ONLY = {"vector_ann", "source_inventory"}
+ROWS_ONLY = {"source_inventory"}
 
 
 @pytest.fixture(scope="module")
