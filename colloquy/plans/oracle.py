@@ -407,7 +407,7 @@ _sql("coverage_progress", "m mv s", """
 _sql("input_status", "m mv s repos commits", """
     , have AS (SELECT CAST((SELECT count(*) FROM m) > 0 AS BIGINT) AS m, CAST((SELECT count(*) FROM mv) > 0 AS BIGINT) AS v,
       CAST((SELECT count(*) FROM s) > 0 AS BIGINT) AS s, CAST((SELECT count(*) FROM repos) > 0 AS BIGINT) AS r,
-      CAST((SELECT count(*) FROM commits WHERE repo_name IS NULL) > 0 AS BIGINT) AS c),
+      CAST((SELECT count(*) FROM commits) > 0 AS BIGINT) AS c),
     need AS (SELECT 'kw_search' AS operator, 1 AS needs, m AS present FROM have UNION ALL SELECT 'vector_topk', 1, v FROM have
       UNION ALL SELECT 'hybrid', 2, s + v FROM have UNION ALL SELECT 'repo_timeline', 2, r + c FROM have UNION ALL SELECT 'alignment', 2, v FROM have)
     SELECT operator, CAST(needs AS BIGINT) AS needs, present, CASE WHEN present = needs THEN 'ok' WHEN present = 0 THEN 'unavailable' ELSE 'degraded' END AS status FROM need""")
@@ -714,6 +714,7 @@ _sql("vector_topk", "ranked", f"SELECT {_near} FROM ranked WHERE rank <= 10")
 _sql("vector_topk_filtered", "dists", f"""
     SELECT {_near} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dists WHERE role = 'user' AND year >= 2021)
     WHERE rank > 3 AND rank <= 8 AND 1 / (1 + distance) >= 0.3""")
+_sql("vector_ann", "ranked", "SELECT query_id, true AS found FROM ranked WHERE rank <= 10 GROUP BY query_id")
 _sql("vector_stats", "mv", "SELECT year, count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dim FROM mv GROUP BY year")
 _sql("dim_check", "mv", """
     SELECT CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim, count(*) AS vectors, count(*) FILTER (len(embedding) <> 64) AS mismatched,
@@ -736,6 +737,7 @@ _bm25 = """
       FROM post JOIN asked USING (term) JOIN idf USING (term) GROUP BY ALL),
     texthits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)"""
 _sql("bm25", "s", _bm25.format(queries=rows(q.TEXT_QUERIES), where="") + " SELECT query_id, rank, id, round(score, 6) AS score FROM texthits WHERE rank <= 10")
+_sql("bm25_index", "s", _bm25.format(queries=rows(q.TEXT_QUERIES), where="") + " SELECT query_id, rank, id, round(score, 6) AS score FROM texthits WHERE rank <= 10")
 _labelled = [(f"label-{i}", text) for i, (_, text) in enumerate(q.TEXT_QUERIES)]
 _sql("hybrid", "shits", _bm25.format(queries=rows(_labelled), where="") + """
     , fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.conversation_id) AS id, a.rank AS text_rank, b.rank AS vector_rank,
@@ -743,7 +745,8 @@ _sql("hybrid", "shits", _bm25.format(queries=rows(_labelled), where="") + """
       FROM (SELECT * FROM texthits WHERE rank <= 30) a FULL JOIN (SELECT * FROM shits WHERE rank <= 30) b ON a.query_id = b.query_id AND a.id = b.conversation_id)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, text_rank, vector_rank, score FROM fused QUALIFY rank <= 10""")
 _sql("search_summaries", "s", _bm25.format(queries=rows(q.TEXT_QUERIES), where="WHERE importance = 'significant'") + f"""
-    SELECT query_id, rank, conversation_id, left(title, 80) AS title, domain_primary, thinking_stage, source, importance, {joined('concepts[1:8]')} AS concepts
+    SELECT query_id, rank, round(score, 6) AS score, conversation_id, left(title, 80) AS title, left(summary, 400) AS summary, domain_primary, thinking_stage,
+      source, importance, {joined('concepts[1:8]')} AS concepts
     FROM texthits JOIN s ON s.conversation_id = id WHERE rank <= 10""")
 _hashed = """
     , tx AS ({texts}),
