@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Each source's documents are dealt to shards and lined up there in a seeded order; a shard's words are cut into blocks of
-equal size (its last may be shorter). Blocks are apportioned to sources by their targets and to a source's shards by
-their words, which gives every shard an integer quota. A quota of q among n blocks takes each block q div n times and
-q mod n blocks once more: those at equal steps from a seeded start. What a document gives follows from its place in its
-shard alone, by integer arithmetic, so no block is ever a row.
+Each source's documents are dealt to shards and lined up there in a seeded order. Words are apportioned to sources by their
+targets and to a source's shards by their words. A shard's words are cut into blocks of equal size (its last may be shorter),
+a size between half of BLOCK_TOKENS and all of it that its share is nearly a multiple of; so the share is an integer quota,
+and how a source is cut does not depend on the others. A quota of q among n blocks takes each block q div n times and q mod n
+full blocks once more: those at equal steps from a seeded start. What a document gives follows from its place in its shard
+alone, by integer arithmetic, so no block is ever a row.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK_TOKENS = 256
-#: A block is at most this part of the smallest target, so that rounding to blocks stays below a percent.
-FINE = 400
 ROWS_PER_SHARD, MOST_SHARDS = 2_000, 10_000
 SEED = 17
 
@@ -78,25 +77,38 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return out
 
 
+def block_of(rest: int, words: int, most: int = BLOCK_TOKENS) -> tuple[int, int]:
+    """Block size and how many full blocks of a shard's `words` come nearest to `rest` words (fewer than all).
+
+    A rest of one block's words or less is one block. Else the size is from half of `most` on, the largest of the nearest.
+    """
+    if rest <= most:
+        return max(1, rest or min(most, words)), int(rest > 0)
+    size = min(range(most, most // 2 - 1, -1), key=lambda b: abs(rest - min(round(rest / b), words // b) * b))
+    return size, min(round(rest / size), words // size)
+
+
 def quotas(
     shards: dict[tuple[str | None, int], int], target: dict[str | None, float], most: int = MOST, block_tokens: int = BLOCK_TOKENS,
-) -> tuple[dict[tuple[str | None, int], int], int]:
-    """Each shard's quota of blocks, from its words; and the block size."""
-    positive = [t for t in target.values() if t > 0]
-    block = max(1, min(block_tokens, int(min(positive) / FINE))) if positive else 1
+) -> dict[tuple[str | None, int], tuple[int, int, int]]:
+    """Each shard's block size, quota of blocks and number of blocks, from the words of all shards."""
     members: dict[str | None, list[int]] = {}
     for source, shard in shards:
         members.setdefault(source, []).append(shard)
     order = sorted(members, key=lambda s: (s is None, s or ""))
-    room = {key: most * -(-words // block) for key, words in shards.items()}
-    seats = sainte_lague(
-        [target[s] for s in order], round(sum(target.values()) / block), [sum(room[s, x] for x in members[s]) for s in order])
+    words = {s: sum(shards[s, x] for x in members[s]) for s in order}
+    shares = sainte_lague([target[s] for s in order], round(sum(target[s] for s in order)), [most * words[s] for s in order])
     out = {}
-    for source, n in zip(order, seats):
+    for source, share in zip(order, shares):
         own = sorted(members[source])
-        given = sainte_lague([float(shards[source, x]) for x in own], n, [room[source, x] for x in own])
-        out.update(((source, x), q) for x, q in zip(own, given))
-    return out, block
+        given = sainte_lague([float(shards[source, x]) for x in own], share, [most * shards[source, x] for x in own])
+        for shard, n in zip(own, given):
+            size = shards[source, shard]
+            whole, rest = divmod(n, size) if size else (0, 0)
+            block, more = block_of(rest, size, block_tokens)
+            blocks = max(1, -(-size // block))
+            out[source, shard] = block, whole * blocks + more, blocks
+    return out
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -129,8 +141,9 @@ def plan_mix(
     table = spark.createDataFrame(sources, "__source string, source_size bigint, target double, shards bigint")
     placed = rows.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("shard", F.pmod("rank", "shards")).drop("__source", "shards")
     words = {(r["source"], r["shard"]): r["size"] for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect()}
-    quota, block = quotas(words, target, most, block_tokens)
-    shards = [(s, x, block, q, max(1, -(-words[s, x] // block)), (seed * 1_000_003 + x * 7_919) % max(1, -(-words[s, x] // block))) for (s, x), q in quota.items()]
+    # a start not below the number of further blocks leaves the last block, which may be short, out of them
+    shards = [(s, x, block, quota, blocks, quota % blocks + (seed * 1_000_003 + x * 7_919) % (blocks - quota % blocks))
+              for (s, x), (block, quota, blocks) in quotas(words, target, most, block_tokens).items()]
     table = spark.createDataFrame(shards, "__source string, __shard bigint, block bigint, quota bigint, blocks bigint, phase bigint")
     line = Window.partitionBy("source", "shard").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.withColumn("begin", F.coalesce(F.sum("size").over(line), F.lit(0)))
@@ -158,26 +171,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def copies(text: str, begin: int, block: int, quota: int, blocks: int, phase: int) -> list[str]:
-    """The texts a document gives to the mix: for each copy, the words of the blocks that are taken so often."""
+    """The texts a document gives to the mix: whole ones, and one of the words in blocks that are taken once more."""
+    whole, more = divmod(quota, blocks)
     spans = [m.span() for m in re.finditer(WORD, text)]
-    often = []
-    for word in range(begin, begin + len(spans)):
-        number, each = word // block, quota % blocks
-        often.append(quota // blocks + ((number + 1) * each + phase) // blocks - (number * each + phase) // blocks)
-    out = []
-    for copy in range(1, max(often, default=0) + 1):
-        if min(often) >= copy:
-            out.append(text)
-            continue
-        runs, open_ = [], None
-        for (start, end), n in zip(spans, often):
-            if n >= copy:
-                open_ = (open_[0] if open_ else start, end)
-            elif open_:
-                runs.append(open_)
-                open_ = None
-        runs += [open_] if open_ else []
-        out.append("\n".join(text[a:z] for a, z in runs))
+    out, runs, stop = [text] * whole if spans else [], [], begin + len(spans)
+    for number in range(begin // block, -(-stop // block)) if more and spans else ():
+        if ((number + 1) * more + phase) // blocks > (number * more + phase) // blocks:
+            first, last = max(begin, number * block) - begin, min(stop, (number + 1) * block) - begin
+            if runs and runs[-1][1] == first:
+                runs[-1] = runs[-1][0], last
+            else:
+                runs.append((first, last))
+    if runs == [(0, len(spans))]:
+        out.append(text)
+    elif runs:
+        out.append("\n".join(text[spans[first][0]:spans[last - 1][1]] for first, last in runs))
     return out
 
 
