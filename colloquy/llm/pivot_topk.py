@@ -24,7 +24,9 @@ SAMPLE = 2_048
 CANDIDATES, QUERIES = 8_192, 512
 #: Candidates of a query that are scored at once.
 STEP = 256
-PACKED = "block bigint, ids binary, matrix binary, pivots binary"
+MOST_LENGTHS = 1_000
+BLOCK = ("ids", "rows", "matrix", "pivots")
+PACKED = "block bigint, ids binary, rows binary, matrix binary, pivots binary"
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -54,24 +56,26 @@ def _packed(vectors: DataFrame, rows: int, pivots: np.ndarray) -> DataFrame:
         return np.sqrt(np.maximum(squares, 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, waiting, block = [], [], 0, 0
+        ids, places, parts, waiting, block = [], [], [], 0, 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal ids, parts, waiting, block
-            every, matrix = np.concatenate(ids), np.concatenate(parts)
+            nonlocal ids, places, parts, waiting, block
+            every, place, matrix = np.concatenate(ids), np.concatenate(places), np.concatenate(parts)
             for at in range(0, len(every), rows):
                 if not last and len(every) - at < rows:
-                    ids, parts, waiting = [every[at:]], [matrix[at:]], len(every) - at
+                    ids, places, parts, waiting = [every[at:]], [place[at:]], [matrix[at:]], len(every) - at
                     return
-                some, own = every[at:at + rows], matrix[at:at + rows]
+                own = matrix[at:at + rows]
                 block += 1
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block], pa.int64()), "ids": [some.tobytes()], "matrix": [own.tobytes()], "pivots": [distances(own).tobytes()]})
-            ids, parts, waiting = [], [], 0
+                    "block": pa.array([block], pa.int64()), "ids": [every[at:at + rows].tobytes()], "rows": [place[at:at + rows].tobytes()],
+                    "matrix": [own.tobytes()], "pivots": [distances(own).tobytes()]})
+            ids, places, parts, waiting = [], [], [], 0
 
         for batch in batches:
             if batch.num_rows:
                 ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64))
+                places.append(batch.column("row").to_numpy(zero_copy_only=False))
                 parts.append(batch.column("vector").flatten().to_numpy().astype(np.float64).reshape(-1, width))
                 waiting += batch.num_rows
             if waiting >= rows:
@@ -83,14 +87,14 @@ def _packed(vectors: DataFrame, rows: int, pivots: np.ndarray) -> DataFrame:
 
 
 def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray]:
-    """(query ids, candidate ids, scores) of each query's k best in one block of candidates."""
-    q_ids, ids = (np.frombuffer(b["ids"], np.int64) for b in (query, other))
+    """(query rows, query ids, candidate ids, scores) of each query's k best in one block of candidates."""
+    q_ids, ids, q_rows, rows = (np.frombuffer(b[name], np.int64) for name in ("ids", "rows") for b in (query, other))
     q, x = (np.frombuffer(b["matrix"]).reshape(-1, width) for b in (query, other))
     q_far, x_far = (np.frombuffer(b["pivots"]).reshape(len(m), -1) for b, m in ((query, q), (other, x)))
     q_norm, x_norm = (q ** 2).sum(axis=1), (x ** 2).sum(axis=1)
     found = []
     by_id = np.argsort(ids, kind="stable")
-    x, x_far, x_norm, ids = x[by_id], np.ascontiguousarray(x_far[by_id].T), x_norm[by_id], ids[by_id]
+    x, x_far, x_norm, ids, rows = x[by_id], np.ascontiguousarray(x_far[by_id].T), x_norm[by_id], ids[by_id], rows[by_id]
     for row in range(len(q)):
         apart = np.zeros(len(x))
         for p in range(len(x_far)):
@@ -114,11 +118,11 @@ def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray
                 break
             some = top[start:start + STEP]
             start += STEP
-            some = some[ids[some] != q_ids[row]]
+            some = some[rows[some] != q_rows[row]]
             every, scores = np.r_[best[0], ids[some]], np.r_[best[1], x[some] @ q[row]]
             keep = np.lexsort((every, -scores))[:k]
             best = every[keep], scores[keep]
-        found.append((np.full(len(best[0]), q_ids[row]), *best))
+        found.append((np.full(len(best[0]), q_rows[row]), np.full(len(best[0]), q_ids[row]), *best))
     return [np.concatenate(c) for c in zip(*found)]
 
 
@@ -128,41 +132,46 @@ def top_k(
     """query_id, rank (from 1), vec_id, score: each query's `k` highest integer inner products among all other rows.
 
     `is_query` is a condition on `vec_id`. Ties go to the smaller vec_id; a query has fewer rows if there are fewer
-    candidates; other rows with the query's own id are no candidates. Vectors that are null, empty, or hold null or
-    non-finite components take no part, nor do rows with a null id. Vectors of different lengths are searched apart.
-    Repeated ids are candidates of their own. An empty table gives no rows. Scores are exact below 2^53.
+    candidates. Repeated ids are rows of their own: each is a candidate, also for the others, and each query row has its own
+    `k` results. Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null
+    id. Vectors of different lengths are searched apart; more than MOST_LENGTHS lengths are an error. An empty table gives
+    no rows. Scores are exact below 2^53.
 
     Blocks of queries meet blocks of candidates (queries x rows / (512 x 8192) pairs of blocks, each block one row); a
     pair leaves k rows for each query.
     """
     spark = vectors.sparkSession
     usable = pick(vectors, vec_id=vec_id, embedding=embedding).select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("vector"))
-    usable = staged(usable.where("vec_id is not null and size(vector) > 0"), "vectors")
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    usable = staged(usable.where("vec_id is not null and size(vector) > 0").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
     parts = []
-    for (width,) in sorted(usable.select(F.size("vector")).distinct().limit(1_000).collect()):
+    widths = usable.select(F.size("vector")).distinct().limit(MOST_LENGTHS + 1).collect()
+    if len(widths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    for (width,) in sorted(widths):
         own = usable.where(F.size("vector") == width)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow().column("vector")
         pivots = choose_pivots(sample.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width), n_pivots)
         n = own.count()
         groups = max(1, -(-n // CANDIDATES))
         dealt = own.withColumn("group", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(groups)))
-        candidates = staged(_packed(dealt.repartition(groups, "group").select("vec_id", "vector"), CANDIDATES, pivots), "candidates")
-        queries = staged(_packed(own.where(is_query).select("vec_id", "vector"), QUERIES, pivots), "queries")
+        candidates = staged(_packed(dealt.repartition(groups, "group").select("vec_id", "row", "vector"), CANDIDATES, pivots), "candidates")
+        queries = staged(_packed(own.where(is_query).select("vec_id", "row", "vector"), QUERIES, pivots), "queries")
         keyed = candidates.withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-        every = queries.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("key", *[F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "pivots")])
+        every = queries.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("key", *[F.col(c).alias(f"q_{c}") for c in BLOCK])
 
         def search(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    query, other = ({c: row[p + c] for c in ("ids", "matrix", "pivots")} for p in ("q_", ""))
-                    q, x, score = _block_topk(query, other, width, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+                    query, other = ({c: row[p + c] for c in BLOCK} for p in ("q_", ""))
+                    place, q, x, score = _block_topk(query, other, width, k)
+                    columns = [pa.array(c, pa.int64()) for c in (place, q, x, score.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_row", "query_id", "vec_id", "score"])
 
-        pairs = keyed.join(every, "key").select("ids", "matrix", "pivots", "q_ids", "q_matrix", "q_pivots")
+        pairs = keyed.join(every, "key").select(*BLOCK, *[f"q_{c}" for c in BLOCK])
         parts.append(pairs.mapInArrow(search, schema))
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for part in parts[1:]:
         found = found.union(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
