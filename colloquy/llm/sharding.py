@@ -10,6 +10,8 @@ from colloquy.llm.common import n_buckets, pick, running_sum, staged
 ROUNDS = 4
 #: Movers into a shard are admitted by classes of their neighbour's degree (powers of two), each in so many hash steps.
 STEPS = 64
+#: A shard may grow by this part above its capacity while rows move: where nearly all rows are linked, room there is none else.
+SLACK = 0.01
 #: Documents above this share of a shard are placed before the others, which then even out what those left uneven.
 BIG = 1 / 200
 #: Groups of equal texts above this share of a shard are placed whole before all others, over no more shards than they need.
@@ -28,14 +30,42 @@ def _votes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return by_node.select("id", "shard", "size", "here", "low", (-F.col("best.minus")).alias("to"), F.col("best.n").alias("there"), F.col("best.of").alias("of"))
 
 
+def admitted(flows: list[tuple[int, int, int, int]], held: dict[int, int], capacity: float) -> dict[int, int]:
+    """The last step of movers that each shard takes (-1: none), for flows (from, to, step, bytes).
+
+    What leaves a shard makes room there: first all are taken, then shards that would hold more than `capacity` take fewer,
+    which may leave others with more, until all hold.
+    """
+    cuts = {s: max((step for _, to, step, _ in flows if to == s), default=-1) for s in held}
+    while True:
+        room = {s: capacity - held[s] for s in held}
+        coming: dict[int, dict[int, int]] = {s: {} for s in held}
+        for start, to, step, size in flows:
+            if step <= cuts[to]:
+                room[start] += size
+                coming[to][step] = coming[to].get(step, 0) + size
+        fewer = {}
+        for s, steps in coming.items():
+            last = -1
+            for step in sorted(steps):
+                room[s] -= steps[step]
+                if room[s] < 0:
+                    break
+                last = step
+            fewer[s] = last
+        if fewer == cuts:
+            return cuts
+        cuts = fewer
+
+
 def propagate(
     labels: DataFrame, links: DataFrame, capacity: int, n_shards: int, rounds: int = ROUNDS, taken: dict[int, float] | None = None,
 ) -> DataFrame:
     """New shards of `labels` (id, size, shard, degree; linked nodes only) and whether a neighbour shares them.
 
     `links` has both directions (a, b). In the first round nodes that have a smaller neighbour may move, so groups gather at
-    their smallest; in each later round half of the nodes, drawn by hash, so that neighbours do not keep changing places. A shard takes movers, small groups' first, while its bytes stay within
-    `capacity`, of which `taken` is in use by others; sums by shard, class and hash step (bounded) come to the driver and go back as cut-offs. Each round's
+    their smallest; in each later round half of the nodes, drawn by hash, so that neighbours do not keep changing places. A shard takes movers, small groups' first, while its bytes, less those of
+    its leavers, stay within `capacity` (and SLACK), of which `taken` is in use by others; sums by shards, class and hash step (bounded) come to the driver and go back as cut-offs. Each round's
     labels are a written table. Ends early when two rounds in a row moved nothing.
     """
     spark, quiet = labels.sparkSession, 0
@@ -44,17 +74,12 @@ def propagate(
         free = F.pmod(F.xxhash64("id", F.lit(-turn)), F.lit(2)) == 0 if turn else F.col("low") < F.col("id")
         wishes = votes.where((F.col("there") > F.col("here")) & free)
         step = F.floor(F.log2("of")).cast("int") * STEPS + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(STEPS)).cast("int")
-        wishes = staged(wishes.select("id", "to", "size", step.alias("step")), "moves")
+        wishes = staged(wishes.select("id", F.col("shard").alias("from"), "to", "size", step.alias("step")), "moves")
         held = dict.fromkeys(range(n_shards), 0) | (taken or {})
         for r in labels.groupBy("shard").agg(F.sum("size").alias("size")).collect():
             held[r["shard"]] += r["size"]
-        cuts, closed = dict.fromkeys(range(n_shards), -1), set()
-        for r in sorted(wishes.groupBy("to", "step").agg(F.sum("size").alias("size")).collect()):
-            if r["to"] not in closed and held[r["to"]] + r["size"] <= capacity:
-                held[r["to"]] += r["size"]
-                cuts[r["to"]] = r["step"]
-            else:
-                closed.add(r["to"])
+        flows = [tuple(r) for r in wishes.groupBy("from", "to", "step").agg(F.sum("size")).collect()]
+        cuts = admitted(flows, held, capacity * (1 + SLACK))
         quiet = quiet + 1 if max(cuts.values()) < 0 else 0
         if quiet == 2 or (quiet and rounds - turn == 1):
             break
