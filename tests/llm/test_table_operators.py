@@ -52,6 +52,25 @@ def test_large_groups_lie_in_no_more_shards_than_they_need(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 0.2 * share
 
 
+def test_groups_stay_whole_when_every_row_is_linked(spark):
+    texts = [f"text number {i // 2:05d} " + "x" * (i // 2 % 7) for i in range(4000)]
+    data = [(i, t, "en", "a", len(t), *samples.CLASH) for i, t in enumerate(texts)]
+    where, sizes = defaultdict(set), Counter()
+    for r in sharding.shard_documents(samples.frame(spark, data), 16).collect():
+        where[r.text_crc32].add(r.shard)
+        sizes[r.shard] += r["size"]
+    assert sum(len(s) == 1 for s in where.values()) >= 0.9 * len(where)
+    assert max(sizes.values()) - min(sizes.values()) <= 0.01 * sum(sizes.values())
+
+
+def test_leavers_make_room():
+    swaps = [(0, 1, 0, 10), (1, 0, 0, 10)]
+    assert sharding.admitted(swaps, {0: 100, 1: 100}, 100) == {0: 0, 1: 0}
+    assert sharding.admitted([(0, 1, 0, 10), (0, 1, 1, 10), (1, 0, 0, 10)], {0: 100, 1: 100}, 100) == {0: 0, 1: 0}
+    assert sharding.admitted([(0, 1, 0, 10), (2, 0, 3, 10)], {0: 100, 1: 100, 2: 50}, 100) == {0: -1, 1: -1, 2: -1}
+    assert sharding.admitted([], {0: 1}, 5) == {0: -1}
+
+
 def test_propagation_gathers_a_linked_path(spark):
     labels = spark.createDataFrame([(i, 1, i % 2, 2) for i in range(8)], "id bigint, size bigint, shard int, degree bigint")
     links = spark.createDataFrame([x for i in range(7) for x in ((i, i + 1), (i + 1, i))], "a bigint, b bigint")
@@ -62,9 +81,9 @@ def test_propagation_gathers_a_linked_path(spark):
 def brute_topk(rows, every, k):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in good:
+    for row, (q, v) in enumerate(good):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(good) if other != row and len(w) == len(v))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return Counter(out)
 
@@ -77,10 +96,14 @@ def test_topk(spark, monkeypatch, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(60)] + [(100 + i, [0.5, 0.25, -1.0, 0.0, 2.0]) for i in range(30)]
     rows += [(200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [float("nan")] * 5), (204, [float("inf")] * 5), (205, [1.0, 2.0]), (210, [1.0, 3.0]), (None, [1.0] * 5)]
+    rows += [(0, rows[0][1]), (5, rows[7][1]), (5, rows[8][1]), (100, [0.5, 0.25, -1.0, 0.0, 2.0])]  # ids again, queries' too
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x")).withColumn("block", F.lit(1)).repartition(3)
     got = Counter(map(tuple, pivot_topk.top_k(frame, F.col("vec_id") % 5 == 0).collect()))
     assert got == brute_topk(rows, 5, 5)
     assert pivot_topk.top_k(frame.limit(0), F.col("vec_id") % 5 == 0).collect() == []
+    monkeypatch.setattr(pivot_topk, "MOST_LENGTHS", 1)
+    with pytest.raises(ValueError, match="lengths"):
+        pivot_topk.top_k(frame, F.col("vec_id") % 5 == 0)
 
 
 def words(text):
@@ -218,6 +241,35 @@ def test_mixing(spark):
     assert mixing.mix(samples.empty(spark)).collect() == [] and mixing.take(samples.empty(spark)).collect() == []
 
 
+def test_a_tiny_source_leaves_the_others_whole(spark):
+    texts = {i: " ".join(f"{i}x{k}" for k in range(300 + i)) for i in range(40)}
+    data = [(i, t, "en", "a", 0, *samples.CLASH) for i, t in texts.items()] + [(99, "tiny source of ten words that is all there is", "en", "b", 0, *samples.CLASH)]
+    made = defaultdict(list)
+    for r in mixing.take(samples.frame(spark, data)).collect():
+        made[r.doc_id].append(r[1])
+    assert made.pop(99) == [data[-1][1]] * 2
+    taken = 0
+    for i, some in made.items():
+        assert len(some) <= 2 and texts[i] in some
+        for line in (x for text in some for x in text.split("\n")):
+            words = line.split()
+            first, last = int(words[0].split("x")[1]), int(words[-1].split("x")[1])
+            assert words == texts[i].split()[first:last + 1] and (len(words) >= 128 or first == 0 or last == 299 + i)
+            taken += len(words)
+    assert len(made) == 40 and abs(taken - mixing.targets({"a": sum(300 + i for i in range(40)), "b": 10})["a"]) <= 2
+
+
+def test_blocks_come_near_the_rest():
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        words = int(rng.integers(1, 5000))
+        rest = int(rng.integers(0, words))
+        size, more = mixing.block_of(rest, words)
+        assert 1 <= size <= 256 and more * size <= words and (size >= 128 or more <= 1)
+        assert abs(more * size - rest) <= (0 if rest <= 256 else max(2, 0.01 * rest))
+    assert mixing.block_of(1_000_003, 2_000_000)[1] * mixing.block_of(1_000_003, 2_000_000)[0] == pytest.approx(1_000_003, abs=1)
+
+
 def test_copies_take_the_words_of_the_chosen_blocks():
     text = "a b c d e f g h"
     assert mixing.copies(text, 0, 2, 4, 4, 0) == [text]
