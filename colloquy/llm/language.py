@@ -99,43 +99,53 @@ def train(
 
 
 def predict(
-    docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", orders: tuple[int, ...] = ORDERS,
+    docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", orders: tuple[int, ...] = ORDERS, excess: bool = False,
 ) -> DataFrame:
     """`docs` with lang_pred and score: the likeliest language and its posterior probability over the whole text.
 
+    With `excess` also how much less likely, in nats for an n-gram, the text is than that language's own texts are on the
+    average (`excess`; null for `und`) and the number of its n-grams (`n_grams`): the posterior only compares languages.
+
     The matrix is broadcast; its size is languages x buckets. Texts that are null or without a letter, and all texts when
     nothing was learned, get `und` and 0. Equal scores go to the first language in order. Columns named like the new ones are replaced.
     """
     langs, prior, table = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(table.T)))
     buckets = len(table)
+    usual = -(np.exp(table) * table).sum(axis=0)  # a language's entropy: what its own n-grams cost on the average
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, by_lang = sent.value
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t if ok else "" for t, ok in zip(batch.column("__low").to_pylist(), batch.column("__ok").to_pylist())]
-            sums = np.zeros((len(texts), max(1, len(langs))))
+            sums, sizes = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts), np.int64)
             for number, grams in hashed_grams(texts, orders, buckets) if langs else ():
                 if len(number):
+                    if excess:
+                        sizes += np.bincount(number, minlength=len(texts))
                     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
                     for j in range(len(langs)):
                         sums[number[starts], j] += np.add.reduceat(by_lang[j][grams], starts)
             good = np.array([bool(t) and bool(langs) for t in texts], bool)
+            plain = sums
             sums = sums + prior if langs else sums
             best = sums.argmax(axis=1)
             share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1) if len(texts) else np.zeros(0)
             names = [langs[b] if g else UNKNOWN for b, g in zip(best, good)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f"c{i}") for i in range(width)), pa.array(names, pa.string()), pa.array(np.where(good, share, 0.0))],
-                [*(f"c{i}" for i in range(width)), "lang_pred", "score"])
+            columns = [pa.array(names, pa.string()), pa.array(np.where(good, share, 0.0))]
+            if excess:
+                cost = -plain[np.arange(len(texts)), best] / np.maximum(sizes, 1) - (usual[best] if langs else 0)
+                columns += [pa.array(cost, mask=~good), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{i}") for i in range(width)), *columns], [*(f"c{i}" for i in range(width)), *new])
         release()
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    new = ["lang_pred", "score", *(["excess", "n_grams"] if excess else [])]
+    keep = [c for c in docs.columns if c not in new]
     width, plain = len(keep), docs.select(*[c for c in keep]).toDF(*[f"c{i}" for i in range(len(keep))])
     content = F.col(f"c{keep.index(text)}")
     ready = plain.withColumns({"__ok": F.coalesce(content.rlike(r"\p{L}"), F.lit(False)), "__low": F.lower(content)})
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(plain.dtypes)) + ", lang_pred string, score double"
-    return ready.mapInArrow(score, schema).toDF(*keep, "lang_pred", "score")
+    return ready.mapInArrow(score, schema + (", excess double, n_grams bigint" if excess else "")).toDF(*keep, *new)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:

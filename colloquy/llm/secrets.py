@@ -24,6 +24,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOWED = (r"^[A-Za-z/_=-]+$", r"^[0-9/_=-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.{1,2})\1+.?$")
 #: Placeholders clear the letters and digits they stand among, so many on either side, and not what is beyond.
 PLACEHOLDER, REACH = r"(?i)example|sample|placeholder|dummy|xxxxxx|1234567890|abcdefghij", 40
+#: Windows of a long string that are looked at together.
+SLICE = 256
+RUNS = "array<struct<start: int, stop: int>>"
 SPAN = "array<struct<start: bigint, stop: bigint, kind: string, order: int>>"
 MATCH = "array<struct<start: bigint, stop: bigint, match: string>>"
 
@@ -54,18 +57,39 @@ def _bits(n: Column) -> Column:
 def _runs(string: Column, alphabet: str, window: int, least: float) -> Column:
     """Runs of the windows of class characters whose entropy is at least `least`: (start, stop) in the string, in order.
 
-    Windows that overlap or touch are one run. One pass: the counts of the window's characters and the sum of n log2 n change by the character that enters and the one
-    that leaves. A character outside the class empties the window.
+    Windows that overlap or touch are one run. The string is looked at in slices of SLICE windows, so the work grows with
+    its length only; runs that meet at a border become one.
+    """
+    slices = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(string) - window, F.lit(0)) / SLICE).cast("int")), lambda k: F.struct(
+        (k * SLICE).alias("at"), F.substring(string, k * SLICE + 1, F.lit(SLICE + window - 1)).alias("part")))
+    runs = F.flatten(F.transform(slices, lambda s: F.transform(_slice_runs(s["part"], alphabet, window, least), lambda run: F.struct(
+        (s["at"] + run["start"]).alias("start"), (s["at"] + run["stop"]).alias("stop")))))
+
+    def closed(state: Column) -> Column:
+        return F.concat(state["done"], F.array(F.struct(state["start"].alias("start"), state["stop"].alias("stop"))))
+
+    def step(state: Column, run: Column) -> Column:
+        apart = F.coalesce(state["stop"] < run["start"], F.lit(False))
+        return F.struct(
+            F.when(apart, closed(state)).otherwise(state["done"]).alias("done"),
+            F.when(apart | state["start"].isNull(), run["start"]).otherwise(state["start"]).alias("start"), run["stop"].alias("stop"))
+
+    fresh = F.struct(F.array().cast(RUNS).alias("done"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
+    return F.aggregate(runs, fresh, step, lambda s: F.when(s["stop"].isNotNull(), closed(s)).otherwise(s["done"]))
+
+
+def _slice_runs(string: Column, alphabet: str, window: int, least: float) -> Column:
+    """The runs of a short string. One pass: the counts of the window's characters and the sum of n log2 n change by the
+    character that enters and the one that leaves. A character outside the class empties the window.
     """
     letters = F.lit(alphabet)
 
     def closed(state: Column) -> Column:
         return F.concat(state["done"], F.array(F.struct(state["start"].alias("start"), state["stop"].alias("stop"))))
 
-    def step(state: Column, i: Column) -> Column:
-        entering = F.instr(letters, F.substring(string, i, F.lit(1)))
-        full = state["run"] >= window
-        leaving = F.when(full, F.instr(letters, F.substring(string, i - window, F.lit(1)))).otherwise(F.lit(0))
+    def step(state: Column, x: Column) -> Column:
+        i, entering = x["i"], x["enters"]
+        leaving = F.when(state["run"] >= window, x["leaves"]).otherwise(F.lit(0))
         grown = F.element_at(state["counts"], F.greatest(entering, F.lit(1)))
         shrunk = F.element_at(state["counts"], F.greatest(leaving, F.lit(1)))
         change = F.when(entering == leaving, F.lit(0.0)).otherwise(
@@ -87,9 +111,12 @@ def _runs(string: Column, alphabet: str, window: int, least: float) -> Column:
 
     fresh = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"),
-        F.array().cast("array<struct<start: int, stop: int>>").alias("done"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"),
+        F.array().cast(RUNS).alias("done"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(string)), fresh, step, lambda s: F.when(s["stop"].isNotNull(), closed(s)).otherwise(s["done"]))
+    places = F.sequence(F.lit(1), F.length(string))
+    numbers = F.transform(places, lambda i: F.instr(letters, F.substring(string, i, F.lit(1))))
+    steps = F.arrays_zip(places.alias("i"), numbers.alias("enters"), F.slice(F.concat(F.array_repeat(F.lit(0), window), numbers), F.lit(1), F.length(string)).alias("leaves"))
+    return F.aggregate(steps, fresh, step, lambda s: F.when(s["stop"].isNotNull(), closed(s)).otherwise(s["done"]))
 
 
 def _dense(string: Column, alphabet: str, window: int, least: float) -> Column:

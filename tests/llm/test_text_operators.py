@@ -210,6 +210,26 @@ def test_incremental_entropy_equals_windows(spark):
         assert (hull.start, hull.stop) == ((hits[0], hits[-1] + window) if hits else (None, None))
 
 
+def test_runs_of_long_unbroken_strings(spark):
+    rng = np.random.default_rng(5)
+    _, alphabet, window, least = secrets.CLASSES[1]
+    dull = "".join("abcd"[i % 4] for i in range(700))
+    strings = ["".join(rng.choice(list(alphabet), n)) for n in (23, 24, 255, 256, 279, 280, 281, 600, 20_000)]
+    strings += [dull + strings[2][:30] + dull, "".join(rng.choice(list("abcdefghijklmnopqrs"), 3000)), f"{dull[:250]}{strings[4]}{dull}{strings[3]}!{strings[3]}"]
+    frame = spark.createDataFrame([(s,) for s in strings], "s string")
+    for s, runs in ((r.s, r.runs) for r in frame.select("s", secrets._runs(F.col("s"), alphabet, window, least).alias("runs")).collect()):
+        want = []
+        for i in range(len(s) - window + 1):
+            part = s[i:i + window]
+            share = np.array(list(Counter(part).values())) / window
+            if "!" not in part and -(share * np.log2(share)).sum() >= least - 1e-9:
+                if want and i <= want[-1][1]:
+                    want[-1][1] = i + window
+                else:
+                    want.append([i, i + window])
+        assert [[r.start, r.stop] for r in runs] == want, len(s)
+
+
 def test_secrets_next_to_others_in_one_string(spark):
     key, other = "wJ9rXUt3nFEMIzK7MDqENGbPxRfi0CYaQ5h2vL8T", "Zk4Qe8Rw1Ty6Ui3Op9As7Df2Gh5Jl0XcVbNmBqWe"
     texts = {
