@@ -17,8 +17,10 @@ from colloquy.llm.common import documents, prepare, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document is rejected when no language has at least this probability.
+#: A document is rejected when no language has at least this probability among those learned, or when its n-grams are less
+#: likely than that language's usual ones by more than so many nats, with room for short texts (a part by the root of their number).
 LEAST_SCORE = 0.5
+MOST_EXCESS, SHORT_ROOM = 2.5, 8.0
 
 
 def _mark(doc_id: Column, digest: Column) -> Column:
@@ -36,14 +38,21 @@ def _kept(docs: DataFrame, marks: DataFrame, digest: Callable[[Column], Column])
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter, or without a likely language, go."""
+    """Documents in a learned language: those without a letter, or unlike all languages learned, go.
+
+    Where no document has both a text and a language, nothing can be learned, and only documents without a letter go.
+    """
     prepare(spark)
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text, lang = (f"c{names.index(n)}" for n in ("doc_id", "text", "lang"))
     model = language.train(rows.where(~language.held_out(doc_id)), lang, text)
-    found = language.predict(rows, model, text)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").toDF(*names)
+    if not model[0]:
+        return rows.where(F.col(text).rlike(r"\p{L}")).toDF(*names)
+    found = language.predict(rows, model, text, excess=True)
+    known = F.col("excess") <= MOST_EXCESS + SHORT_ROOM / F.sqrt("n_grams")
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & known)
+    return kept.drop("lang_pred", "score", "excess", "n_grams").toDF(*names)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
