@@ -2,7 +2,7 @@
 
 Every vector's distances to the pivots are computed once. For a query q and a candidate x, no pivot p allows a distance
 below |d(q,p) - d(x,p)|; the largest of these bounds gives the highest inner product x can have. Candidates are taken in the
-order of that bound until the next one cannot enter the query's k best.
+order of that bound until the next one cannot enter the query's k best. What the first block of candidates gives bounds the others.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ CANDIDATES, QUERIES = 8_192, 512
 STEP = 256
 MOST_LENGTHS = 1_000
 BLOCK = ("ids", "rows", "matrix", "pivots")
-PACKED = "block bigint, ids binary, rows binary, matrix binary, pivots binary"
+MET = "key int, q_ids binary, q_rows binary, q_matrix binary, q_pivots binary, q_floor binary, found binary"
+PACKED = "part int, block bigint, ids binary, rows binary, matrix binary, pivots binary"
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -68,7 +70,7 @@ def _packed(vectors: DataFrame, rows: int, pivots: np.ndarray) -> DataFrame:
                 own = matrix[at:at + rows]
                 block += 1
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block], pa.int64()), "ids": [every[at:at + rows].tobytes()], "rows": [place[at:at + rows].tobytes()],
+                    "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "block": pa.array([block], pa.int64()), "ids": [every[at:at + rows].tobytes()], "rows": [place[at:at + rows].tobytes()],
                     "matrix": [own.tobytes()], "pivots": [distances(own).tobytes()]})
             ids, places, parts, waiting = [], [], [], 0
 
@@ -86,13 +88,17 @@ def _packed(vectors: DataFrame, rows: int, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(pack, PACKED)
 
 
-def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray]:
-    """(query rows, query ids, candidate ids, scores) of each query's k best in one block of candidates."""
+def _block_topk(query: dict, other: dict, width: int, k: int) -> tuple[list[np.ndarray], int]:
+    """(query rows, query ids, candidate ids, scores) of each query's k best in one block of candidates, and how many were scored.
+
+    Where the query block brings floors (scores that k candidates elsewhere reach), candidates whose bound is below are left out.
+    """
     q_ids, ids, q_rows, rows = (np.frombuffer(b[name], np.int64) for name in ("ids", "rows") for b in (query, other))
     q, x = (np.frombuffer(b["matrix"]).reshape(-1, width) for b in (query, other))
     q_far, x_far = (np.frombuffer(b["pivots"]).reshape(len(m), -1) for b, m in ((query, q), (other, x)))
     q_norm, x_norm = (q ** 2).sum(axis=1), (x ** 2).sum(axis=1)
-    found = []
+    floors = np.frombuffer(query["floor"]) if query.get("floor") else np.full(len(q), -np.inf)
+    found, scored = [], 0
     by_id = np.argsort(ids, kind="stable")
     x, x_far, x_norm, ids, rows = x[by_id], np.ascontiguousarray(x_far[by_id].T), x_norm[by_id], ids[by_id], rows[by_id]
     for row in range(len(q)):
@@ -102,16 +108,15 @@ def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray
         apart = np.maximum(apart - 1e-6 * (1 + apart), 0)  # distances are rounded; bounds stay on the safe side
         bound = np.floor((q_norm[row] + x_norm - apart ** 2) / 2 + 1e-6)
         start, best = 0, (np.zeros(0, np.int64), np.zeros(0))
-        top = np.argpartition(-bound, min(4 * STEP, len(bound) - 1))[:4 * STEP] if len(bound) > 4 * STEP else np.arange(len(bound))
-        top = top[np.argsort(-bound[top], kind="stable")]
-        complete = len(top) == len(bound)
+        left = np.flatnonzero(bound >= floors[row])
+        first = np.argpartition(-bound[left], 4 * STEP)[:4 * STEP] if len(left) > 4 * STEP else np.arange(len(left))
+        top = left[first[np.argsort(-bound[left[first]], kind="stable")]]
+        complete = len(top) == len(left)
         while True:
             if start >= len(top):
                 if complete:
                     break
-                rest = np.ones(len(bound), bool)
-                rest[top] = False
-                rest = np.flatnonzero(rest)
+                rest = np.delete(left, first)
                 top, start, complete = rest[np.argsort(-bound[rest], kind="stable")], 0, True
                 continue
             if len(best[0]) == k and bound[top[start]] < best[1][-1]:
@@ -119,11 +124,23 @@ def _block_topk(query: dict, other: dict, width: int, k: int) -> list[np.ndarray
             some = top[start:start + STEP]
             start += STEP
             some = some[rows[some] != q_rows[row]]
+            scored += len(some)
             every, scores = np.r_[best[0], ids[some]], np.r_[best[1], x[some] @ q[row]]
             keep = np.lexsort((every, -scores))[:k]
             best = every[keep], scores[keep]
         found.append((np.full(len(best[0]), q_rows[row]), np.full(len(best[0]), q_ids[row]), *best))
-    return [np.concatenate(c) for c in zip(*found)]
+    return [np.concatenate(c) for c in zip(*found)], scored
+
+
+def _floors(rows: bytes, found: list[np.ndarray], k: int) -> bytes:
+    """The k-th score found for each row of a query block, minus infinity where fewer were found."""
+    floors, rows = np.full(len(rows) // 8, -np.inf), np.frombuffer(rows, np.int64)
+    order = np.argsort(rows, kind="stable")
+    place = order[np.searchsorted(rows[order], found[0])]
+    full = np.bincount(place, minlength=len(floors)) == k
+    least = np.full(len(floors), np.inf)
+    np.minimum.at(least, place, found[3])
+    return np.where(full, least, floors).tobytes()
 
 
 def top_k(
@@ -138,7 +155,8 @@ def top_k(
     no rows. Scores are exact below 2^53.
 
     Blocks of queries meet blocks of candidates (queries x rows / (512 x 8192) pairs of blocks, each block one row); a
-    pair leaves k rows for each query.
+    pair leaves k rows for each query. Each query block meets one block of candidates first; the k-th scores found there
+    are floors, written with the block, for the bounds of all others.
     """
     spark = vectors.sparkSession
     usable = pick(vectors, vec_id=vec_id, embedding=embedding).select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("vector"))
@@ -157,19 +175,34 @@ def top_k(
         dealt = own.withColumn("group", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(groups)))
         candidates = staged(_packed(dealt.repartition(groups, "group").select("vec_id", "row", "vector"), CANDIDATES, pivots), "candidates")
         queries = staged(_packed(own.where(is_query).select("vec_id", "row", "vector"), QUERIES, pivots), "queries")
-        keyed = candidates.withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-        every = queries.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("key", *[F.col(c).alias(f"q_{c}") for c in BLOCK])
+        order = Window.orderBy("part", "block")
+        numbers = staged(candidates.select("part", "block", (F.row_number().over(order) - 1).alias("key")), "numbers")
+        blocks = numbers.count()
+        # Their number is fixed, so that few blocks share a task and none are put together later.
+        keyed = candidates.join(numbers, ["part", "block"]).repartition(4 * blocks, "key").select("key", *BLOCK)
 
-        def search(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+        def meet(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     query, other = ({c: row[p + c] for c in BLOCK} for p in ("q_", ""))
-                    place, q, x, score = _block_topk(query, other, width, k)
-                    columns = [pa.array(c, pa.int64()) for c in (place, q, x, score.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["query_row", "query_id", "vec_id", "score"])
+                    query["floor"] = row["q_floor"]
+                    columns, _ = _block_topk(query, other, width, k)
+                    yield pa.RecordBatch.from_pydict({"key": pa.array([row["key"]], pa.int32()), **{
+                        f"q_{c}": pa.array([query[c]], pa.binary()) for c in BLOCK}, "q_floor": [_floors(query["rows"], columns, k)],
+                        "found": [np.stack([c.astype(np.int64) for c in columns]).tobytes()]})
 
-        pairs = keyed.join(every, "key").select(*BLOCK, *[f"q_{c}" for c in BLOCK])
-        parts.append(pairs.mapInArrow(search, schema))
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for found in batch.column("found").to_pylist():
+                    columns = np.frombuffer(found, np.int64).reshape(4, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_row", "query_id", "vec_id", "score"])
+
+        asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in BLOCK])
+        start = asked.withColumn("key", F.pmod(F.xxhash64("q_ids"), F.lit(blocks)).cast("int")).withColumn("q_floor", F.lit(None).cast("binary"))
+        met = staged(keyed.join(start.repartition(4 * blocks, "key"), "key").mapInArrow(meet, MET), "met")
+        others = F.array_except(F.sequence(F.lit(0), F.lit(blocks - 1)), F.array("key"))
+        rest = met.withColumn("key", F.explode(others)).drop("found").repartition(4 * blocks, "key")
+        parts += [part.select("found").mapInArrow(unpack, schema) for part in (met, keyed.join(rest, "key").mapInArrow(meet, MET))]
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for part in parts[1:]:
         found = found.union(part)
