@@ -1,7 +1,7 @@
 """Token ids in Arrow files: batches of fixed-size lists, so that a memory map gives any sequence and its mask without a copy.
 
 One pair of files for each range of document ids. `*.ids.arrow` has rows (ids: list of L, mask: list of L), the range's
-documents end to end, the last row padded (mask false). `*.docs.arrow` has (doc_id, start, n_tokens), start counted from
+documents end to end, the last row padded (mask 0). `*.docs.arrow` has (doc_id, start, n_tokens), start counted from
 the file's first id. Files are named by task attempt and count only once the manifest names them, so a task that is lost
 and run again leaves at most an unread file.
 """
@@ -39,7 +39,7 @@ class SequenceWriter:
     def __init__(self, filesystem, path: str, length: int, width: str) -> None:
         self.length, self.width = length, np.dtype(width)
         kind = pa.from_numpy_dtype(self.width)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = filesystem.open_output_stream(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.parts, self.waiting, self.total = [], 0, 0
@@ -59,7 +59,7 @@ class SequenceWriter:
             part = flat[at:min(take, at + self.length * ROWS_PER_BATCH)]
             real = len(part)
             padded = np.pad(part, (0, -real % self.length))
-            mask = np.arange(len(padded)) < real
+            mask = (np.arange(len(padded)) < real).view(np.uint8)  # a byte each, so that a map is a mask
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
             self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -158,10 +158,10 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def sequence(folder: str, file: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence of a file; on a memory-mapped file the ids are a view, not a copy."""
+    """Ids and mask of one sequence of a file; on a memory-mapped file both are views, not copies."""
     filesystem, plain = opened(folder)
     path = f"{plain}/{file}.ids.arrow"
     reader = pa.ipc.open_file(pa.memory_map(path) if isinstance(filesystem, fs.LocalFileSystem) else filesystem.open_input_file(path))
     batch = reader.get_batch(row // ROWS_PER_BATCH)
     ids, mask = (batch.column(c)[row % ROWS_PER_BATCH].values for c in ("ids", "mask"))
-    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+    return ids.to_numpy(), mask.to_numpy().view(np.bool_)

@@ -69,7 +69,7 @@ def test_token_files(spark, tmp_path):
     for m in sorted(manifest.collect()):
         for row in range(-(-m.n_tokens // 64)):
             ids, mask = token_files.sequence(str(tmp_path), m.file, row)
-            assert len(ids) == len(mask) == 64 and not ids.flags.owndata
+            assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not mask.flags.owndata
             seen += ids[mask].tolist()
     assert len(seen) == sum(len(x) for _, x in want)
     assert Counter(seen) == Counter(t for _, x in want for t in x)
