@@ -140,10 +140,13 @@ def near_duplicates(
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = staged(_verified(stars, contents, threshold), "links")
     joined = components(links)
+    # Both are tables of their own, so that the join may split a bucket that very many members share.
     placed = members.where("n > 2").join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = staged(placed, "placed")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     mixed = placed.join(contents.select("node", "size"), "node").groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("of")).where("low <> high").select("bucket", "of")
+    mixed = staged(mixed, "mixed")
     more = staged(_across(placed.join(mixed, "bucket"), contents, threshold), "links")
     if not more.isEmpty():
         joined = components(links.union(more))
