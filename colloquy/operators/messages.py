@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,9 +123,10 @@ def dedupe_messages(messages: DataFrame) -> DataFrame:
 def reply_depths(nodes: DataFrame) -> DataFrame:
     """Depth of every reply below its root; nodes(conversation_id, message_id, parent_id).
 
-    Roots have no parent or one outside the conversation. Each round doubles the distance every
-    row has looked upward, so a chain of n replies takes log2(n) joins. Rows that never meet a
-    root (reply cycles) are left out, as a walk down from the roots would leave them out.
+    Roots have no parent or one outside the conversation. Each round doubles the distance the rows
+    without a depth have looked upward, so a chain of n replies takes log2(n) joins, each of the rows
+    that have not met a root yet. A round in which none does leaves reply cycles only; these are left
+    out, as a walk down from the roots would leave them out.
     """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
@@ -143,20 +142,23 @@ def reply_depths(nodes: DataFrame) -> DataFrame:
         .withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1))
         .checkpoint()
     )
-    largest = ids.groupBy("conversation_id").count().agg(F.max("count")).first()[0] or 1
-    for _ in range(math.ceil(math.log2(largest)) + 1 if largest > 1 else 0):
-        above = state.select(
+    done, active = state.where("up IS NULL"), state.where("up IS NOT NULL")
+    before, left = -1, active.count()
+    while left not in (0, before):
+        above = done.union(active).select(
             "conversation_id",
             F.col("message_id").alias("up"),
             F.col("up").alias("up2"),
             F.col("depth").alias("depth2"),
         )
-        state = (
-            state.join(above, ["conversation_id", "up"], "left")
-            .select(*key, F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        step = (
+            active.join(above, ["conversation_id", "up"])
+            .select(*key, F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"))
             .checkpoint()
         )
-    return state.where("up IS NULL").select(*key, F.col("depth").cast("int"))
+        done, active = done.union(step.where("up IS NULL")), step.where("up IS NOT NULL")
+        before, left = left, active.count()
+    return done.select(*key, F.col("depth").cast("int"))
 
 
 def reply_tree(messages: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ numbering and filling go through blocks whose totals are combined in a second, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +60,21 @@ def number_rows(
     return out.drop("_local", "_offset", *[f"_k_{k}" for k in keys])
 
 
-def running_total(df: DataFrame, group: list[str], block: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Sum of `value` over the rows before each one in its group, block by block as in number_rows."""
+def running_total(
+    df: DataFrame, group: list[str], block: list[str], order: list[str], value: Column, name: str,
+    of_group: dict[str, tuple[Column, Callable[[str], Column]]] | None = None,
+) -> DataFrame:
+    """Sum of `value` over the rows before each one in its group, block by block as in number_rows.
+
+    `of_group` adds columns on whole groups, each by its aggregate of a block's rows and the function that merges blocks.
+    """
+    more = of_group or {}
     keys = [*group, *block]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*keys).agg(F.sum(value).alias("_sum")).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
+    offsets = df.groupBy(*keys).agg(F.sum(value).alias("_sum"), *[c.alias(n) for n, (c, _) in more.items()]).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        *[merge(n).over(Window.partitionBy(*group)).alias(n) for n, (_, merge) in more.items()],
     )
     on = None
     for k in keys:

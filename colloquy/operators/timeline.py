@@ -306,13 +306,13 @@ def transcripts(
     line = F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), content if per_message is None else F.left(content, F.lit(per_message)))
     rows = rows.withColumn("_line", F.concat(line, F.lit("\n\n"))).withColumn("_block", F.floor(F.col("msg_index") / 1024))
     keys = ["conversation_id"]
-    rows = running_total(rows, keys, ["_block"], ["msg_index", "message_id"], F.length("_line"), "_start")
-    per = rows.groupBy("conversation_id").agg(
-        F.min(F.struct("msg_index", "message_id", "source", "conversation_title")).alias("_first"),
-        F.count(F.lit(1)).alias("msg_count"), (F.sum(F.length("_line")) - 2).alias("_chars"),
-    ).where(F.col("_chars") >= minimum)
+    rows = running_total(rows, keys, ["_block"], ["msg_index", "message_id"], F.length("_line"), "_start", {
+        "_first": (F.min(F.struct("msg_index", "message_id", "source", "conversation_title")), F.min),
+        "msg_count": (F.count(F.lit(1)), F.sum), "_all": (F.sum(F.length("_line")), F.sum),
+    })
+    rows = rows.withColumn("_chars", F.col("_all") - 2).where(F.col("conversation_id").isNotNull() & (F.col("_chars") >= minimum))
     end = F.col("_chars") if cap is None else F.least("_chars", F.lit(cap))
-    shown = rows.join(per, "conversation_id").where(F.col("_start") < end).select(
+    shown = rows.where(F.col("_start") < end).select(
         "conversation_id", "_first", "msg_count", F.floor(F.col("_start") / part_chars).alias("part"), "_start",
         F.left("_line", (end - F.col("_start")).cast("int")).alias("_line"),
     )
