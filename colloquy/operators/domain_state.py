@@ -133,26 +133,39 @@ def _newest_rows(s: DataFrame, n: int, fields: list[str]) -> DataFrame:
 
 
 def _totals(s: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Exact counts per domain over all its summaries: conversations, important ones, and distinct entries of each list."""
-    rows = s.where(NAMED)
-    out = rows.groupBy("domain_primary").agg(
-        F.count(F.lit(1)).alias("conversations"),
-        F.count_if(is_breakthrough()).alias("breakthroughs"),
-        F.count_if(F.col("importance") == "significant").alias("significant"),
+    """Exact counts per domain over all its summaries: conversations, important ones, `stage:count`, distinct entries of each list.
+
+    The summaries are read once: a row becomes its entries, named by their field, and equal ones are counted before the shuffle.
+    """
+    def entry(field: str, item: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), item.alias("item"))
+
+    def flag(field: str, holds: Column) -> Column:
+        return F.when(holds, F.array(entry(field, F.lit("")))).otherwise(F.array().cast("array<struct<field:string,item:string>>"))
+
+    def listed(field: str, mode: str) -> Column:
+        return F.transform(real_items(F.col(field), mode), lambda item: entry(f"n_{field}", item))
+
+    entries = F.concat(
+        F.array(entry("stage", F.coalesce("thinking_stage", F.lit("")))), flag("breakthroughs", is_breakthrough()),
+        flag("significant", F.col("importance") == "significant"), *[listed(f, mode) for f, mode in fields.items()],
+    )
+    counted = (
+        s.where(NAMED).select("domain_primary", F.inline(entries)).groupBy("domain_primary", "field", "item")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    for field, mode in fields.items():
-        n = items(rows, field, mode).groupBy("domain_primary").agg(F.count(F.lit(1)).alias(f"n_{field}"))
-        out = out.join(n, "domain_primary", "left")
-    return out.na.fill(0, [f"n_{field}" for field in fields])
-
-
-def _stage_counts(s: DataFrame) -> DataFrame:
-    """`stage:count` per domain over all its summaries."""
-    stage = F.coalesce("thinking_stage", F.lit("")).alias("stage")
-    counted = s.where(NAMED).groupBy("domain_primary", stage).agg(F.count(F.lit(1)).alias("n"))
-    listed = F.sort_array(F.collect_list(F.struct("stage", "n")))
-    return counted.groupBy("domain_primary").agg(listed.alias("_s")).select(
-        "domain_primary", F.transform("_s", lambda x: F.concat_ws(":", x["stage"], x["n"].cast("string"))).alias("stage_counts")
+
+    def of(field: str) -> Column:
+        return F.col("field") == field
+
+    def total(field: str) -> Column:
+        return F.coalesce(F.sum(F.when(of(field), F.col("n"))), F.lit(0))
+
+    stages = F.sort_array(F.collect_list(F.when(of("stage"), F.struct("item", "n"))))
+    return counted.groupBy("domain_primary").agg(
+        total("stage").alias("conversations"), total("breakthroughs").alias("breakthroughs"), total("significant").alias("significant"),
+        F.transform(stages, lambda x: F.concat_ws(":", x["item"], x["n"].cast("string"))).alias("stage_counts"),
+        *[F.count_if(of(f"n_{f}")).alias(f"n_{f}") for f in fields],
     )
 
 
@@ -177,7 +190,7 @@ def domain_state(s: DataFrame, n: int = 10) -> DataFrame:
         "rows", lambda r: F.concat_ws(" ", F.left(F.coalesce(r.getField("title"), F.lit("Untitled")), F.lit(50)),
                                       cite(r.getField("conversation_id"), r.getField("summarized_at"))))
     totals = _totals(s, {"open_questions": "equals", "decisions": "any", "concepts": "any"})
-    return merged.join(totals, "domain_primary").join(_stage_counts(s), "domain_primary").select(
+    return merged.join(totals, "domain_primary").select(
         "domain_primary",
         "conversations",
         unknown("thinking_stage").alias("stage"),
