@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -412,6 +413,19 @@ def export_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convs.select(F.concat(F.lit("file:///e/export-"), "name", F.lit(".json")).alias("path"), F.to_json(doc).alias("value"))
 
 
+def export_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations, all of a partition as the lines of one JSON array."""
+    def lines(frames):
+        mark = "["
+        for frame in frames:
+            for value in frame["value"]:
+                yield pd.DataFrame({"value": [mark + value.strip()[1:-1]]})
+                mark = ","
+        yield pd.DataFrame({"value": [mark + "]" if mark == "[" else "]"]})
+
+    return export_docs(spark, sf_dir).select("value").mapInPandas(lines, "value string")
+
+
 def gemini_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     moment = _minutes(c * 2880 + t * 5)

@@ -863,6 +863,7 @@ def _export(source: str, prefix: str, order: str) -> str:
 
 
 _sql("ingest_export", "g", _export("chatgpt", "chatgpt_", "e_at, t"))
+_sql("ingest_export_arrays", "g", _export("chatgpt", "chatgpt_", "e_at, t"))
 _sql("ingest_export_tree", "g", _export("chatgpt-export", "chatgpt_export_", "e_at, depth, t"))
 _gtitle = "(SELECT rtrim(left(x.text, 80)) || CASE WHEN length(x.text) > 80 THEN '...' ELSE '' END FROM g x WHERE x.nm = y.nm AND x.role = 'user' ORDER BY x.t LIMIT 1)"
 _gemini = _ingested("gemini-cli", "CAST(NULL AS VARCHAR)", "'gemini-' || left('hash' || nm, 12)", "'gemini_cli_s' || nm", f"coalesce({_gtitle}, 'Gemini CLI ' || left('s' || nm, 8))",

@@ -23,6 +23,7 @@ from colloquy.sources import documents as doc_sources
 from colloquy.sources import jsonl
 from colloquy.sources import summaries as summary_source
 from colloquy.sources import registry
+from colloquy.sources.arrays import read_array_elements
 from colloquy.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +331,16 @@ _add("ingest_sessions", lambda spark, d: jsonl.parse_sessions(derive.session_lin
 _add("ingest_forward_fill", lambda spark, d: jsonl.parse_agent_sessions(derive.agent_lines(spark, d), as_of=AS_OF).select(INGESTED))
 _add("ingest_transcript", lambda spark, d: jsonl.parse_transcripts(derive.transcript_lines(spark, d), as_of=AS_OF).select(INGESTED))
 _add("ingest_export", lambda spark, d: doc_sources.parse_export(derive.export_docs(spark, d), as_of=AS_OF).select(INGESTED))
+
+
+def _ingest_export_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The export's conversations as files of one large array each, read element by element."""
+    folder = shared_folder(spark, "arrays")
+    derive.export_arrays(spark, d).write.text(folder)
+    return doc_sources.parse_export(read_array_elements(spark, folder, "*.txt"), as_of=AS_OF).select(INGESTED)
+
+
+_add("ingest_export_arrays", _ingest_export_arrays)
 _add("ingest_export_tree", lambda spark, d: doc_sources.parse_export(
     derive.export_docs(spark, d), "chatgpt-export", tree_order=True, as_of=AS_OF).select(INGESTED))
 _add("ingest_gemini", lambda spark, d: doc_sources.parse_gemini(derive.gemini_docs(spark, d), as_of=AS_OF).select(INGESTED))

@@ -31,10 +31,13 @@ def _numbered(rows: DataFrame, group: list[str], order: list[str], as_of: Column
 
 
 def export_nodes(docs: DataFrame) -> DataFrame:
-    """One row per node of every conversation in export files: place, conversation fields and the node."""
-    conv = docs.select("path", F.posexplode(F.from_json("value", EXPORT)).alias("conv_pos", "c")).where(
-        "c.mapping IS NOT NULL"
-    )
+    """One row per node of every conversation in export files: place, conversation fields and the node.
+
+    `docs` are whole files (path, value), or their elements as `read_array_elements` gives them.
+    """
+    single = "element" in docs.columns
+    conv = docs.select("path", *(["element"] if single else []), F.posexplode(F.from_json("value", EXPORT)).alias("conv_pos", "c"))
+    conv = conv.withColumn("conv_pos", F.col("element") if single else F.col("conv_pos")).where("c.mapping IS NOT NULL")
     made_up = F.concat_ws("_", F.floor(F.coalesce("c.create_time", F.lit(0.0))), F.left(F.md5(F.coalesce("c.title", F.lit(""))), F.lit(8)))
     named = F.coalesce(F.when(F.col("c.id") != "", F.col("c.id")), F.when(F.col("c.conversation_id") != "", F.col("c.conversation_id")), made_up)
     return conv.select(

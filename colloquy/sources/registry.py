@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schema
 from colloquy.sources import documents, incremental, jsonl
+from colloquy.sources.arrays import read_array_elements
 from colloquy.sources.lines import read_documents, read_lines
 from colloquy.sources.tables import read_optional
 
@@ -97,10 +98,10 @@ LINE_FORMATS = {
 for _name, _parse in LINE_FORMATS.items():
     register_source(_name, lambda spark, path, _parse=_parse: _parse(read_lines(spark, path)))
 
-register_source("chatgpt", lambda spark, path: documents.parse_export(read_documents(spark, path)))
+register_source("chatgpt", lambda spark, path: documents.parse_export(read_array_elements(spark, path)))
 register_source(
     "chatgpt-export",
-    lambda spark, path: documents.parse_export(read_documents(spark, path), source="chatgpt-export", tree_order=True),
+    lambda spark, path: documents.parse_export(read_array_elements(spark, path), source="chatgpt-export", tree_order=True),
 )
 register_source("cursor-kv", lambda spark, path: documents.parse_kv_chats(spark.read.schema("key string, value string").json(path)))
 register_source("gemini-cli", lambda spark, path: documents.parse_gemini(read_documents(spark, path)))
