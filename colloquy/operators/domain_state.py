@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy import schema
 from colloquy.functions.jsonlist import real_item, real_items
 from colloquy.functions.text import cite, percent, preview
-from colloquy.operators.ranking import top_per
+from colloquy.operators.ranking import in_slices, top_per
 
 NAMED = "domain_primary <> ''"
 
@@ -324,21 +324,20 @@ def domain_history(s: DataFrame, concepts: int = 10) -> DataFrame:
 def domain_switches(s: DataFrame) -> DataFrame:
     """Distinct (current, target) pairs of domains that follow one another in a source's summaries.
 
-    The previous summary is looked up inside hourly blocks; the last domain of each block is
-    carried into the next, so no source has to be sorted in one task.
+    The previous summary is looked up inside even ranges of the table; the last domain of each is carried into the source's
+    next, so no source, day or second has to fit into one task. Runs a job when called.
     """
     named = s.where(NAMED).select("source", "summarized_at", "conversation_id", "domain_primary")
-    named = named.withColumn("_block", F.date_trunc("hour", "summarized_at"))
-    order = ["summarized_at", "conversation_id"]
-    inside = Window.partitionBy("source", "_block").orderBy(*order)
-    ends = named.groupBy("source", "_block").agg(latest_by("domain_primary").alias("_end"))
+    named = in_slices(named, ["source", "summarized_at", "conversation_id"])
+    inside = Window.partitionBy("source", "_slice").orderBy("_row")
+    ends = named.groupBy("source", "_slice").agg(F.max_by("domain_primary", "_row").alias("_end"))
     before = ends.select(
-        F.col("source").alias("_s"), F.col("_block").alias("_b"),
-        F.lag("_end").over(Window.partitionBy("source").orderBy("_block")).alias("_carried"),
+        F.col("source").alias("_s"), F.col("_slice").alias("_b"),
+        F.lag("_end").over(Window.partitionBy("source").orderBy("_slice")).alias("_carried"),
     )
     return (
         named.withColumn("_prev", F.lag("domain_primary").over(inside))
-        .join(before, (F.col("source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+        .join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_b")))
         .select(F.coalesce("_prev", "_carried").alias("current"), F.col("domain_primary").alias("target"))
         .where("current IS NOT NULL AND current <> target")
         .distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schema
 from colloquy.functions import noise, text
-from colloquy.operators.ranking import number_rows
+from colloquy.operators.ranking import number_in_order, number_rows
 from colloquy.session import ensure_checkpoint_dir
 
 
@@ -70,16 +70,14 @@ def finalize(
 ) -> DataFrame:
     """Renumber every conversation from 0 and set its count, first and last flags.
 
-    Default order is (created, message_id) in blocks of one hour; readers of line files pass the
-    file split as block, so that no conversation has to fit into one task.
+    Default order is (created, message_id), in even ranges of the whole table, which runs a job when called. Readers of line
+    files pass the file split as block. Neither way has a conversation to fit into one task.
     """
-    df = messages
+    df = messages.drop("msg_index", "conversation_msg_count", "is_first", "is_last")
     if order is None:
-        order = ["created", "message_id"]
-        df = df.withColumn("_hour", F.date_trunc("hour", "created"))
-        block = ["_hour"]
-    df = df.drop("msg_index", "conversation_msg_count", "is_first", "is_last")
-    df = number_rows(df, ["conversation_id"], block, order, "msg_index", "conversation_msg_count")
+        df = number_in_order(df, ["conversation_id"], ["created", "message_id"], "msg_index", "conversation_msg_count")
+    else:
+        df = number_rows(df, ["conversation_id"], block, order, "msg_index", "conversation_msg_count")
     df = df.withColumn("is_first", (F.col("msg_index") == 0).cast("int"))
     df = df.withColumn("is_last", (F.col("msg_index") == F.col("conversation_msg_count") - 1).cast("int"))
     return schema.conform(df, schema.MESSAGES)

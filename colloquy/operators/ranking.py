@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import shared_folder
+
 
 def top_per(
     df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None
@@ -60,6 +62,42 @@ def number_rows(
     return out.drop("_local", "_offset", *[f"_k_{k}" for k in keys])
 
 
+def in_slices(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` in even ranges along `order`, with `_slice`, which grows along it, and `_row`, the place in the slice from 0.
+
+    Ranges are cut from a sample of the rows, so a hot key is spread over as many as its share of the rows, also where all its
+    rows fall into one second; only rows equal in all of `order` stay together. Runs a job when called: the ranges are written
+    to the shared folder once and read from there, so that everything made of them sees the same cuts.
+    """
+    path = shared_folder(df.sparkSession, "slices")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    # The id is the partition's number above 33 bits of the row's place in it.
+    return rows.select(
+        *df.columns, F.shiftright("_place", 33).alias("_slice"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+    )
+
+
+def number_in_order(df: DataFrame, group: list[str], order: list[str], name: str, total: str) -> DataFrame:
+    """Number each group's rows from 0 along `order` and count them, whatever part of the table or the time a group holds.
+
+    Rows are sorted in even ranges (`in_slices`); one small row per group and range gives what lies before it.
+    """
+    rows = in_slices(df, [*group, *order])
+    per_group = Window.partitionBy(*group)
+    before = per_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*group, "_slice").agg(F.min("_row").alias("_at"), F.count(F.lit(1)).alias("_size")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in group], F.col("_slice").alias("_s"),
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_at")).alias("_shift"),
+        F.sum("_size").over(per_group).cast("int").alias(total),
+    )
+    on = F.col("_slice") == F.col("_s")
+    for k in group:
+        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(parts, on).select(*df.columns, (F.col("_row") + F.col("_shift")).cast("int").alias(name), total)
+
+
 def running_total(
     df: DataFrame, group: list[str], block: list[str], order: list[str], value: Column, name: str,
     of_group: dict[str, tuple[Column, Callable[[str], Column]]] | None = None,

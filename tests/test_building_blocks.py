@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import fulltext, matching, vector
 from colloquy.operators.messages import reply_depths
-from colloquy.operators.ranking import exact_percentile, fill_forward, number_rows, top_per
+from colloquy.operators.domain_state import domain_switches
+from colloquy.operators.ranking import exact_percentile, fill_forward, in_slices, number_in_order, number_rows, top_per
 
 rng = random.Random(7)
 
@@ -25,6 +26,39 @@ def test_number_rows_with_a_hot_group(spark):
         (g, p): (i, len(ps)) for g, ps in want.items() for i, p in enumerate(ps)}
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges as cut: adaptive execution would join those of a small table."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_numbering_where_one_second_of_one_group_holds_most_rows(spark, small_ranges):
+    rows = [("hot", 5, f"{i:06}") if i % 3 else (None if i % 9 == 0 else f"g{i % 7}", i % 11, f"{i:06}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "g string, t int, id string").repartition(7)
+    sizes = [r["count"] for r in in_slices(df, ["g", "t", "id"]).groupBy("_slice").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2.5 * len(rows) / 8
+    out = number_in_order(df, ["g"], ["t", "id"], "n", "total").collect()
+    want = {}
+    for g, t, i in sorted(rows, key=lambda r: r[1:]):
+        want.setdefault(g, []).append((t, i))
+    assert sorted((str(r.g), r.t, r.id, r.n, r.total) for r in out) == sorted(
+        (str(g), t, i, k, len(of)) for g, of in want.items() for k, (t, i) in enumerate(of))
+    assert number_in_order(df.limit(0), ["g"], ["t", "id"], "n", "total").collect() == []
+
+
+def test_switches_of_a_source_with_one_hot_second(spark, small_ranges):
+    moves = [("hot" if i % 4 else "other", f"{1 if i % 4 else i:05}", f"c{i:05}", f"d{rng.randrange(40)}" if i % 50 else "") for i in range(4_000)]
+    df = spark.createDataFrame(moves, "source string, summarized_at string, conversation_id string, domain_primary string").repartition(6)
+    want, last = set(), {}
+    for source, _, _, domain in sorted(m for m in moves if m[3]):
+        if last.get(source, domain) != domain:
+            want.add((last[source], domain))
+        last[source] = domain
+    assert sorted(map(tuple, domain_switches(df).collect())) == sorted(want)
+
+
 def test_fill_forward(spark):
     rows, last, want = [], {}, {}
     for i in range(600):
