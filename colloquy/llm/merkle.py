@@ -24,7 +24,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels that are built in one task.
 LEVELS = 12
 #: Levels climbed in one step of the query, a divisor of LEVELS.
-HOP = 4
+HOP = 12
 EVERY = 7
 ROWS_PER_RANGE = 100_000
 #: `path`: for each level climbed L or R (the side of the node that climbs) and the sibling's digest; N for a node alone.

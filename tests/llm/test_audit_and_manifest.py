@@ -171,3 +171,10 @@ def test_manifest_sql(spark):
     con.register("documents", pa.table({n: pa.array([r[k] for r in rows], pa.int64() if k in (0, 3) else pa.string()) for k, n in enumerate(names)}))
     cur = con.execute(oracle.oracle_sql()["op13_merkle"])
     assert rows_of([c[0] for c in cur.description], cur.fetchall()) == rows_of(MANIFEST, list(brute_manifest(rows).elements()))
+
+
+def test_a_full_block_is_climbed_in_one_hop(spark):
+    """Rows of nodes between a block's leaves and its top would each cost a step of the recursion, with its shuffles."""
+    rows = [(0, i, bytes([i % 256]) * 32, 5000) for i in range(5000)]
+    built = merkle._climbed(spark.createDataFrame(rows, "tree bigint, place bigint, digest binary, n bigint"), 0)
+    assert sorted(r["count"] for r in built.groupBy("block").count().collect()) == [905, 4097]
