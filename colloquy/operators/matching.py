@@ -3,7 +3,8 @@
 Three ways give exactly the rows a substring test gives, for the same terms (blank ones are left out):
 
 - a short list becomes one expression evaluated while the table is scanned: no join, no shuffle;
-- a list or table of terms that is small, which is checked, goes to the tasks, and each text through an automaton of them;
+- a list or table of terms that is small, which is checked, goes to the tasks: a few dozen as an array that is filtered for
+  each text, without Python; more as an automaton that each text goes through;
 - a larger table stays distributed: every term is filed under its anchor, the four characters of it that are rarest in
   texts, texts under those of their characters that may be anchors, and the candidates of the join are tested.
 """
@@ -20,7 +21,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import listed_rows
+
 INLINE_TERMS = 32
+#: Terms that Spark's own substring test looks for one by one, at most; more go to Python workers as an automaton.
+LISTED_TERMS = 64
 #: Characters of terms sent to the tasks, at most.
 SLICE_CHARS = 8_000_000
 #: Characters of an anchor; shorter terms are their own.
@@ -62,7 +67,7 @@ def match_terms(
         terms = [t for t in dict.fromkeys(terms) if t]
         if len(terms) <= INLINE_TERMS or wildcards:
             return _match_inline(df, columns, terms, term_col, wildcards)
-        terms = df.sparkSession.createDataFrame([(t,) for t in terms], f"{term_col} string")
+        terms = listed_rows(df.sparkSession, [(t,) for t in terms], f"{term_col} string")
     if wildcards:
         raise ValueError("wildcard terms must be given as a list")
     needles = (
@@ -76,7 +81,8 @@ def match_terms(
         return df.withColumn(term_col, F.lit("")).limit(0)
     if chars > SLICE_CHARS:
         return _match_by_anchors(df, columns, needles, term_col)
-    return _match_by_automaton(df, columns, [tuple(r) for r in needles.collect()], term_col)
+    listed = [tuple(r) for r in needles.collect()]
+    return (_match_listed if len(listed) <= LISTED_TERMS else _match_by_automaton)(df, columns, listed, term_col)
 
 
 def _match_inline(
@@ -96,6 +102,13 @@ def _joined_text(columns: Sequence[str]) -> Column:
     return F.lower(F.concat_ws("\u0000", *[F.col(c) for c in columns]))
 
 
+def _match_listed(df: DataFrame, columns: Sequence[str], terms: list[tuple[str, str]], term_col: str) -> DataFrame:
+    listed = F.array(*[F.struct(F.lit(term).alias("term"), F.lit(needle).alias("needle")) for term, needle in terms])
+    # as an element of an array the text is made once, not once for each term
+    hits = F.transform(F.array(_joined_text(columns)), lambda text: F.filter(listed, lambda t: F.contains(text, t["needle"])))
+    return df.withColumn(term_col, F.explode(F.transform(hits[0], lambda t: t["term"])))
+
+
 def _match_by_automaton(
     df: DataFrame, columns: Sequence[str], terms: list[tuple[str, str]], term_col: str
 ) -> DataFrame:

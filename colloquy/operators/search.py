@@ -11,6 +11,7 @@ from colloquy.functions import domains as dom
 from colloquy.functions import text as tx
 from colloquy.operators.matching import match_terms
 from colloquy.operators.ranking import newest, top_per
+from colloquy.session import listed_rows
 
 Terms = Sequence[str] | DataFrame
 
@@ -163,7 +164,7 @@ def keyword_hits(messages: DataFrame, domain_names: Sequence[str]) -> DataFrame:
     """Messages whose text or title holds a keyword of a domain: (domain, keyword, rank, message...)."""
     spark = messages.sparkSession
     listed = dom.keyword_rows(list(domain_names))
-    table = spark.createDataFrame(listed, "domain string, keyword string, rank int")
+    table = listed_rows(spark, listed, "domain string, keyword string, rank int")
     keywords = [k for _, k, _ in listed]
     rows = match_terms(messages, ["content", "conversation_title"], keywords, "keyword", key="message_id")
     # The keyword table is made of the caller's own list, so its size is known here.

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -18,6 +20,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def listed_rows(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
+    """A table of the caller's list, `columns` as "name type, ...". Unlike a list given to createDataFrame it takes no Python workers."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(","))]
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names, else a fresh one on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)

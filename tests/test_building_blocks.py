@@ -224,3 +224,15 @@ def test_vectors_of_other_lengths_are_an_error(spark):
     assert sorted((r.query_id, r.id) for r in got) == [("a", 1), ("b", 2)]
     with pytest.raises(Exception, match="no query has as many"):
         vector.vector_topk(df, [("a", [1.0, 2.0])], 5).collect()
+
+
+def test_a_few_dozen_terms_are_matched_without_python(spark):
+    """More terms than one scan expression takes, as a list and as a table."""
+    terms = [f"t{i}x" for i in range(40)] + ["Ä", "Ab"]
+    rows = spark.createDataFrame([(0, "T3X t39x", None), (1, None, "äb aB"), (2, "none", "of them"), (3, None, None)], "id int, a string, b string")
+    found = matching.match_terms(rows, ["a", "b"], terms, "term")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(0, "t39x"), (0, "t3x"), (1, "Ab"), (1, "Ä")]
+    assert sorted((r["id"], r["term"]) for r in found.collect()) == want
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    assert sorted((r["id"], r["term"]) for r in matching.match_terms(rows, ["a", "b"], table, "term").collect()) == want
