@@ -14,7 +14,7 @@ from colloquy.functions.text import cite, preview
 from colloquy.operators.domain_state import importance_rank
 from colloquy.operators.matching import match_terms, tokens
 from colloquy.operators.ranking import top_per
-from colloquy.session import shared_folder
+from colloquy.session import listed_rows, shared_folder
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -25,7 +25,7 @@ def query_frame(df: DataFrame, queries: Queries) -> DataFrame:
     """(query_id, query) rows from a list or a DataFrame."""
     if isinstance(queries, DataFrame):
         return queries.select("query_id", "query")
-    return df.sparkSession.createDataFrame(list(queries), "query_id string, query string")
+    return listed_rows(df.sparkSession, list(queries), "query_id string, query string")
 
 
 def bm25(docs: DataFrame, queries: Queries, k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:

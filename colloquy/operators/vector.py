@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +68,12 @@ def _nearest_in_partition(rows: list[tuple], k: int, query_type: pa.DataType, di
                 near = np.flatnonzero(column <= cut + 1e-6 * (1.0 + abs(cut))) if np.isfinite(cut) else np.arange(len(column))
                 exact = ((block[near] - matrix[j]) ** 2).sum(1)
                 exact = exact if digits is None else np.round(exact, digits)
+                if len(near) > k:
+                    # of very many equal distances only the k least ids can stay
+                    last = np.partition(exact, k - 1)[k - 1]
+                    tied = near[exact == last]
+                    tied = tied[pc.sort_indices(ids.take(pa.array(tied))).to_numpy()[:k]] if len(tied) > k else tied
+                    exact, near = np.r_[exact[exact < last], np.full(len(tied), last)], np.r_[near[exact < last], tied]
                 best[j].extend((d, ids[int(i)].as_py()) for i, d in zip(near, exact))
                 best[j].sort()
                 del best[j][k:]
@@ -170,13 +176,17 @@ def hash_embed(df: DataFrame, text_col: str, out: str = "embedding", dim: int =
     """
     from colloquy.operators.matching import tokens
 
-    @F.pandas_udf("array<float>")
-    def counted(buckets: pd.Series) -> pd.Series:
-        rows = []
-        for own in buckets:
-            counts = np.bincount(own, minlength=dim).astype(np.float64) if own is not None and len(own) else np.zeros(dim)
-            rows.append((counts / max(np.sqrt((counts**2).sum()), 1e-300)).astype(np.float32))
-        return pd.Series(rows)
+    @F.arrow_udf("array<float>")
+    def counted(buckets: pa.Array) -> pa.Array:
+        # slices of bounded size, counted at once: no object for each row
+        made = []
+        for at in range(0, len(buckets), 1_000):
+            part = buckets.slice(at, 1_000)
+            owner, own = pc.list_parent_indices(part).to_numpy(), pc.list_flatten(part).to_numpy()
+            counts = np.bincount(owner * dim + own, minlength=len(part) * dim).astype(np.float64).reshape(-1, dim)
+            made.append((counts / np.maximum(np.sqrt((counts**2).sum(1)), 1e-300)[:, None]).astype(np.float32).ravel())
+        values = pa.array(np.concatenate(made) if made else np.zeros(0, np.float32))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim), values)
 
     number = F.transform(tokens(F.col(text_col)), lambda w: F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("bigint"))
     return df.withColumn(out, counted(F.transform(number, lambda n: F.pmod(n, F.lit(dim)).cast("int"))))

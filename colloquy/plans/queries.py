@@ -18,7 +18,7 @@ from colloquy.operators import (
     text_index, timeline, vector, vector_index,
 )
 from colloquy.plans import derive
-from colloquy.session import prepare, shared_folder
+from colloquy.session import listed_rows, prepare, shared_folder
 from colloquy.sources import documents as doc_sources
 from colloquy.sources import jsonl
 from colloquy.sources import summaries as summary_source
@@ -262,7 +262,7 @@ _add("hash_embed", _on(M, lambda m: vector.hash_embed(m.select("message_id", "co
 
 
 def _semantic(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    asked = spark.createDataFrame(TEXT_QUERIES, "query_id string, query string")
+    asked = listed_rows(spark, TEXT_QUERIES, "query_id string, query string")
     return vector.semantic_topk(rows, asked, k, id_col, text_col, lambda df, text: vector.hash_embed(df, text, dim=64))
 
 
@@ -279,7 +279,7 @@ _add("semantic_search", lambda spark, d: _semantic(spark, M(spark, d), "message_
 def _position_raw_full(spark: SparkSession, d: str) -> DataFrame:
     """Mentions and hits by meaning; position_raw holds the mentions only."""
     users = M(spark, d).where("role = 'user'")
-    asked = spark.createDataFrame([(t, t) for t in TOPICS], "query_id string, query string")
+    asked = listed_rows(spark, [(t, t) for t in TOPICS], "query_id string, query string")
     hits = vector.semantic_topk(users, asked, 10, "message_id", "content", lambda df, text: vector.hash_embed(df, text, dim=64))
     semantic = hits.join(users.select(F.col("message_id").alias("id"), "conversation_title", "content"), "id").select(
         F.col("query_id").alias("topic"), "rank", "conversation_title", "content", F.round("similarity", 6).alias("similarity"))

@@ -120,3 +120,65 @@ def test_text_index_of_nothing(spark, tmp_path):
     path = str(tmp_path / "index")
     text_index.build_text_index(spark.createDataFrame([], "id string, text string"), path)
     assert text_index.search_text_index(spark, path, QUERIES).collect() == []
+
+
+def test_equal_distances_keep_the_least_ids():
+    """Of a batch of equal vectors only k ids become Python objects."""
+    import numpy as np
+    import pyarrow as pa
+
+    from colloquy.operators import vector
+
+    class Ids:
+        """Counts the ids that are taken out one by one."""
+
+        def __init__(self, values):
+            self.values, self.type, self.taken = pa.array(values), pa.int64(), 0
+
+        def take(self, at):
+            return self.values.take(at)
+
+        def __getitem__(self, i):
+            self.taken += 1
+            return self.values[i]
+
+    class Batch:
+        num_rows = 5000
+
+        def __init__(self):
+            self.ids = Ids(list(range(5000, 0, -1)))
+
+        def column(self, i):
+            return self.ids if i == 0 else pa.array([[1.0, 0.0]] * 5000)
+
+    batch = Batch()
+    out = next(vector._nearest_in_partition([("q", [0.0, 0.0])], 3, pa.string())(iter([batch])))
+    assert out.column("id").to_pylist() == [1, 2, 3] and batch.ids.taken == 3
+
+
+def test_hashed_vectors_are_made_without_pandas(spark):
+    from colloquy.operators import vector
+
+    rows = spark.createDataFrame([(0, "a b a"), (1, None), (2, ""), (3, "c")], "id int, text string")
+    made = vector.hash_embed(rows, "text", dim=8)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["embedding"] for r in made.collect()}
+    assert got[1] == got[2] == [0.0] * 8 and sorted(got[3])[-2:] == [0.0, 1.0]
+    assert abs(sum(x * x for x in got[0]) - 1) < 1e-6
+
+
+def test_known_ids_are_told_apart_without_their_texts(spark, tmp_path, monkeypatch):
+    """An index reads each text once, and packs a long term's postings into full blocks over several batches."""
+    from colloquy.operators import text_index
+
+    monkeypatch.setattr(text_index, "BLOCK", 4)
+    docs = spark.createDataFrame([(i, "same word" + " same" * (i % 3)) for i in range(30)] + [(3, "other same"), (None, "lost")], "id int, text string")
+    text_index.build_text_index(docs, str(tmp_path / "index"))
+    text_index.add_to_text_index(docs.union(spark.createDataFrame([(99, "new word")], "id int, text string")), str(tmp_path / "index"))
+    blocks = spark.read.parquet(str(tmp_path / "index" / "postings")).collect()
+    tf = {(r["term"], i): n for r in blocks for i, n in zip(r["ids"], r["tfs"])}
+    assert tf["same", 3] == 2 and tf["other", 3] == 1 and tf["same", 5] == 3 and tf["word", 99] == 1 and ("lost", None) not in tf
+    assert {i: r for r, i in ((n, i) for r in blocks for i, n in zip(r["ids"], r["lengths"]))}[3] == 4
+    for r in blocks:
+        assert len(r["ids"]) == r["n"] <= 4 and r["most"] == max(r["tfs"]) and r["least"] == min(r["lengths"])
+    assert sum(r["n"] for r in blocks if r["term"] == "same") == 30
