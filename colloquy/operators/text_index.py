@@ -12,9 +12,13 @@ are added; blocks hold counts, and bounds follow from them and today's statistic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from colloquy.operators.ranking import top_per
 from colloquy.session import shared_folder
 from colloquy.sources.tables import remove
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 BLOCK = 1_024
 #: Words of text to a bucket, about; buckets, at least and at most.
 BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS = 10_000_000, 16, 4_096
@@ -49,9 +55,14 @@ def build_text_index(docs: DataFrame, path: str, id_col: str = "id", text_col: s
 
 def add_to_text_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
     """Index further documents; what is there is not read but for its ids. Ids that are there already stay as they are."""
-    known = docs.sparkSession.read.parquet(f"{path}/documents").select(F.col("id").alias("_known"))
-    new = docs.join(known, F.col(id_col) == F.col("_known"), "left_anti")
-    _add(new, path, id_col, text_col, "append", _totals(docs.sparkSession, path)[2])
+    spark, step = docs.sparkSession, shared_folder(docs.sparkSession, "text-index-known")
+    known = spark.read.parquet(f"{path}/documents").select(F.col("id").alias("_known"))
+    # only ids are compared, so that texts stay where they are unless very many of them are known
+    known.join(docs.select(F.col(id_col).alias("_id")), F.col("_known") == F.col("_id"), "left_semi").write.parquet(step)
+    both = spark.read.parquet(step)
+    new = docs if both.isEmpty() else docs.join(both, F.col(id_col) == F.col("_known"), "left_anti")
+    _add(new, path, id_col, text_col, "append", _totals(spark, path)[2])
+    remove(spark, step)
 
 
 def _totals(spark: SparkSession, path: str) -> tuple[int, int, int]:
@@ -59,50 +70,88 @@ def _totals(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return tuple(spark.read.parquet(f"{path}/totals").agg(F.sum("documents"), F.sum("words"), F.max("buckets")).first())
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each row's list `w` and how often they stand there, many rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            listed = part.column("w")
+            tokens_, owner = pc.list_flatten(listed).dictionary_encode(), pc.list_parent_indices(listed).to_numpy().astype(np.int64)
+            size = max(1, len(tokens_.dictionary))
+            pairs, often = np.unique(owner * size + tokens_.indices.to_numpy(), return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(part.num_rows + 1) * size).astype(np.int32))
+            terms = tokens_.dictionary.take(pa.array(pairs % size))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array(np.bincount(owner, minlength=part.num_rows)), pa.ListArray.from_arrays(offsets, terms),
+                 pa.ListArray.from_arrays(offsets, pa.array(often.astype(np.int32)))], ["id", "length", "terms", "tfs"])
+
+
+def _pack(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task function: blocks of at most `size` postings from postings in order; a block begins with its term or after a full one."""
+    def blocks(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        part = rows.slice(int(starts[0]), int(ends[-1] - starts[0])).combine_chunks()
+        starts, n = starts - starts[0], ends - starts
+        columns = {c: part.column(c).combine_chunks() for c in part.column_names}
+        columns = {c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in columns.items()}
+        offsets, first = pa.array(np.r_[starts, part.num_rows].astype(np.int32)), pa.array(starts)
+        return pa.RecordBatch.from_arrays(
+            [columns["term"].take(first), *(pa.ListArray.from_arrays(offsets, columns[c]) for c in ("id", "tf", "length")), pa.array(n),
+             columns["tf"].take(first), pa.array(np.minimum.reduceat(columns["length"].to_numpy(), starts)), columns["bucket"].take(first)],
+            ["term", "ids", "tfs", "lengths", "n", "most", "least", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            codes = rows.column("term").combine_chunks().dictionary_encode()
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            codes = codes.indices.to_numpy()
+            change = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            run_of = np.repeat(change, np.diff(np.r_[change, len(codes)]))
+            starts = np.flatnonzero((np.arange(len(codes)) - run_of) % size == 0)
+            # the last block may go on in the next batch
+            if len(starts) > 1:
+                yield blocks(rows, starts[:-1], starts[1:])
+            rest = rows.slice(int(starts[-1]))
+        if rest is not None:
+            yield blocks(rest, np.array([0]), np.array([rest.num_rows]))
+
+    return run
+
+
 def _add(docs: DataFrame, path: str, id_col: str, text_col: str, mode: str, buckets: int | None) -> None:
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).where("id is not null")
     step = shared_folder(spark, "text-index")
-    # equal tokens of a text merge before the shuffle
-    counted = words.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    counted.write.parquet(f"{step}/counted")
-    words.groupBy("id").agg(F.sum(F.size("w")).cast("long").alias("length")).write.parquet(f"{step}/lengths")
+    id_type = words.schema["id"].dataType.simpleString()
+    # texts are read once, and a text's equal tokens merge where it is read
+    words.mapInArrow(_count, f"id {id_type}, length bigint, terms array<string>, tfs array<int>").write.parquet(f"{step}/counted")
+    counted = spark.read.parquet(f"{step}/counted")
+    counted.groupBy("id").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("rows")).write.parquet(f"{step}/lengths")
     lengths = spark.read.parquet(f"{step}/lengths")
-    documents, total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    documents, total, most = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
     buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_WORDS)))
-    postings = spark.read.parquet(f"{step}/counted").join(lengths, "id")
-    bucket = _bucket(F.col("term"), buckets).alias("bucket")
-    rows = postings.select(bucket, "term", "id", F.col("n").cast("int").alias("tf"), "length")
+    each = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+    postings = counted
+    if most > 1:
+        # a document of several rows: their counts are added up, its length is that of all
+        several = lengths.where("rows > 1").select(F.col("id").alias("_id"), F.col("length").alias("_length"))
+        postings = counted.join(several, F.col("id") == F.col("_id"), "left_anti")
+    postings = postings.select("id", "length", each).select("id", "length", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    if most > 1:
+        parts = counted.join(several, F.col("id") == F.col("_id")).select("id", F.col("_length").alias("length"), each)
+        postings = postings.union(parts.groupBy("id", "length", F.col("p.terms").alias("term")).agg(F.sum("p.tfs").cast("int").alias("tf")))
+    rows = postings.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "tf", "length")
     order = ["bucket", "term", F.col("tf").desc(), "length", "id"]
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, often, long, kind = None, [], [], [], None
-
-        def block() -> pa.RecordBatch:
-            columns = [
-                pa.array([key[1]], pa.string()), pa.array([ids], pa.list_(kind)), pa.array([often], pa.list_(pa.int32())), pa.array([long], pa.list_(pa.int64())),
-                pa.array([len(ids)], pa.int64()), pa.array([max(often)], pa.int32()), pa.array([min(long)], pa.int64()), pa.array([key[0]], pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, ["term", "ids", "tfs", "lengths", "n", "most", "least", "bucket"])
-
-        for batch in batches:
-            kind = batch.column("id").type
-            for number, term, *values in zip(*(batch.column(c).to_pylist() for c in ("bucket", "term", "id", "tf", "length"))):
-                if ids and (key != (number, term) or len(ids) == BLOCK):
-                    yield block()
-                    ids, often, long = [], [], []
-                key = number, term
-                ids.append(values[0])
-                often.append(values[1])
-                long.append(values[2])
-        if ids:
-            yield block()
 
     # ranges: a term that stands in most documents is spread over several tasks
     blocks = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        pack, _postings_schema(id_type))
+        _pack(BLOCK), _postings_schema(id_type))
     blocks.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.write.mode(mode).parquet(f"{path}/documents")
+    lengths.drop("rows").write.mode(mode).parquet(f"{path}/documents")
     spark.createDataFrame([(documents, total, buckets)], "documents bigint, words bigint, buckets int").coalesce(1).write.mode(mode).parquet(f"{path}/totals")
     remove(spark, step)
 
