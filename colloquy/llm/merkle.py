@@ -2,8 +2,8 @@
 
 Leaves are placed in their language by id. Blocks of 4,096 consecutive nodes are hashed up twelve levels in one task, their
 tops make the next round's nodes, so a tree takes as many rounds as its depth has dozens. What is built is stored as rows:
-a node with its link to the ancestor four levels up (or the top) and the siblings on the way there; only nodes of every
-fourth level have rows. A recursive query climbs from every leaf at once: each step joins the nodes reached with their rows,
+a node with its link to the ancestor HOP levels up (or the top) and the siblings on the way there; only nodes of every
+HOP-th level have rows. A recursive query climbs from every leaf at once: each step joins the nodes reached with their rows,
 appends the siblings and folds the hash with them.
 
 A node high up is reached from very many leaves. Its row is stored once for each block below it, and block and node are
